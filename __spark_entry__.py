@@ -24,7 +24,7 @@ from tillroll.functions import (
 )
 from tillroll.operators import cleaning, normalizing, profiling
 from tillroll.sources.delimited import SOURCE_ORDER, read_flat_csv, write_csv
-from tillroll.sources.scratch import scratch_path
+from tillroll.sources.scratch import scratch_path, written
 from tillroll.sources.star_schema import flat_from_star, shop_from_star
 
 AS_OF = oracle.AS_OF
@@ -53,7 +53,9 @@ def _on_shop(report, *tables, **options):
 
 def _on_flat(stage):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return comparable(stage(spark, flat_from_star(spark, sf_dir), sf_dir))
+        # Stored once, as a parsed file would be: most stages read the rows repeatedly.
+        flat = written(flat_from_star(spark, sf_dir), "flat")
+        return comparable(stage(spark, flat, sf_dir))
 
     return run
 

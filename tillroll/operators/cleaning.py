@@ -12,6 +12,7 @@ from tillroll.functions import digits_only, ranges, ratio, strip, title_case
 from tillroll.operators.dedup import first_per_key
 from tillroll.operators.median import exact_median
 from tillroll.sources.delimited import SOURCE_ORDER
+from tillroll.sources.scratch import written
 
 # Also accepts single-digit months and days.
 DATE_FORMATS = ("yyyy-M-d",)
@@ -109,10 +110,22 @@ def standardize_orders(df, gender_map=fixed.GENDER_MAP):
 
 
 def clean_orders(
-    df, order_col=None, date_formats=DATE_FORMATS, gender_map=fixed.GENDER_MAP
+    df,
+    order_col=None,
+    date_formats=DATE_FORMATS,
+    gender_map=fixed.GENDER_MAP,
+    stored=True,
 ):
-    """The whole cleaning as one lazy plan; jobs.run_cleaning stores the middle stage."""
-    return standardize_orders(screen_orders(df, order_col, date_formats), gender_map)
+    """Screen and standardize.
+
+    The outlier bounds and the result both read the screened rows, so these are
+    written to the scratch folder once. ``stored=False`` gives one lazy plan
+    that screens twice instead.
+    """
+    screened = screen_orders(df, order_col, date_formats)
+    if stored:
+        screened = written(screened, "screened")
+    return standardize_orders(screened, gender_map)
 
 
 def null_counts(df):

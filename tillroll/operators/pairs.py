@@ -139,14 +139,15 @@ def frequent_pairs(baskets, min_frequency, n=None, wide_basket=WIDE_BASKET):
     if n is not None:
         need = max(need, _nth_best_seed(baskets, items, n))
 
-    # Pruning first, as a wide basket of rare items is no longer wide after it.
-    heaviest = baskets.agg(F.max("weight")).first()[0] or 0
-    useful = items.filter(F.col("weight") * F.lit(heaviest) >= need).select("item")
+    largest = _widths(baskets).agg(F.max("width").alias("width"), F.max("peak").alias("peak"))
+    widest, heaviest = largest.first()
+    useful = items.filter(F.col("weight") * F.lit(heaviest or 0) >= need).select("item")
     kept = baskets.join(useful, "item", "left_semi")
-
-    widest = _widths(kept).agg(F.max("width")).first()[0] or 0
-    if widest <= wide_basket:
-        pairs = _pairs_within(kept)
+    if (widest or 0) > wide_basket:
+        kept = written(kept, "kept")
+        widest = _widths(kept).agg(F.max("width")).first()[0]
+    if (widest or 0) > wide_basket:
+        pairs = _pairs_with_wide(kept, need, wide_basket)
     else:
-        pairs = _pairs_with_wide(written(kept, "kept"), need, wide_basket)
+        pairs = _pairs_within(kept)
     return pairs.filter(F.col("frequency") >= need), items.select("item", "baskets")

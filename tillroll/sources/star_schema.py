@@ -2,6 +2,9 @@
 
 The files (customer, part, orders, lineitem, nation) lack some shop columns;
 those are derived from keys and existing columns by fixed rules.
+
+Orders carry a merge hint: orders and lines grow together, so that small test
+data runs through the same shuffled join as large data.
 """
 
 from pyspark.sql import functions as F
@@ -50,7 +53,7 @@ def shop_from_star(spark, folder):
         ),
         "shipped_date",
         "product_id",
-    )
+    ).hint("merge")
     order_items = lines.select(
         F.col("l_orderkey").alias("order_id"),
         F.col("l_partkey").alias("product_id"),
@@ -88,7 +91,7 @@ def flat_from_star(spark, folder):
     )
     rows = (
         table("lineitem")
-        .join(table("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(table("orders").hint("merge"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(table("part"), F.col("l_partkey") == F.col("p_partkey"))
         .join(customers, F.col("o_custkey") == F.col("c_custkey"))
     )
