@@ -1,0 +1,62 @@
+import random
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from tillroll.operators import tiles
+from tillroll.operators.tiles import TileOrder, with_tiles
+
+ORDERS = {
+    "by_days": TileOrder("days", descending=True),
+    "by_count": TileOrder("n"),
+    "by_amount": TileOrder("amount"),
+}
+
+
+def expected(df, n):
+    return df.select(
+        "id",
+        F.ntile(n).over(Window.orderBy(F.col("days").desc_nulls_first(), "id")),
+        F.ntile(n).over(Window.orderBy(F.col("n").asc_nulls_last(), "id")),
+        F.ntile(n).over(Window.orderBy(F.col("amount").asc_nulls_last(), "id")),
+    )
+
+
+def customers(spark, size, seed):
+    source = random.Random(seed)
+    rows = [
+        (
+            f"C{i:06d}",
+            source.choice([None, 1, 2, source.randint(0, 50)]),
+            1 if source.random() < 0.6 else source.randint(1, 9),
+            source.choice([None, Decimal(source.randint(0, 10_000)) / 100]),
+        )
+        for i in range(size)
+    ]
+    source.shuffle(rows)
+    return spark.createDataFrame(rows, "id string, days bigint, n bigint, amount decimal(28,2)")
+
+
+@pytest.mark.parametrize("size, n", [(0, 5), (1, 5), (3, 5), (5, 5), (6, 5), (23, 4), (1009, 5)])
+def test_ranged_equals_plain(spark, monkeypatch, size, n):
+    monkeypatch.setattr(tiles, "ROWS_PER_RANGE", 100)
+    df = customers(spark, size, size)
+    got = with_tiles(df, ORDERS, "id", n, single_task_rows=0).select("id", *ORDERS)
+    assert sorted(got.collect()) == sorted(expected(df, n).collect())
+
+
+def test_plain_path(spark):
+    df = customers(spark, 57, 7)
+    got = with_tiles(df, ORDERS, "id", 5).select("id", *ORDERS)
+    assert sorted(got.collect()) == sorted(expected(df, 5).collect())
+
+
+@pytest.mark.parametrize("partitions", ["1", "4", "64"])
+def test_same_for_any_partitioning(spark, conf, monkeypatch, partitions):
+    monkeypatch.setattr(tiles, "ROWS_PER_RANGE", 50)
+    conf("spark.sql.shuffle.partitions", partitions)
+    df = customers(spark, 400, 3).repartition(int(partitions))
+    got = with_tiles(df, ORDERS, "id", 5, single_task_rows=0).select("id", *ORDERS)
+    assert sorted(got.collect()) == sorted(expected(df, 5).collect())

@@ -30,3 +30,12 @@ def written(df, name):
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark):
+    """Delete what this application wrote; results that read from it end there."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(
+        f"{scratch_folder(spark)}/tillroll/{spark.sparkContext.applicationId}"
+    )
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return files.delete(folder, True)
