@@ -1,0 +1,45 @@
+"""Every registered query against its SQL text."""
+
+import pytest
+from conftest import SAMPLE
+
+import __spark_entry__ as contract
+from check_oracle import compare, connect
+
+TEXTS = contract.oracle_sql()
+
+
+@pytest.fixture(scope="module")
+def connection():
+    return connect(SAMPLE)
+
+
+@pytest.mark.parametrize("name", sorted(TEXTS))
+def test_matches_sql(spark, connection, name):
+    assert compare(spark, connection, SAMPLE, name, TEXTS[name]) is None
+
+
+def test_every_text_belongs_to_a_query():
+    assert set(TEXTS) <= set(contract.queries())
+    assert set(contract.queries()) - set(TEXTS) == {"profile_columns_estimated"}
+
+
+def test_estimated_profile(spark):
+    exact = contract.queries()["profile_columns"](spark, SAMPLE).collect()
+    estimated = contract.queries()["profile_columns_estimated"](spark, SAMPLE).collect()
+    for a, b in zip(exact, estimated):
+        assert a[:5] == b[:5]
+        assert abs(a.unique_count - b.unique_count) <= max(1, 0.2 * a.unique_count)
+
+
+def test_entry(spark):
+    assert contract.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("partitions", ["1", "64"])
+def test_partition_count_does_not_matter(spark, conf, partitions):
+    names = ("category_performance", "cohort_retention", "gender_patterns", "market_basket")
+    expected = {n: contract.queries()[n](spark, SAMPLE).collect() for n in names}
+    conf("spark.sql.shuffle.partitions", partitions)
+    for name in names:
+        assert contract.queries()[name](spark, SAMPLE).collect() == expected[name]

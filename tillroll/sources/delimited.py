@@ -21,15 +21,21 @@ def _typed(column, data_type):
     return text.try_cast(data_type)
 
 
-def read_flat_csv(spark, path, schema=FLAT_SCHEMA, with_order=True):
+def read_flat_csv(spark, path, schema=FLAT_SCHEMA, with_order=True, multiline=False):
     """Read a delimited order file (or folder of files) with a header line.
 
     The header decides which columns exist; those named in ``schema`` are
     typed, others stay text. Missing-value tokens become NULL. A missing path
     raises. ``with_order`` adds a sortable position column, so that "first in
-    the file" has a meaning later.
+    the file" has a meaning later. ``multiline`` allows line ends inside quoted
+    values; files can then not be split, so leave it off for large ones.
     """
-    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
+    raw = (
+        spark.read.option("header", True)
+        .option("escape", '"')
+        .option("multiLine", multiline)
+        .csv(path)
+    )
     types = {field.name: field.dataType for field in schema}
     columns = []
     for name in raw.columns:
@@ -52,6 +58,7 @@ def write_csv(df, path, timestamp_format="yyyy-MM-dd HH:mm:ss"):
     (
         df.write.mode("overwrite")
         .option("header", True)
+        .option("escape", '"')
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)
         .option("timestampNTZFormat", timestamp_format)
