@@ -119,14 +119,16 @@ def test_skewed_order_is_split(spark, conf, large_data_plans):
     conf("spark.sql.adaptive.advisoryPartitionSizeInBytes", "20000")
     conf("spark.sql.adaptive.coalescePartitions.enabled", "false")
     conf("spark.sql.shuffle.partitions", "64")
+    # Hashed values, as shuffle files are compressed and sizes must show the skew.
+    noise = F.pmod(F.xxhash64("id"), F.lit(1_000_000))
     lines = spark.range(0, 200_000, 1, 16).select(
         F.when(F.col("id") % 3 > 0, F.col("id")).otherwise(1).alias("order_id"),
-        (F.col("id") % 50).alias("product_id"),
-        F.lit(1).cast("bigint").alias("quantity"),
-        F.lit(2).cast("decimal(18,2)").alias("unit_price"),
+        (noise % 50).alias("product_id"),
+        noise.alias("quantity"),
+        (noise / 100).cast("decimal(18,2)").alias("unit_price"),
     )
     orders = spark.range(200_000).select(
-        F.col("id").alias("order_id"), F.lit(10).cast("decimal(18,2)").alias("total_amount")
+        F.col("id").alias("order_id"), (noise / 100).cast("decimal(18,2)").alias("total_amount")
     )
     products = spark.range(50).select(
         F.col("id").alias("product_id"),
