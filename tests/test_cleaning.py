@@ -130,6 +130,8 @@ def test_outliers(spark):
     assert drop_outliers(df).count() == 50
     assert drop_outliers(df.limit(1)).count() == 0  # no deviation of a single row
     assert drop_outliers(df.limit(2)).count() == 2
+    equal = rows(spark, *[{"total_amount": Decimal("0.10")}] * 30)
+    assert drop_outliers(equal).count() == 30
 
 
 def test_labels_and_derived_columns(spark):

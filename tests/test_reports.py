@@ -107,8 +107,8 @@ def test_growth_from_nothing(spark):
         plans.quarterly_growth(orders).collect()
     with pytest.raises(ArithmeticException):
         plans.revenue_moving_avg(orders).collect()
-    assert tuples(plans.quarterly_growth(orders, on_zero="null"))[1][-1] is None
-    assert tuples(plans.revenue_moving_avg(orders, on_zero="null"))[1][-1] is None
+    assert tuples(plans.quarterly_growth(orders, on_zero_div="null"))[1][-1] is None
+    assert tuples(plans.revenue_moving_avg(orders, on_zero_div="null"))[1][-1] is None
 
 
 def test_moving_average_frames(spark):
@@ -377,8 +377,8 @@ def test_profit_without_cost(spark, shop):
         plans.product_profit(items, free).collect()
     with pytest.raises(ArithmeticException):
         plans.monthly_profit(orders, items, free).collect()
-    assert plans.product_profit(items, free, on_zero="null").first().profit_margin_percentage is None
-    assert plans.monthly_profit(orders, items, free, on_zero="null").first().avg_profit_margin is None
+    assert plans.product_profit(items, free, on_zero_div="null").first().profit_margin_percentage is None
+    assert plans.monthly_profit(orders, items, free, on_zero_div="null").first().avg_profit_margin is None
 
 
 def test_monthly_profit(shop):
@@ -457,8 +457,8 @@ def test_kpis(shop):
     one_day = shop[0].limit(1)
     with pytest.raises(ArithmeticException):
         plans.kpi_summary(one_day).collect()
-    assert plans.kpi_summary(one_day, on_zero="null").first().daily_avg_revenue is None
-    assert plans.kpi_summary(one_day.limit(0), on_zero="null").first().total_orders == 0
+    assert plans.kpi_summary(one_day, on_zero_div="null").first().daily_avg_revenue is None
+    assert plans.kpi_summary(one_day.limit(0), on_zero_div="null").first().total_orders == 0
 
 
 def test_band_labels_cover_every_report_value():

@@ -13,26 +13,26 @@ def money(column):
     return column.cast("decimal(18,2)")
 
 
-def ratio(numerator, denominator, on_zero="raise"):
+def ratio(numerator, denominator, on_zero_div="raise"):
     """Exact decimal quotient of counts or two-decimal amounts.
 
-    A zero denominator raises (ANSI mode); ``on_zero="null"`` yields NULL.
+    A zero denominator raises (ANSI mode); ``on_zero_div="null"`` yields NULL.
     """
     top, bottom = numerator.cast(_NUMERATOR), denominator.cast(_DENOMINATOR)
-    if on_zero == "null":
+    if on_zero_div == "null":
         return F.try_divide(top, bottom)
-    if on_zero != "raise":
-        raise ValueError(f"on_zero must be 'raise' or 'null', not {on_zero!r}")
+    if on_zero_div != "raise":
+        raise ValueError(f"on_zero_div must be 'raise' or 'null', not {on_zero_div!r}")
     return top / bottom
 
 
-def percent(numerator, denominator, on_zero="raise"):
-    return ratio(numerator * F.lit(100), denominator, on_zero)
+def percent(numerator, denominator, on_zero_div="raise"):
+    return ratio(numerator * F.lit(100), denominator, on_zero_div)
 
 
 def mean(total, count):
     """Average from a sum and a count of non-null values; NULL when there are none."""
-    return ratio(total, count, on_zero="null")
+    return ratio(total, count, on_zero_div="null")
 
 
 def asc(column):

@@ -69,13 +69,15 @@ def screen_orders(df, order_col=None, date_formats=DATE_FORMATS):
 def drop_outliers(df, column="total_amount", sigmas=fixed.OUTLIER_SIGMAS):
     """Keep values within ``sigmas`` sample deviations of the mean.
 
-    A single row has no deviation and is dropped.
+    A single row has no deviation and is dropped. Equal values all stay, even if
+    their computed mean is a rounding error off.
     """
     value = F.col(column).cast("double")
     spread = df.agg(
         F.struct(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
     ).scalar()
-    return df.filter(F.abs(value - spread["mean"]) <= sigmas * spread["sd"])
+    near = F.abs(value - spread["mean"]) <= sigmas * spread["sd"]
+    return df.filter(near | (spread["sd"] == 0))
 
 
 def standardize_orders(df, gender_map=fixed.GENDER_MAP):

@@ -215,7 +215,7 @@ def cohort_retention(orders, wrap_months=True):
     )
 
 
-def kpi_summary(orders, on_zero="raise", exact_ratio=False):
+def kpi_summary(orders, on_zero_div="raise", exact_ratio=False):
     """Totals over all orders; orders per customer is a whole number unless exact."""
     totals = orders.agg(
         F.count_distinct("customer_id").alias("total_customers"),
@@ -232,18 +232,18 @@ def kpi_summary(orders, on_zero="raise", exact_ratio=False):
         F.round("total_revenue", 2).alias("total_revenue"),
         F.round(mean(F.col("total_revenue"), F.col("amounts")), 2).alias("avg_order_value"),
         orders_per_customer(
-            F.col("total_orders"), F.col("total_customers"), exact_ratio, on_zero
+            F.col("total_orders"), F.col("total_customers"), exact_ratio, on_zero_div
         ).alias("avg_orders_per_customer"),
         "first_order_date",
         "last_order_date",
         days.alias("business_days"),
-        F.round(ratio(F.col("total_revenue"), days, on_zero), 2).alias("daily_avg_revenue"),
+        F.round(ratio(F.col("total_revenue"), days, on_zero_div), 2).alias("daily_avg_revenue"),
     )
 
 
-def orders_per_customer(orders, customers, exact=False, on_zero="raise"):
+def orders_per_customer(orders, customers, exact=False, on_zero_div="raise"):
     if exact:
-        return F.round(ratio(orders, customers, on_zero), 2)
-    if on_zero == "null":
+        return F.round(ratio(orders, customers, on_zero_div), 2)
+    if on_zero_div == "null":
         customers = F.nullif(customers, F.lit(0))
     return F.call_function("div", orders, customers)

@@ -14,7 +14,7 @@ from tillroll.sources.scratch import written
 
 
 def top_products(
-    orders, order_items, products, n=fixed.TOP_PRODUCTS, revenue="order_total", on_zero="raise"
+    orders, order_items, products, n=fixed.TOP_PRODUCTS, revenue="order_total", on_zero_div="raise"
 ):
     # Lines shrink to one row per product before names are joined.
     sold = (
@@ -37,7 +37,7 @@ def top_products(
             F.sum("lines").alias("times_ordered"),
             F.sum("amount").alias("total_revenue"),
             F.round(mean(F.sum("price"), F.sum("prices")), 2).alias("avg_unit_price"),
-            F.round(ratio(F.sum("amount"), F.sum("quantity"), on_zero), 2).alias(
+            F.round(ratio(F.sum("amount"), F.sum("quantity"), on_zero_div), 2).alias(
                 "revenue_per_unit"
             ),
         )
@@ -164,7 +164,7 @@ def market_basket(
 
 
 def product_profit(
-    order_items, products, min_units=fixed.MIN_UNITS_SOLD, n=fixed.TOP_PROFIT, on_zero="raise"
+    order_items, products, min_units=fixed.MIN_UNITS_SOLD, n=fixed.TOP_PROFIT, on_zero_div="raise"
 ):
     """Profit by product; the margin is a percentage of cost."""
     sold = order_items.groupBy("product_id").agg(
@@ -187,7 +187,7 @@ def product_profit(
             *identity,
             F.round(mean(F.col("price"), F.col("prices")), 2).alias("avg_selling_price"),
             F.round(mean(gain, F.col("prices")), 2).alias("profit_per_unit"),
-            F.round(percent(gain, F.col("cost_price") * F.col("prices"), on_zero), 2).alias(
+            F.round(percent(gain, F.col("cost_price") * F.col("prices"), on_zero_div), 2).alias(
                 "profit_margin_percentage"
             ),
             "total_units_sold",
@@ -202,7 +202,7 @@ def product_profit(
     )
 
 
-def monthly_profit(orders, order_items, products, on_zero="raise"):
+def monthly_profit(orders, order_items, products, on_zero_div="raise"):
     """Revenue, cost, profit and mean line margin by month.
 
     Lines shrink to product-months first. Within one product the cost is
@@ -222,7 +222,7 @@ def monthly_profit(orders, order_items, products, on_zero="raise"):
         )
     )
     cost = F.col("cost_price")
-    margins = percent(F.col("price") - cost * F.col("prices"), cost, on_zero)
+    margins = percent(F.col("price") - cost * F.col("prices"), cost, on_zero_div)
     return (
         sold.join(products.select("product_id", "cost_price"), "product_id")
         .groupBy("month")

@@ -58,7 +58,7 @@ def _with_empty_periods(periods, start, months):
     return filled.unionByName(periods.filter(F.col(start).isNull()))
 
 
-def quarterly_growth(orders, on_zero="raise", fill_gaps=False):
+def quarterly_growth(orders, on_zero_div="raise", fill_gaps=False):
     """Revenue per quarter and its change on the quarter before.
 
     "Before" is the previous quarter with sales; with ``fill_gaps`` it is the
@@ -69,7 +69,7 @@ def quarterly_growth(orders, on_zero="raise", fill_gaps=False):
         F.sum("total_amount").alias("revenue")
     )
     if fill_gaps:
-        quarters, on_zero = _with_empty_periods(quarters, "start", 3), "null"
+        quarters, on_zero_div = _with_empty_periods(quarters, "start", 3), "null"
     previous = F.lag("revenue").over(Window.orderBy(asc("start")))
     return (
         quarters.withColumn("prev_quarter_revenue", previous)
@@ -82,7 +82,7 @@ def quarterly_growth(orders, on_zero="raise", fill_gaps=False):
                 percent(
                     F.col("revenue") - F.col("prev_quarter_revenue"),
                     F.col("prev_quarter_revenue"),
-                    on_zero,
+                    on_zero_div,
                 ),
                 2,
             ).alias("growth_percentage"),
@@ -91,13 +91,13 @@ def quarterly_growth(orders, on_zero="raise", fill_gaps=False):
     )
 
 
-def revenue_moving_avg(orders, on_zero="raise", fill_gaps=False):
+def revenue_moving_avg(orders, on_zero_div="raise", fill_gaps=False):
     """Monthly revenue, trailing 3- and 6-row averages, month-over-month change."""
     months = orders.groupBy(month_start(F.col("order_date")).alias("month")).agg(
         F.sum("total_amount").alias("revenue")
     )
     if fill_gaps:
-        months, on_zero = _with_empty_periods(months, "month", 1), "null"
+        months, on_zero_div = _with_empty_periods(months, "month", 1), "null"
     by_month = Window.orderBy(asc("month"))
 
     def trailing(rows):
@@ -112,7 +112,7 @@ def revenue_moving_avg(orders, on_zero="raise", fill_gaps=False):
         "revenue",
         trailing(3)("three_month_moving_avg"),
         trailing(6)("six_month_moving_avg"),
-        F.round(percent(F.col("revenue") - previous, previous, on_zero), 2).alias(
+        F.round(percent(F.col("revenue") - previous, previous, on_zero_div), 2).alias(
             "month_over_month_growth"
         ),
     ).orderBy(asc("month"))

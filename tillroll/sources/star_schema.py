@@ -28,8 +28,23 @@ def _pick(index, values):
     return F.get(F.array(*[F.lit(v).cast("string") for v in values]), index.cast("int"))
 
 
+# Declared, so that no file is opened just to learn its types.
+STAR_SCHEMAS = {
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, "
+    "c_mktsegment string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+    "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+    "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, "
+    "p_retailprice double",
+}
+
+
 def _reader(spark, folder):
-    return lambda name: spark.read.parquet(f"{folder}/{name}.parquet")
+    return lambda name: spark.read.schema(STAR_SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def shop_from_star(spark, folder):
