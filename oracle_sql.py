@@ -425,7 +425,7 @@ FLAT_TYPES = (
 
 def flat_profile():
     rows = [
-        f"""SELECT {i} AS position, '{name}' AS column_name, '{kind}' AS data_type,
+        f"""SELECT {big(i)} AS position, '{name}' AS column_name, '{kind}' AS data_type,
         COUNT(*) - COUNT({name}) AS null_count,
         {rounded(f"(COUNT(*) - COUNT({name})) * 100.0 / COUNT(*)", 1)} AS null_percentage,
         COUNT(DISTINCT {name}) AS unique_count FROM flat"""
