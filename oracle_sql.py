@@ -144,7 +144,7 @@ def cohorts(month_number):
         f"""WITH firsts AS (
           SELECT customer_id, DATE_TRUNC('month', MIN(order_date)) AS start
           FROM s_orders GROUP BY customer_id),
-        sizes AS (SELECT start, COUNT(*) AS members FROM firsts GROUP BY start),
+        sizes AS (SELECT start, COUNT(customer_id) AS members FROM firsts GROUP BY start),
         seen AS (
           SELECT start, customer_id, {month_number} AS step
           FROM s_orders JOIN firsts USING (customer_id))
@@ -162,8 +162,11 @@ def baskets(item, minimum, limit):
         "best"
         if item == "product_name"
         else """(SELECT best.*, a.product_name AS product_a_name, b.product_name AS product_b_name
-          FROM best JOIN s_products a ON a.product_id = product_a
-          JOIN s_products b ON b.product_id = product_b)"""
+          FROM best
+          JOIN (SELECT DISTINCT product_id, product_name FROM s_products) a
+            ON a.product_id = product_a
+          JOIN (SELECT DISTINCT product_id, product_name FROM s_products) b
+            ON b.product_id = product_b)"""
     )
     return on(
         "oip",
@@ -518,8 +521,10 @@ def oracle_sql():
               SELECT *, {days("until", "since")} + 1 AS span FROM per_customer WHERE n > 1)
             SELECT customer_id, n AS total_orders, {dbl("spent")} AS total_revenue,
             {rounded("mean_amount", 4)} AS avg_order_value, span AS customer_lifespan_days,
-            {rounded("n * 365.0 / span")} AS annual_order_frequency,
-            {rounded("mean_amount * n * 365 / span")} AS estimated_annual_clv FROM active
+            CASE WHEN span > 0 THEN {rounded("n * 365.0 / span")} ELSE 0 END
+              AS annual_order_frequency,
+            CASE WHEN span > 0 THEN {rounded("mean_amount * n * 365 / span")}
+              ELSE {dbl("spent")} END AS estimated_annual_clv FROM active
             ORDER BY estimated_annual_clv DESC NULLS FIRST, customer_id LIMIT 50""",
         ),
         "churn_risk": on(
