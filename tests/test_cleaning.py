@@ -101,6 +101,17 @@ def test_dates(spark):
     assert kept(both) == ["O0", "O1", "O2"]
 
 
+def test_dates_do_not_depend_on_the_zone(spark, conf):
+    # No midnight on that day in that zone.
+    conf("spark.sql.session.timeZone", "America/Sao_Paulo")
+    df = rows(spark, {"order_date": "2018-11-04"}, {"order_date": "2018-11-05 06:07"})
+    got = screen_orders(df, "pos", date_formats=("yyyy-M-d", "yyyy-M-d HH:mm")).collect()
+    assert {r.order_id: r.order_date for r in got} == {
+        "O0": dt.datetime(2018, 11, 4),
+        "O1": dt.datetime(2018, 11, 5, 6, 7),
+    }
+
+
 def test_emails(spark):
     addresses = [
         "a@b.co", "A_1%x-y@sub.domain.org", None, "", "a@b", "a@b.c", "a b@c.de", "@b.co",

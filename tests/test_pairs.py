@@ -41,10 +41,16 @@ def run(spark, rows, minimum, n, wide):
 
 @pytest.mark.parametrize("wide", [2, 6, 1000])
 @pytest.mark.parametrize(
-    "baskets, items, heavy, weights",
-    [(200, 12, 0, (1,)), (200, 30, 1, (1,)), (300, 30, 3, (1, 2, 3)), (60, 20, 30, (1,))],
+    "baskets, items, heavy, weights, minimum, n",
+    [
+        (200, 12, 0, (1,), 5, 10),
+        (200, 30, 1, (1,), 1, None),
+        (200, 30, 1, (1,), 5, None),
+        (300, 30, 3, (1, 2, 3), 5, None),
+        (300, 30, 3, (1, 2, 3), 2, 3),
+        (60, 20, 30, (1,), 5, 10),
+    ],
 )
-@pytest.mark.parametrize("minimum, n", [(1, None), (5, None), (5, 10), (2, 3)])
 def test_matches_brute_force(spark, baskets, items, heavy, weights, minimum, n, wide):
     rows = shop(baskets + heavy, baskets, items, heavy, weights)
     truth = {p: c for p, c in brute_force(rows).items() if c >= minimum}

@@ -22,9 +22,12 @@ def parse_dates(column, data_type, formats=DATE_FORMATS):
     """Timestamp from text in one of the formats; anything else becomes NULL."""
     if not isinstance(data_type, T.StringType):
         return column.cast("timestamp_ntz")
-    return F.coalesce(
-        *[F.try_to_timestamp(column, F.lit(f)).cast("timestamp_ntz") for f in formats]
-    )
+    # Formats without an hour go through DATE, which no time zone can shift.
+    parsed = [
+        F.try_to_timestamp(column, F.lit(f)) if set(f) & set("HhKk") else F.try_to_date(column, f)
+        for f in formats
+    ]
+    return F.coalesce(*[p.cast("timestamp_ntz") for p in parsed])
 
 
 def _order_columns(df, order_col):
