@@ -119,7 +119,10 @@ def test_moving_average_frames(spark):
     assert [r[2] for r in got] == [money(v) for v in ("10.00", "15.00", "20.00", "30.00", "40.00", "50.00", "63.33")]
     assert [r[3] for r in got][-2:] == [Decimal("35.00"), Decimal("46.67")]
     assert got[1][4] == Decimal("100.00")
+    undated = orders.union(orders_of(spark, ("X", "C", None, 9)))
+    with_unknown = tuples(plans.revenue_moving_avg(undated, fill_gaps=True))
     filled = tuples(plans.revenue_moving_avg(orders, fill_gaps=True))
+    assert [r[:2] for r in with_unknown] == [r[:2] for r in filled] + [(None, Decimal("9.00"))]
     assert [r[1] for r in filled][-2:] == [Decimal("0.00"), Decimal("80.00")]
     assert [r[4] for r in filled][-2:] == [Decimal("-100.00"), None]
 

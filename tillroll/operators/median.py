@@ -21,6 +21,8 @@ def median_row(df, column, width=BUCKET_WIDTH):
         .groupBy(value.alias("value"))
         .agg(F.count("*").alias("n"))
         .withColumn("bucket", F.floor(F.col("value") / F.lit(width)).cast("bigint"))
+        # Implied by the value; stated, both uses below share one scan and shuffle.
+        .filter(F.col("bucket").isNotNull())
     )
     running = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy()

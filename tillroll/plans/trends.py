@@ -46,16 +46,19 @@ def day_of_week_sales(orders):
 
 
 def _with_empty_periods(periods, start, months):
-    """Add the missing periods between the first and the last one, with revenue 0."""
-    calendar = periods.agg(F.min(start).alias("low"), F.max(start).alias("high")).select(
-        F.explode(
-            F.sequence("low", "high", F.expr(f"interval {months} month"))
-        ).alias(start)
-    )
-    filled = calendar.join(periods, start, "left").withColumn(
-        "revenue", F.coalesce("revenue", F.lit(0).cast("decimal(28,2)"))
+    """Follow each period by the missing ones up to the next, with revenue 0."""
+    step = F.expr(f"interval {months} month")
+    last_before_next = F.lead(start).over(Window.orderBy(asc(start))) - step
+    return (
+        periods.withColumn("until", F.coalesce(last_before_next, F.col(start)))
+        .withColumn("period", F.explode_outer(F.sequence(F.col(start), F.col("until"), step)))
+        .select(
+            F.col("period").alias(start),
+            F.when(F.col("period") > F.col(start), F.lit(0))
+            .otherwise(F.col("revenue"))
+            .alias("revenue"),
+        )
     )
-    return filled.unionByName(periods.filter(F.col(start).isNull()))
 
 
 def quarterly_growth(orders, on_zero_div="raise", fill_gaps=False):
