@@ -68,6 +68,17 @@ def test_missing_age_gets_the_median_of_all_raw_rows(spark):
     assert ages == {"O0": 30.5, "O1": 20.0}
 
 
+def test_nan_counts_as_missing(spark):
+    nan = float("nan")
+    df = rows(spark, {"customer_age": nan}, {"customer_age": 20.0}, {"total_amount": None})
+    df = df.withColumn("quantity", F.when(F.col("pos") == 1, nan).otherwise(2.0))
+    df = df.withColumn("total_amount", F.coalesce(F.col("total_amount").cast("double"), F.lit(nan)))
+    got = {r.order_id: r.customer_age for r in screened(df).collect()}
+    assert got == {"O0": 25.0}
+    nulls = {r.column_name: r.null_count for r in null_counts(df).collect()}
+    assert (nulls["customer_age"], nulls["quantity"], nulls["total_amount"]) == (1, 1, 1)
+
+
 def test_missing_category(spark):
     assert screened(rows(spark, {"product_category": None})).first().product_category == "Unknown"
 

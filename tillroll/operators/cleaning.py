@@ -11,6 +11,7 @@ from tillroll import fixed_values as fixed
 from tillroll.functions import digits_only, ranges, ratio, strip, title_case
 from tillroll.operators.dedup import first_per_key
 from tillroll.operators.median import exact_median
+from tillroll.operators.missing import nan_as_null
 from tillroll.sources.delimited import SOURCE_ORDER
 from tillroll.sources.scratch import written
 
@@ -44,6 +45,7 @@ def screen_orders(df, order_col=None, date_formats=DATE_FORMATS):
     The order of the steps counts: a repeated order is dropped before dates are
     checked, so a first copy with a bad date takes the whole order with it.
     """
+    df = nan_as_null(df)
     columns = set(df.columns)
     if "customer_age" in columns:
         age = F.col("customer_age").cast("double")
@@ -136,7 +138,9 @@ def clean_orders(
 def null_counts(df):
     """One row per column: column_name, null_count."""
     names = [c for c in df.columns if c != SOURCE_ORDER]
-    counted = df.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in names])
+    counted = nan_as_null(df).agg(
+        *[F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in names]
+    )
     return counted.unpivot([], [F.col(f"`{c}`") for c in names], "column_name", "null_count")
 
 
