@@ -27,6 +27,14 @@ from tillroll.sources.delimited import SOURCE_ORDER, read_flat_csv, write_csv
 from tillroll.sources.scratch import scratch_path, written
 from tillroll.sources.star_schema import flat_from_star, shop_from_star
 
+try:  # the corpus operators are a part of their own, which may be absent
+    import corpus_pipeline  # noqa: F401
+    from tillroll.llm import queries as corpus
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "tillroll.llm"):
+        raise
+    corpus = None
+
 AS_OF = oracle.AS_OF
 
 
@@ -215,7 +223,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
                 normalizing.orders_from_flat(_clean(flat))
             )
         ),
-    }
+    } | (corpus.queries() if corpus else {})
 
 
 def oracle_sql() -> dict[str, str]:
@@ -223,4 +231,4 @@ def oracle_sql() -> dict[str, str]:
     texts = oracle.oracle_sql()
     texts["rfm_segments_ranged"] = texts["rfm_segments"]
     texts["rfm_scores_ranged"] = texts["rfm_scores"]
-    return texts
+    return texts | (corpus.oracle_sql() if corpus else {})

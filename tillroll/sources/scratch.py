@@ -4,16 +4,17 @@ A written table cuts the lineage: a lost executor costs a re-read, and every
 reader sees the very same rows. Nothing here is kept on one machine.
 """
 
+import re
 import tempfile
 import uuid
 
 
 def scratch_folder(spark):
-    """Folder named by ``spark.checkpoint.dir``; local sessions may go without it."""
+    """Folder named by ``spark.checkpoint.dir``; only one-process sessions may go without it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     folder = folder or spark.sparkContext.getCheckpointDir()
     if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="tillroll-")
         spark.sparkContext.setCheckpointDir(folder)
