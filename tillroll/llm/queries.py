@@ -1,11 +1,15 @@
-"""Registered queries of the corpus operators, and their DuckDB texts."""
+"""Registered queries of the corpus operators."""
 
 import public_tokenizers
 from pyspark.sql import functions as F
 
+from tillroll.llm import additive_model, ordinal_toxicity, rule_ledger
 from tillroll.llm.common import table
+from tillroll.llm.oracles import oracle_sql
 from tillroll.llm.token_counts import token_counts
 
+__all__ = ["oracle_sql", "queries"]
+
 TOKEN_LIMIT = 4096
 
 
@@ -15,9 +19,49 @@ def op1_token_counts(spark, sf_dir):
     return token_counts(docs, model, TOKEN_LIMIT).select("doc_id", "counted.*")
 
 
-def queries():
-    return {"op1_token_counts": op1_token_counts}
+def op4_quality_rules(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ledger = rule_ledger.with_ledger(docs)
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return ledger.select(
+        "doc_id",
+        *[f"measures.{name}" for name in names],
+        rule_ledger.rejected("base").alias("base_failed"),
+        (~rule_ledger.rejected("v2")).alias("kept"),
+        F.col("failed").alias("failed_rules"),
+    )
+
+
+def op8_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    model = ordinal_toxicity.fit_toxicity(docs.join(labels, "doc_id"))
+    graded = ordinal_toxicity.with_grades(docs, model)
+    return graded.select("doc_id", "toxicity.*")
 
 
-def oracle_sql():
-    return {}
+def held_out(doc_id="doc_id"):
+    """True for the fifth of the documents no label is learned from (null counts as '')."""
+    as_text = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
+    return F.crc32(as_text.cast("binary")) % 5 == 0
+
+
+def op9_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").filter(~held_out())
+    model = additive_model.fit_quality(docs.join(labels, "doc_id"))
+    return additive_model.with_quality(docs, model).select(
+        "doc_id",
+        held_out().alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
+def queries():
+    return {
+        "op1_token_counts": op1_token_counts,
+        "op4_quality_rules": op4_quality_rules,
+        "op8_toxicity": op8_toxicity,
+        "op9_quality": op9_quality,
+    }
