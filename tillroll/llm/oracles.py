@@ -55,5 +55,25 @@ FROM f
 """
 
 
+OP3 = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS s FROM pages
+), r AS (
+  SELECT page_id, octet_length(encode(h)) AS payload_bytes,
+         list_reduce(
+           list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+             1 + ((('0x' || substr(s, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT, 1)),
+           lambda a, b: a || b) AS payload_digest,
+         row_number() OVER (PARTITION BY h ORDER BY page_id DESC NULLS LAST) AS n,
+         max(page_id) OVER (PARTITION BY h) AS first_id
+  FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN n = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN n > 1 THEN first_id END AS refers_to
+FROM r
+"""
+
+
 def oracle_sql():
-    return {"op4_quality_rules": OP4}
+    return {"op3_warc": OP3, "op4_quality_rules": OP4}

@@ -3,10 +3,11 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tillroll.llm import additive_model, ordinal_toxicity, rule_ledger
+from tillroll.llm import additive_model, ordinal_toxicity, rule_ledger, warc
 from tillroll.llm.common import table
 from tillroll.llm.oracles import oracle_sql
 from tillroll.llm.token_counts import token_counts
+from tillroll.sources.scratch import scratch_path
 
 __all__ = ["oracle_sql", "queries"]
 
@@ -19,6 +20,19 @@ def op1_token_counts(spark, sf_dir):
     return token_counts(docs, model, TOKEN_LIMIT).select("doc_id", "counted.*")
 
 
+def op3_warc(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    path = scratch_path(spark, "warc")
+    warc.write_warc(pages, path, row_id="page_id", uri="url", payload="html")
+    return warc.read_warc(spark, path, payloads=False).select(
+        F.col("row_id").cast("long").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        F.col("kind").alias("record_type"),
+        F.col("refers_to").cast("long").alias("refers_to"),
+    )
+
+
 def op4_quality_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ledger = rule_ledger.with_ledger(docs)
@@ -61,6 +75,7 @@ def op9_quality(spark, sf_dir):
 def queries():
     return {
         "op1_token_counts": op1_token_counts,
+        "op3_warc": op3_warc,
         "op4_quality_rules": op4_quality_rules,
         "op8_toxicity": op8_toxicity,
         "op9_quality": op9_quality,
