@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tillroll.llm import additive_model, ordinal_toxicity, rule_ledger, warc
+from tillroll.llm import additive_model, ordinal_toxicity, retrieval_packing, rule_ledger, warc
 from tillroll.llm.common import table
 from tillroll.llm.oracles import oracle_sql
 from tillroll.llm.token_counts import token_counts
@@ -54,6 +54,11 @@ def op8_toxicity(spark, sf_dir):
     return graded.select("doc_id", "toxicity.*")
 
 
+def op6_retrieval_packing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return retrieval_packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
 def held_out(doc_id="doc_id"):
     """True for the fifth of the documents no label is learned from (null counts as '')."""
     as_text = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
@@ -77,6 +82,7 @@ def queries():
         "op1_token_counts": op1_token_counts,
         "op3_warc": op3_warc,
         "op4_quality_rules": op4_quality_rules,
+        "op6_retrieval_packing": op6_retrieval_packing,
         "op8_toxicity": op8_toxicity,
         "op9_quality": op9_quality,
     }
