@@ -75,5 +75,41 @@ FROM r
 """
 
 
+TERM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+OP7 = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{TERM}') AS ws
+  FROM documents
+), b AS (
+  SELECT coalesce(item_id::VARCHAR, '') AS item_id,
+         regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{TERM}') AS ws
+  FROM benchmark
+), item_windows AS (
+  SELECT DISTINCT item_id, least(10, len(ws)) AS n,
+         array_to_string(ws[s + 1 : s + least(10, len(ws))], ' ') AS phrase
+  FROM (SELECT *, unnest(range(len(ws) - least(10, len(ws)) + 1)) AS s FROM b WHERE len(ws) > 0)
+), doc_windows AS (
+  SELECT k, n, s, array_to_string(ws[s + 1 : s + n], ' ') AS phrase
+  FROM (SELECT k, ws, n, unnest(range(greatest(len(ws) - n + 1, 0))) AS s
+        FROM d, (SELECT DISTINCT n FROM item_windows))
+), hits AS (
+  SELECT k, item_id, s, n FROM doc_windows JOIN item_windows USING (n, phrase)
+), covered AS (
+  SELECT k, count(DISTINCT p) AS n_hit
+  FROM (SELECT k, unnest(range(s, s + n)) AS p FROM hits) GROUP BY k
+), found AS (
+  SELECT k, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+  FROM (SELECT DISTINCT k, item_id FROM hits) GROUP BY k
+)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit,
+       coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (k) LEFT JOIN found USING (k)
+"""
+
+
 def oracle_sql():
-    return {"op3_warc": OP3, "op4_quality_rules": OP4}
+    return {"op7_decontamination": OP7, "op3_warc": OP3, "op4_quality_rules": OP4}

@@ -3,7 +3,14 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tillroll.llm import additive_model, ordinal_toxicity, retrieval_packing, rule_ledger, warc
+from tillroll.llm import (
+    additive_model,
+    decontamination,
+    ordinal_toxicity,
+    retrieval_packing,
+    rule_ledger,
+    warc,
+)
 from tillroll.llm.common import table
 from tillroll.llm.oracles import oracle_sql
 from tillroll.llm.token_counts import token_counts
@@ -46,6 +53,25 @@ def op4_quality_rules(spark, sf_dir):
     )
 
 
+def op7_decontamination(spark, sf_dir):
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    documents, hits = decontamination.contamination(docs, items)
+    n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
+    ids = F.coalesce(F.array_join("items", ","), F.lit(""))
+    return (
+        documents.select("key", "doc_id", "n_words")
+        .join(hits, "key", "left")
+        .select(
+            "doc_id",
+            "n_words",
+            n_hit.alias("n_hit"),
+            F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
+            F.sha2(ids, 256).alias("items_sha256"),
+            (n_hit > 0).alias("contaminated"),
+        )
+    )
+
+
 def op8_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
@@ -83,6 +109,7 @@ def queries():
         "op3_warc": op3_warc,
         "op4_quality_rules": op4_quality_rules,
         "op6_retrieval_packing": op6_retrieval_packing,
+        "op7_decontamination": op7_decontamination,
         "op8_toxicity": op8_toxicity,
         "op9_quality": op9_quality,
     }
