@@ -111,5 +111,31 @@ FROM d LEFT JOIN covered USING (k) LEFT JOIN found USING (k)
 """
 
 
+OP10 = rf"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS k, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{WORD}') AS ws
+  FROM documents
+), s AS (
+  SELECT DISTINCT k, array_to_string(ws[i + 1 : i + least(5, len(ws))], ' ') AS g
+  FROM (SELECT k, ws, unnest(range(len(ws) - least(5, len(ws)) + 1)) AS i FROM d WHERE len(ws) > 0)
+), n AS (
+  SELECT k, count(*) AS n FROM s GROUP BY k
+), links AS (
+  SELECT a.k AS x, b.k AS y
+  FROM s a JOIN s b ON a.g = b.g AND a.k <> b.k
+  GROUP BY a.k, b.k
+  HAVING 100 * count(*) >= 80 * ((SELECT n FROM n WHERE n.k = a.k) + (SELECT n FROM n WHERE n.k = b.k) - count(*))
+), reach AS (
+  SELECT k AS x, k AS y FROM d
+  UNION
+  SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, r.component_id
+FROM d LEFT JOIN n USING (k)
+JOIN (SELECT x AS k, min(e.doc_id) AS component_id FROM reach JOIN d e ON e.k = reach.y GROUP BY x) r USING (k)
+"""
+
+
 def oracle_sql():
-    return {"op7_decontamination": OP7, "op3_warc": OP3, "op4_quality_rules": OP4}
+    return {"op10_shingle_join": OP10, "op7_decontamination": OP7, "op3_warc": OP3, "op4_quality_rules": OP4}

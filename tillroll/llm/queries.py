@@ -9,6 +9,7 @@ from tillroll.llm import (
     ordinal_toxicity,
     retrieval_packing,
     rule_ledger,
+    shingle_join,
     warc,
 )
 from tillroll.llm.common import table
@@ -103,6 +104,11 @@ def op9_quality(spark, sf_dir):
     )
 
 
+def op10_shingle_join(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return shingle_join.near_duplicates(docs).select("doc_id", "n_shingles", "component_id")
+
+
 def queries():
     return {
         "op1_token_counts": op1_token_counts,
@@ -112,4 +118,5 @@ def queries():
         "op7_decontamination": op7_decontamination,
         "op8_toxicity": op8_toxicity,
         "op9_quality": op9_quality,
+        "op10_shingle_join": op10_shingle_join,
     }
