@@ -5,8 +5,8 @@ feature's bins corrects the score a little, and the corrections add up in a
 lookup table. Afterwards the feature pairs that explain most of what is left get
 tables of their own. A score is the sum of the looked-up values.
 
-The model is fitted on a bounded sample of the labelled rows (``fit_rows``),
-taken by the hash of the text's measures, and applied to every row. Without rows
+The model is fitted on a bounded sample of the labelled rows (``fit_rows``, those
+with the lowest hashes of their key) and applied to every row. Without rows
 of both labels the score is the smoothed share of label 1, or 0.5 without any
 rows. Null labels are left out, null texts measure as empty ones.
 """
@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tillroll.llm.common import labelled_sample
 from tillroll.llm.measures import MEASURES, measure
 
 FEATURES = (
@@ -181,15 +182,11 @@ def measured_texts(docs, text="text", into="measured"):
     return docs.withColumn(into, measures_of(F.col(f"`{text}`").cast("string")))
 
 
-def fit_quality(labelled, label="quality", text="text", fit_rows=20_000):
-    """Fit on at most ``fit_rows`` labelled rows, those with the lowest text hashes."""
-    rows = labelled.filter(F.col(f"`{label}`").isin(0, 1)).select(
-        F.col(f"`{label}`").cast("int").alias("y"),
-        F.col(f"`{text}`").cast("string").alias("t"),
-    )
-    bounded = rows.withColumn("h", F.xxhash64("t")).orderBy("h", "y").limit(fit_rows)
-    sample = measured_texts(bounded, "t").select("y", "measured").toPandas()
-    return fit(features(list(sample["measured"])), sample["y"].to_numpy())
+def fit_quality(docs, labels, label="quality", key="doc_id", text="text", fit_rows=20_000):
+    """Fit on at most ``fit_rows`` labelled rows, those with the lowest key hashes."""
+    sample = measured_texts(labelled_sample(docs, labels, label, fit_rows, key, text))
+    rows = sample.select("y", "measured").orderBy("measured", "y").limit(fit_rows).toPandas()
+    return fit(features(list(rows["measured"])), rows["y"].to_numpy())
 
 
 def with_quality(docs, model, text="text", into="score"):

@@ -19,3 +19,21 @@ def table(spark, sf_dir, name):
 def text_of(column):
     """The text in a column, empty for null."""
     return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(""))
+
+
+def labelled_sample(docs, labels, label, rows, key="doc_id", text="text"):
+    """(y, text) of the documents of at most ``rows`` labels of 0 or 1.
+
+    The labels with the lowest hashes of their key are taken; only they, a few
+    bytes each, are sent to the documents.
+    """
+    chosen = (
+        labels.filter(F.col(f"`{label}`").isin(0, 1))
+        .select(F.col(f"`{key}`").alias("key"), F.col(f"`{label}`").cast("int").alias("y"))
+        .orderBy(F.xxhash64("key"), "key", "y")
+        .limit(rows)
+    )
+    texts = docs.select(
+        F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text")
+    )
+    return texts.join(F.broadcast(chosen), "key").select("y", "text")

@@ -5,8 +5,8 @@ a text's weights add up: P(grade <= k) = sigmoid(threshold_k - weights). Feature
 are the words of a text and their beginnings, present or not, so a text's length
 does not matter.
 
-The model is fitted on a bounded sample of labelled rows (``fit_rows``, the
-lowest text hashes) and applied to every row. Without toxic rows to learn from
+The model is fitted on a bounded sample of labelled rows (``fit_rows``, those
+with the lowest hashes of their key) and applied to every row. Without toxic rows to learn from
 nothing is toxic. A null or empty text has no features; null labels are left
 out; repeated rows are graded each.
 """
@@ -19,7 +19,9 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tillroll.llm.common import labelled_sample
 from tillroll.llm.prefix_bpe import CACHE_ENTRIES
+from tillroll.sources.scratch import written
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -95,19 +97,15 @@ def fit(rows, grades, n_features, n_grades=GRADES, steps=400, rate=0.1, ridge=0.
     return weights, np.cumsum(np.r_[free[0], np.exp(free[1:])])
 
 
-def graded_sample(labelled, label="toxic", text="text", fit_rows=15_000):
-    """At most ``fit_rows`` labelled rows as (y, features), lowest text hashes first."""
+def featured_sample(docs, labels, label, key, text, fit_rows):
+    """(y, features) of at most ``fit_rows`` labelled rows, stored."""
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def features_of(texts: pd.Series) -> pd.Series:
         return pd.Series([text_features(t) for t in texts], dtype=object)
 
-    rows = labelled.filter(F.col(f"`{label}`").isNotNull()).select(
-        (F.col(f"`{label}`").cast("int") > 0).cast("int").alias("y"),
-        F.col(f"`{text}`").cast("string").alias("t"),
-    )
-    bounded = rows.withColumn("h", F.xxhash64("t")).orderBy("h", "y").limit(fit_rows)
-    return bounded.select("y", features_of("t").alias("features"))
+    sample = labelled_sample(docs, labels, label, fit_rows, key, text)
+    return written(sample.select("y", features_of("text").alias("features")), "featured")
 
 
 def select_features(sample, at_least=4, n=4000):
@@ -133,13 +131,13 @@ def select_features(sample, at_least=4, n=4000):
     return sorted(r["feature"] for r in best.select("feature").collect())
 
 
-def fit_toxicity(labelled, label="toxic", text="text", fit_rows=15_000):
+def fit_toxicity(docs, labels, label="toxic", key="doc_id", text="text", fit_rows=15_000):
     """Fit on binary labels; toxic texts are graded by how many features they have.
 
     The grades 1 to ``GRADES`` split the toxic texts of the sample evenly by the
     number of selected features they contain.
     """
-    sample = graded_sample(labelled, label, text, fit_rows)
+    sample = featured_sample(docs, labels, label, key, text, fit_rows)
     chosen = select_features(sample)
     if not chosen:
         return OrdinalModel({}, [30.0] * GRADES)
@@ -149,7 +147,8 @@ def fit_toxicity(labelled, label="toxic", text="text", fit_rows=15_000):
     def numbered(found: pd.Series) -> pd.Series:
         return pd.Series([[number[f] for f in x if f in number] for x in found], dtype=object)
 
-    rows = sample.select("y", numbered("features").alias("x")).orderBy("y", "x").toPandas()
+    sparse = sample.select("y", numbered("features").alias("x"))
+    rows = sparse.orderBy("y", "x").limit(fit_rows).toPandas()
     y, sparse = rows["y"].to_numpy(), list(rows["x"])
     amount = np.array([len(x) for x in sparse])
     edges = np.quantile(amount[y > 0], np.arange(1, GRADES) / GRADES)

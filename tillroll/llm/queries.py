@@ -76,7 +76,7 @@ def op7_decontamination(spark, sf_dir):
 def op8_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    model = ordinal_toxicity.fit_toxicity(docs.join(labels, "doc_id"))
+    model = ordinal_toxicity.fit_toxicity(docs, labels)
     graded = ordinal_toxicity.with_grades(docs, model)
     return graded.select("doc_id", "toxicity.*")
 
@@ -95,7 +95,7 @@ def held_out(doc_id="doc_id"):
 def op9_quality(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality").filter(~held_out())
-    model = additive_model.fit_quality(docs.join(labels, "doc_id"))
+    model = additive_model.fit_quality(docs, labels)
     return additive_model.with_quality(docs, model).select(
         "doc_id",
         held_out().alias("held_out"),
