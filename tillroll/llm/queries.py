@@ -7,6 +7,7 @@ from tillroll.llm import (
     additive_model,
     decontamination,
     ordinal_toxicity,
+    passages,
     retrieval_packing,
     rule_ledger,
     shingle_join,
@@ -28,6 +29,20 @@ def op1_token_counts(spark, sf_dir):
     return token_counts(docs, model, TOKEN_LIMIT).select("doc_id", "counted.*")
 
 
+def op2_substring_dedup(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    _, found = passages.repeated_passages(docs)
+    return found.select(
+        "doc_id",
+        F.col("start").alias("start_word"),
+        F.col("end").alias("end_word"),
+        "first_doc_id",
+        F.col("first_start").alias("first_start_word"),
+        F.col("first_end").alias("first_end_word"),
+        F.col("common").alias("common_words"),
+    )
+
+
 def op3_warc(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     path = scratch_path(spark, "warc")
@@ -112,6 +127,7 @@ def op10_shingle_join(spark, sf_dir):
 def queries():
     return {
         "op1_token_counts": op1_token_counts,
+        "op2_substring_dedup": op2_substring_dedup,
         "op3_warc": op3_warc,
         "op4_quality_rules": op4_quality_rules,
         "op6_retrieval_packing": op6_retrieval_packing,
