@@ -37,3 +37,14 @@ def labelled_sample(docs, labels, label, rows, key="doc_id", text="text"):
         F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text")
     )
     return texts.join(F.broadcast(chosen), "key").select("y", "text")
+
+
+def text_md5(column="text"):
+    return F.md5(F.col(f"`{column}`").cast("string").cast("binary"))
+
+
+def of_rows(docs, rows, how, key="doc_id", text="text", hint=lambda df: df):
+    """``docs`` joined (semi or anti) with identities (key, text_md5), nulls equal nulls."""
+    named = rows.select(F.col(key).alias("__key"), F.col("text_md5").alias("__md5"))
+    same = F.col(f"`{key}`").eqNullSafe(F.col("__key")) & text_md5(text).eqNullSafe(F.col("__md5"))
+    return docs.join(hint(named), same, how)

@@ -18,7 +18,7 @@ import string
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tillroll.llm.common import text_of
+from tillroll.llm.common import text_md5, text_of
 from tillroll.sources.scratch import written
 
 #: Words of a window, and windows of a segment: 62 bits at most.
@@ -45,10 +45,11 @@ def words_in(joined):
 
 
 def stored_words(docs, doc_id="doc_id", text="text"):
-    """key, doc_id, n_words and the joined words of every document, stored once."""
+    """key, doc_id, text_md5, n_words and the joined words of every document, stored once."""
     rows = docs.select(
         F.monotonically_increasing_id().alias("key"),
         F.col(f"`{doc_id}`").alias("doc_id"),
+        text_md5(text).alias("text_md5"),
         normalized(text_of(text)).alias("joined"),
     )
     spaces = F.length("joined") - F.length(F.replace("joined", F.lit(" "), F.lit("")))
@@ -221,3 +222,11 @@ def contamination(docs, items, doc_id="doc_id", text="text", item_id="item_id",
         .withColumn("n_items", F.size("items").cast("long"))
     )
     return documents, hits
+
+
+def without_contaminated(docs, items, doc_id="doc_id", text="text"):
+    """The rows and columns of ``docs`` in whose text no window of an item occurs."""
+    documents, hits = contamination(docs, items, doc_id, text)
+    texts = documents.join(hits, "key", "left_semi").select(F.col("text_md5").alias("__md5"))
+    found = small(written(texts.distinct(), "contaminated"))
+    return docs.join(found, text_md5(text).eqNullSafe(F.col("__md5")), "left_anti")

@@ -198,3 +198,10 @@ def with_grades(docs, model, text="text", into="toxicity", reject=0.5):
             )
 
     return docs.withColumn(into, graded(F.col(f"`{text}`").cast("string")))
+
+
+def without_toxic(docs, labels, key="doc_id", text="text"):
+    """The rows and columns of ``docs`` whose text is not toxic."""
+    model = fit_toxicity(docs, labels, key=key, text=text)
+    graded = with_grades(docs, model, text, into="__toxicity")
+    return graded.filter(~F.col("__toxicity.toxic")).drop("__toxicity")

@@ -1,5 +1,6 @@
 """Registered queries of the corpus operators."""
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import functions as F
 
@@ -135,4 +136,5 @@ def queries():
         "op8_toxicity": op8_toxicity,
         "op9_quality": op9_quality,
         "op10_shingle_join": op10_shingle_join,
+        "pipeline": corpus_pipeline.run,
     }

@@ -30,6 +30,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tillroll.llm.common import of_rows, text_md5
 from tillroll.llm.components import components
 from tillroll.llm.shingles import Shingler
 from tillroll.sources.scratch import written
@@ -113,7 +114,7 @@ def described(docs, frequent, k, percent, doc_id, text):
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"),
         F.col(f"`{doc_id}`").cast("string").alias("doc_id"),
-        F.md5(F.col(f"`{text}`").cast("string").cast("binary")).alias("text_md5"),
+        text_md5(text).alias("text_md5"),
         F.col(f"`{text}`").cast("string").alias("text"),
     )
     table = written(rows.mapInPandas(rows_of, schema), "described")
@@ -141,7 +142,7 @@ def shared_entries(table, classes):
 def texts_of(docs, text, wanted):
     """(class, text) for the classes in ``wanted`` (class, text_md5), each once."""
     content = F.col(f"`{text}`").cast("string")
-    found = docs.select(F.md5(content.cast("binary")).alias("text_md5"), content.alias("text"))
+    found = docs.select(text_md5(text).alias("text_md5"), content.alias("text"))
     return found.join(small(written(wanted, "wanted")), "text_md5").groupBy("class").agg(
         F.first("text").alias("text")
     )
@@ -363,3 +364,25 @@ def near_duplicates(docs, doc_id="doc_id", text="text", k=5, percent=80):
         F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
         F.when(alone, F.col("row")).otherwise(F.col("least_row")).alias("component"),
     )
+
+
+def one_per_group(docs, doc_id="doc_id", text="text", k=5, percent=80):
+    """The rows and columns of ``docs``, one row of each group of near duplicates.
+
+    The smallest id stays, of repeated rows one. Texts without words all stay.
+    """
+    rows = written(near_duplicates(docs, doc_id, text, k, percent), "near")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    first = rows.groupBy("component").agg(F.min(order).alias("first"))
+    marked = rows.join(first.select("component", F.col("first.row").alias("stays")), "component")
+    kinds = marked.groupBy("doc_id", "text_md5").agg(
+        F.max(F.col("row") == F.col("stays")).alias("stays"),
+        ((F.count("*") > 1) & (F.max("n_shingles") > 0)).alias("repeated"),
+    )
+    kinds = written(kinds.withColumnRenamed("doc_id", doc_id).filter("repeated OR NOT stays"), "kinds")
+    kept = of_rows(docs, kinds.filter("NOT stays"), "left_anti", doc_id, text, small)
+    repeated = kinds.filter("stays AND repeated")
+    if repeated.isEmpty():
+        return kept
+    once = of_rows(kept, repeated, "left_semi", doc_id, text, small).dropDuplicates([doc_id, text])
+    return of_rows(kept, repeated, "left_anti", doc_id, text, small).unionByName(once)
