@@ -1,0 +1,105 @@
+import random
+import re
+
+import pytest
+
+from tillroll.llm import decontamination as clean
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def words(text):
+    return TERM.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def brute(docs, items):
+    windows = set()
+    for item, text in items:
+        w = words(text)
+        n = min(10, len(w))
+        windows |= {(str(item or ""), tuple(w[i : i + n])) for i in range(len(w) - n + 1) if n}
+    out = []
+    for doc, text in docs:
+        w, hit, found = words(text), set(), set()
+        for item, window in windows:
+            for i in range(len(w) - len(window) + 1):
+                if tuple(w[i : i + len(window)]) == window:
+                    hit |= set(range(i, i + len(window)))
+                    found.add(item)
+        out.append((doc, len(w), len(hit), sorted(found)))
+    return sorted(out, key=str)
+
+
+def run(spark, docs, items):
+    d = spark.createDataFrame([(*r, 1) for r in docs], "doc_id long, text string, key int")
+    i = spark.createDataFrame([(*r, 1) for r in items], "item_id string, text string, words int")
+    documents, hits = clean.contamination(d, i)
+    rows = documents.join(hits, "key", "left").collect()
+    return sorted(
+        ((r["doc_id"], r["n_words"], r["n_hit"] or 0, r["items"] or []) for r in rows), key=str
+    )
+
+
+@pytest.fixture(scope="module")
+def corpus():
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(40)]
+
+    def text(n):
+        return " ".join(rng.choice(vocabulary) for _ in range(n))
+
+    items = [(f"i{i}", text(n)) for i, n in enumerate([12, 30, 200, 10, 9, 3, 130])]
+    items += [("one", "w7"), ("none", "..."), (None, None), (None, text(11)), ("i0", text(15))]
+    docs = []
+    for i in range(60):
+        parts = [text(rng.randrange(30))]
+        for _, item in rng.sample(items[:7], rng.randrange(3)):
+            w = item.split(" ")
+            a = rng.randrange(len(w))
+            parts += [" ".join(w[a : a + rng.randrange(5, 60)]).upper(), text(rng.randrange(9))]
+        docs.append((i % 50, ", ".join(parts)))
+    return [*docs, (1, None), (None, ""), (2, "É W1 " * 2000), *docs[:2]], items
+
+
+@pytest.mark.parametrize("rows", [50_000, 0])
+def test_against_brute_force(spark, corpus, monkeypatch, rows):
+    monkeypatch.setattr(clean, "BROADCAST_ROWS", rows)
+    docs, items = corpus
+    assert run(spark, docs, items) == brute(docs, items)
+
+
+@pytest.mark.parametrize("docs, items", [([], [("a", "b c")]), ([(1, "b c")], []), ([], [])])
+def test_empty_tables(spark, docs, items):
+    assert run(spark, docs, items) == brute(docs, items)
+
+
+def test_stays_in_the_jvm(spark, corpus):
+    docs = spark.createDataFrame(corpus[0], "doc_id long, text string")
+    items = spark.createDataFrame(corpus[1], "item_id string, text string")
+    documents, hits = clean.contamination(docs, items)
+    plan = documents.join(hits, "key", "left")._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_proximity_finds_reworded_passages(spark):
+    item = " ".join(f"t{i}" for i in range(20))
+    changed = " ".join(f"t{i}" if i % 7 else f"t{i} filler" for i in range(20))
+    docs = spark.createDataFrame([(1, "a b " + changed), (2, "t1 t2 and t3")], "doc_id long, text string")
+    items = spark.createDataFrame([("x", item)], "item_id string, text string")
+    documents, segments = clean.stored_words(docs), clean.segments_of(items)
+    rarest = clean.rarest_terms(segments, clean.document_frequency(documents, segments))
+    terms = rarest.selectExpr("explode(anchors.term) AS term").distinct()
+    postings = clean.postings_of(documents, terms)
+    near = clean.proximity_matches(postings, rarest).join(documents, "key").collect()
+    assert [r["doc_id"] for r in near] == [1]
+    assert clean.phrase_matches(documents, segments, rarest, postings).count() == 0
+
+
+def test_filter_keeps_columns_and_clean_rows(spark, corpus):
+    docs, items = corpus
+    d = spark.createDataFrame([(*r, "s") for r in docs], "doc_id long, text string, joined string")
+    i = spark.createDataFrame(items, "item_id string, text string")
+    left = clean.without_contaminated(d, i)
+    assert left.columns == d.columns
+    expected = sorted(r[0] is not None and r[0] for r in brute(docs, items) if not r[2])
+    assert sorted(r["doc_id"] is not None and r["doc_id"] for r in left.collect()) == expected

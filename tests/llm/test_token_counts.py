@@ -1,0 +1,84 @@
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+from sentencepiece import SentencePieceProcessor
+from tokenizers import Tokenizer
+
+from tillroll.llm import prefix_bpe, queries
+from tillroll.llm import token_counts as counting
+
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+WORDS = public_tokenizers.path("word_bpe_49k.json")
+LIBRARY = SentencePieceProcessor(model_file=PIECES)
+ODD = [
+    " ", "  a", "a  b ", " \n \n", "▁a▁ b▁", "日本語 テスト<s></s><unk><0x0A>", "x\x00y\r\n\tz",
+    "a" * 40, " " * 37 + "def f(x):\n        return x", "é́ ñ ﬁ", "🙂🙂 a🙂", "<|endoftext|>",
+]
+
+
+def prefix_counts(text):
+    return counting.counts_of(next(counting.text_ledgers([text], PIECES)))
+
+
+@pytest.mark.parametrize("text", ODD)
+def test_every_prefix_has_the_count_of_the_library(text):
+    counts = prefix_counts(text)
+    assert counts.tolist() == [len(LIBRARY.encode(text[:n])) for n in range(len(text) + 1)]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="ab ▁\n\té日.inthe", max_size=40))
+def test_random_prefixes(text):
+    counts = prefix_counts(text)
+    assert counts.tolist() == [len(LIBRARY.encode(text[:n])) for n in range(len(text) + 1)]
+
+
+def test_plain_merging_agrees_with_the_walk():
+    encoder, ids, symbols = prefix_bpe.from_word_vocabulary(WORDS)
+    words = ["the", "thereof", "unüblich", "ciónes", "aaaaaaa", "x"]
+    known = Tokenizer.from_file(WORDS)
+    for text, last in encoder.walk(map(symbols, words)):
+        assert encoder.split(text, last) == encoder.merged(text)
+    for word in words:
+        expected = known.encode(word, add_special_tokens=False).ids
+        assert [ids[t] for t in encoder.tokens(symbols(word))] == expected
+
+
+def test_ledger_answers_prefixes_and_budgets(spark):
+    texts = [(0, None), (1, ""), (2, "The thing, the thing.\nAnd  more"), (3, "x" * 30_000)]
+    docs = spark.createDataFrame(texts, "id long, text string")
+    ledger = counting.with_ledger(docs, PIECES)
+    rows = ledger.select(
+        "id",
+        "text",
+        counting.tokens_in_prefix("ledger", F.lit(5)).alias("five"),
+        counting.chars_in_budget("ledger", F.lit(4)).alias("fit"),
+    ).collect()
+    for row in rows:
+        text = row["text"] or ""
+        assert row["five"] == len(LIBRARY.encode(text[:5]))
+        fits = [n for n in range(min(len(text), 200) + 1) if len(LIBRARY.encode(text[:n])) <= 4]
+        assert row["fit"] == fits[-1]
+
+
+def test_clashing_and_extra_columns(spark):
+    docs = spark.createDataFrame([(1, "a b", "x")], "n_tokens long, text string, counted string")
+    row = counting.token_counts(docs, PIECES, 1).first()
+    assert row["n_tokens"] == 1
+    assert tuple(row["counted"]) == (3, 2, True, 1)
+    assert counting.token_counts(docs.limit(0), PIECES, 1).count() == 0
+
+
+def test_query_matches_the_library(spark):
+    sf = "/root/testdata/sf0.001"
+    texts = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    texts = {r["doc_id"]: r["text"] or "" for r in texts}
+    rows = queries.op1_token_counts(spark, sf).collect()
+    assert len(rows) == len(texts)
+    for row in rows:
+        expected = len(LIBRARY.encode(texts[row["doc_id"]]))
+        assert row["n_tokens"] == expected
+        assert row["over_limit"] == (expected > 4096)
+        assert row["n_bytes"] == len(texts[row["doc_id"]].encode())

@@ -1,0 +1,96 @@
+import gzip
+import hashlib
+
+import pytest
+
+from tillroll.llm import warc
+from tillroll.sources.scratch import scratch_path
+
+SCHEMA = "id long, uri string, body string, record_id string"
+
+
+def round_trip(spark, rows, **options):
+    path = scratch_path(spark, "warc-test")
+    pages = spark.createDataFrame(rows, SCHEMA)
+    warc.write_warc(pages, path, "id", "uri", "body", **options)
+    return path, {r["row_id"]: r for r in warc.read_warc(spark, path).collect()}
+
+
+ROWS = [
+    (1, "u1", "same", "x"),
+    (2, "u2", "same", "x"),
+    (3, None, "same", None),
+    (4, "u\r\n4", "é" * 1000 + "\r\n\r\nWARC/1.1\r\n", "x"),
+    (5, "u5", None, "x"),
+    (6, "u6", "", "x"),
+    (7, "u7", "0\r\n\r\n", "x"),
+]
+
+
+@pytest.mark.parametrize("segment", [100, 1 << 20])
+def test_round_trip(spark, segment):
+    _, found = round_trip(spark, ROWS, segment_bytes=segment, chunk_bytes=64, file_records=3)
+    assert len(found) == len(ROWS)
+    for key, _, body, _ in ROWS:
+        row, payload = found[str(key)], (body or "").encode()
+        assert row["payload_bytes"] == len(payload)
+        assert row["payload_digest"] == warc.digest(payload)
+        if row["kind"] == "response":
+            assert bytes(row["payload"]) == payload
+        else:
+            assert row["payload"] is None
+    assert {k: r["refers_to"] for k, r in found.items() if r["kind"] == "revisit"} == {
+        "1": "3",
+        "2": "3",
+        "5": "6",
+    }
+
+
+def test_short_payloads_can_stay_responses(spark):
+    _, found = round_trip(spark, ROWS, min_revisit_bytes=4)
+    assert {k for k, r in found.items() if r["kind"] == "revisit"} == {"1", "2"}
+
+
+def test_repeated_rows_and_null_ids(spark):
+    path = scratch_path(spark, "warc-test")
+    rows = [(1, "u", "b", None)] * 3 + [(None, "u", "b", None)]
+    warc.write_warc(spark.createDataFrame(rows, SCHEMA), path, "id", "uri", "body")
+    found = warc.read_warc(spark, path, payloads=False).collect()
+    assert sorted(r["kind"] for r in found) == ["response", "revisit", "revisit", "revisit"]
+    assert {r["refers_to"] for r in found if r["kind"] == "revisit"} == {"1"}
+
+
+def test_empty_table(spark):
+    path, found = round_trip(spark, [])
+    assert found == {}
+
+
+def test_missing_segment_raises(spark):
+    path = scratch_path(spark, "warc-test")
+    pages = spark.createDataFrame([(1, "u", "b" * 1000, "x")], SCHEMA)
+    warc.write_warc(pages, path, "id", "uri", "body", segment_bytes=300)
+    records = warc.read_records(spark, path)
+    assert records.count() == 4
+    assert len(warc.reassembled(records).collect()) == 1
+    for gone in (1, 2, 4):
+        with pytest.raises(Exception, match="segments missing"):
+            warc.reassembled(records.filter(f"segment <> {gone}")).collect()
+
+
+def test_files_of_one_or_many_gzip_members():
+    records = [warc._record([("WARC-Record-ID", f"<{i}>")], b"b" * i) + b"\r\n\r\n" for i in range(3)]
+    whole = b"".join(records)
+    expected = [b"b" * i for i in range(3)]
+    for data in (whole, gzip.compress(whole), b"".join(map(gzip.compress, records))):
+        assert [block for _, block in warc.parsed(data)] == expected
+    with pytest.raises(ValueError):
+        list(warc.parsed(whole[:-3]))
+
+
+def test_chunked_framing():
+    payload = bytes(range(256)) * 9
+    assert warc.dechunked(warc.chunked(payload, 100)) == payload
+    assert warc.dechunked(b"3;x=y\r\nabc\r\n0\r\n\r\n") == b"abc"
+    with pytest.raises(ValueError):
+        warc.dechunked(b"3\r\nabcd\r\n0\r\n\r\n")
+    assert len(warc.digest(b"")) == 32 and hashlib.sha1(b"").digest_size == 20
