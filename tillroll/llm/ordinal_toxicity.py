@@ -39,8 +39,8 @@ GRADED_TYPE = T.StructType(
 
 
 def word_features(word):
-    """A word and its first four and five letters, if it has more."""
-    return [f"{n}:{word[:n]}" if n else word for n in (0, 4, 5) if n == 0 or len(word) > n]
+    """A word and its first four to six letters, if it has more."""
+    return [word, *(f"{n}:{word[:n]}" for n in (4, 5, 6) if len(word) > n)]
 
 
 def text_features(text):
@@ -120,11 +120,11 @@ def select_features(sample, at_least=4, n=4000):
     if not base["t"] or base["t"] == base["n"]:
         return []
     share = base["t"] / base["n"]
-    expected = F.col("texts") * share
+    expected, least = F.col("texts") * share, (2 + share) / 3
     surplus = (F.col("toxic") - expected) / F.sqrt(expected * (1 - share))
     best = (
         counts.withColumn("surplus", surplus)
-        .filter((F.col("surplus") > 4) & (F.col("toxic") > 2.5 * expected))
+        .filter((F.col("surplus") > 4) & (F.col("toxic") > F.col("texts") * least))
         .orderBy(F.desc("surplus"), "feature")
         .limit(n)
     )
