@@ -280,12 +280,12 @@ def _spanning_links(names, sets, percent):
 
 def _labelled(entries, labels):
     """Entries of lists that still hold several components."""
-    labelled = entries.join(labels.withColumnRenamed("node", "class"), "class", "left")
-    labelled = labelled.withColumn("label", F.coalesce("label", "class"))
+    same = F.col("class") == F.col("node")
+    labelled = entries.join(labels, same, "left").drop("node")
+    labelled = written(labelled.withColumn("label", F.coalesce("label", "class")), "labelled")
     lists = labelled.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"))
-    return written(
-        labelled.join(lists.filter("least < most").select("key"), "key", "left_semi"), "labelled"
-    )
+    several = lists.filter("least < most").select("key")
+    return written(labelled.join(several, "key", "left_semi"), "several")
 
 
 def links_of(docs, table, classes, text, k, percent):
