@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tillroll.llm import (
     additive_model,
     decontamination,
+    license_scan,
     ordinal_toxicity,
     passages,
     retrieval_packing,
@@ -97,6 +98,12 @@ def op8_toxicity(spark, sf_dir):
     return graded.select("doc_id", "toxicity.*")
 
 
+def op5_license_scan(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = license_scan.with_licenses(docs).select("doc_id", F.explode("licenses").alias("found"))
+    return found.select("doc_id", "found.*")
+
+
 def op6_retrieval_packing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return retrieval_packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -131,6 +138,7 @@ def queries():
         "op2_substring_dedup": op2_substring_dedup,
         "op3_warc": op3_warc,
         "op4_quality_rules": op4_quality_rules,
+        "op5_license_scan": op5_license_scan,
         "op6_retrieval_packing": op6_retrieval_packing,
         "op7_decontamination": op7_decontamination,
         "op8_toxicity": op8_toxicity,
