@@ -36,6 +36,7 @@ except ModuleNotFoundError as missing:
     corpus = None
 
 AS_OF = oracle.AS_OF
+DATES = ("yyyy-M-d",)
 
 
 def comparable(df: DataFrame) -> DataFrame:
@@ -69,9 +70,9 @@ def _on_flat(stage, stored=True):
     return run
 
 
-def _clv(orders):
-    clv = plans.customer_clv(orders)
-    return clv.withColumn("avg_order_value", F.round("avg_order_value", 4))
+def _clv(orders, **options):
+    clv = plans.customer_clv(orders, **options)
+    return clv.withColumn("avg_order_value", F.round("avg_order_value", 8))
 
 
 def _calendar(orders):
@@ -93,7 +94,7 @@ def _calendar(orders):
 
 def _clean(flat, gender_map=fixed.GENDER_MAP):
     cleaned = cleaning.clean_orders(flat, "source_row", gender_map=gender_map)
-    return cleaned.withColumn("revenue_per_item", F.round("revenue_per_item", 4))
+    return cleaned.withColumn("revenue_per_item", F.round("revenue_per_item", 8))
 
 
 def _gender_counts(spark, flat, sf_dir):
@@ -115,6 +116,44 @@ def _csv_round_trip(spark, flat, sf_dir):
     return read_flat_csv(spark, path).drop(SOURCE_ORDER)
 
 
+def _estimated_profile(spark, flat, sf_dir):
+    """The exact figures, and whether the estimate is within ten percent."""
+    estimated = profiling.profile_columns(flat, exact=False).select(
+        "column_name", F.col("unique_count").alias("estimate")
+    )
+    exact = profiling.profile_columns(flat).join(estimated, "column_name")
+    off = F.abs(F.col("estimate") - F.col("unique_count"))
+    near = off <= F.greatest(F.lit(1), F.col("unique_count") * 0.1)
+    return exact.withColumn("estimate_is_near", near).drop("estimate")
+
+
+def _date_times(spark, flat, sf_dir):
+    timed = flat.withColumn("order_date", F.concat("order_date", F.lit(" 10:30:00")))
+    return cleaning.clean_orders(timed, "source_row").select("order_id", "order_date")
+
+
+def _reread(spark, df, name):
+    path = scratch_path(spark, name)
+    write_csv(df, path)
+    return read_flat_csv(spark, path)
+
+
+def _fractions(spark, flat, sf_dir):
+    parts = flat.withColumn("quantity", F.col("quantity") + F.lit("0.5").cast("decimal(2,1)"))
+    parts = parts.withColumn("unit_price", F.col("unit_price") * F.lit("0.001").cast("decimal(4,3)"))
+    stored = _reread(spark, parts, "fractions")
+    kept = cleaning.clean_orders(stored, "source_row").withColumn(
+        "revenue_per_item", F.round("revenue_per_item", 8)
+    )
+    return kept.select("order_id", "quantity", "unit_price", "revenue_per_item")
+
+
+def _reread_monthly(spark, flat, sf_dir):
+    once = cleaning.clean_orders(flat, "source_row")
+    again = cleaning.clean_orders(_reread(spark, once, "cleaned-csv"))
+    return plans.monthly_sales(normalizing.orders_from_flat(again))
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship query: category performance over orders, lines and products."""
     return queries()["category_performance"](spark, "/root/testdata/sf0.001")
@@ -139,12 +178,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "revenue_moving_avg_filled": _on_shop(plans.revenue_moving_avg, o, fill_gaps=True),
         "top_customers": _on_shop(plans.top_customers, o),
         "rfm_segments": _on_shop(plans.rfm_segments, o, as_of=AS_OF),
-        "rfm_segments_ranged": _on_shop(
-            plans.rfm_segments, o, as_of=AS_OF, single_task_rows=0
-        ),
+        "rfm_segments_ranged": _on_shop(plans.rfm_segments, o, as_of=AS_OF),
         "rfm_scores": _on_shop(plans.rfm_scores, o, as_of=AS_OF),
-        "rfm_scores_ranged": _on_shop(plans.rfm_scores, o, as_of=AS_OF, single_task_rows=0),
+        "rfm_scores_ranged": _on_shop(plans.rfm_scores, o, as_of=AS_OF),
         "customer_clv": _on_shop(_clv, o),
+        "customer_clv_all": _on_shop(_clv, o, n=None),
         "churn_risk": _on_shop(plans.churn_risk, o, as_of=AS_OF),
         "cohort_retention": _on_shop(plans.cohort_retention, o),
         "cohort_retention_elapsed": _on_shop(plans.cohort_retention, o, wrap_months=False),
@@ -161,7 +199,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "gender_patterns": _on_shop(plans.gender_patterns, o, c, i, p),
         "gender_patterns_by_line": _on_shop(plans.gender_patterns, o, c, i, p, **by_line),
         "market_basket": _on_shop(plans.market_basket, o, i, p),
-        "market_basket_in_parts": _on_shop(plans.market_basket, o, i, p, wide_basket=3),
+        "market_basket_in_parts": _on_shop(plans.market_basket, o, i, p, part_width=3),
         "market_basket_all_pairs": _on_shop(plans.market_basket, o, i, p, n=None),
         "market_basket_by_product": _on_shop(
             plans.market_basket, o, i, p, min_pairs=2, key="product_id"
@@ -171,6 +209,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "payment_methods": _on_shop(plans.payment_methods, o),
         "shipping": _on_shop(plans.shipping, o),
         "product_profit": _on_shop(plans.product_profit, i, p),
+        "product_profit_all": _on_shop(plans.product_profit, i, p, n=None),
         "monthly_profit": _on_shop(plans.monthly_profit, o, i, p),
         "age_groups": _on_shop(plans.age_groups, o, c),
         "age_groups_exact_ratio": _on_shop(plans.age_groups, o, c, exact_ratio=True),
@@ -192,7 +231,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             lambda spark, flat, sf_dir: profiling.profile_columns(flat), stored=False
         ),
         "profile_columns_estimated": _on_flat(
-            lambda spark, flat, sf_dir: profiling.profile_columns(flat, exact=False),
+            _estimated_profile,
             stored=False,
         ),
         "profile_summary": _on_flat(
@@ -215,9 +254,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         ),
         "normalized_repeated_orders": _on_flat(
             lambda spark, flat, sf_dir: normalizing.orders_from_flat(
-                flat.filter(F.col("order_id").isNotNull()), unique_orders=False
+                flat, unique_orders=False, date_formats=DATES
             )
         ),
+        "cleaned_date_times": _on_flat(_date_times),
+        "cleaned_fractions": _on_flat(_fractions),
+        "cleaned_csv_reread_monthly": _on_flat(_reread_monthly),
         "cleaned_monthly_sales": _on_flat(
             lambda spark, flat, sf_dir: plans.monthly_sales(
                 normalizing.orders_from_flat(_clean(flat))

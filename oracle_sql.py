@@ -37,6 +37,13 @@ def rounded(expression, places=2):
     return f"CAST(ROUND(CAST({expression} AS DECIMAL(38,6)), {places}) AS DOUBLE)"
 
 
+def cents_per(cents, count):
+    """Whole cents over a count in whole numbers, rounded once, half away from zero."""
+    c, n = f"CAST({cents} AS HUGEINT)", f"CAST({count} AS HUGEINT)"
+    size = f"((2 * abs({c}) + {n}) // (2 * {n}))"
+    return f"(CASE WHEN {c} < 0 THEN -{size} ELSE {size} END / 100.0)::DOUBLE"
+
+
 def big(expression):
     return f"CAST({expression} AS BIGINT)"
 
@@ -117,6 +124,7 @@ def revenue_distribution(bands):
 
 PER_CUSTOMER = f"""per_customer AS (
   SELECT customer_id, COUNT(*) AS n, SUM(total_amount) AS spent, AVG(total_amount) AS mean_amount,
+         COUNT(total_amount) AS amounts,
          MIN(order_date) AS since, MAX(order_date) AS until,
          {days(f"CAST('{AS_OF}' AS TIMESTAMP)", "MAX(order_date)")} AS idle
   FROM s_orders GROUP BY customer_id)"""
@@ -295,6 +303,36 @@ def genders(amount):
 CUSTOMER_JOIN = "s_orders JOIN s_customers USING (customer_id)"
 
 
+def lifetime_values(limit):
+    return on(
+        "o",
+        f"""WITH {PER_CUSTOMER}, active AS (
+          SELECT *, {days("until", "since")} + 1 AS span FROM per_customer WHERE n > 1)
+        SELECT customer_id, n AS total_orders, {dbl("spent")} AS total_revenue,
+        CAST(ROUND(mean_amount, 8) AS DOUBLE) AS avg_order_value, span AS customer_lifespan_days,
+        CASE WHEN span > 0 THEN {rounded("n * 365.0 / span")} ELSE 0 END AS annual_order_frequency,
+        CASE WHEN span > 0 THEN {cents_per("spent * 100 * n * 365", "amounts * span")}
+          ELSE {dbl("spent")} END AS estimated_annual_clv FROM active
+        ORDER BY estimated_annual_clv DESC NULLS FIRST, customer_id {limit}""",
+    )
+
+
+def profits(limit):
+    gain = "(SUM(unit_price) - cost_price * COUNT(unit_price))"
+    return on(
+        "ip",
+        f"""SELECT product_id, product_name, product_category, {dbl("cost_price")} AS cost_price,
+        {rounded("AVG(unit_price)")} AS avg_selling_price,
+        {rounded("AVG(unit_price) - cost_price")} AS profit_per_unit,
+        {rounded("(AVG(unit_price) - cost_price) / cost_price * 100")} AS profit_margin_percentage,
+        {big("SUM(quantity)")} AS total_units_sold,
+        {cents_per(f"{gain} * 100 * SUM(quantity)", "COUNT(unit_price)")} AS total_profit
+        FROM s_items JOIN s_products USING (product_id)
+        GROUP BY product_id, product_name, product_category, cost_price
+        HAVING SUM(quantity) >= 10 ORDER BY total_profit DESC NULLS FIRST, product_id {limit}""",
+    )
+
+
 def ages(exact):
     quotient = "COUNT(*) {} COUNT(DISTINCT customer_id)"
     each = rounded(quotient.format("* 1.0 /")) if exact else big(quotient.format("//"))
@@ -405,7 +443,7 @@ cleaned AS (
     EXTRACT(DAY FROM order_date) AS order_day, dayname(order_date) AS order_weekday,
     EXTRACT(QUARTER FROM order_date) AS order_quarter,
     CASE {groups} END AS age_group,
-    {rounded("total_amount / quantity", 4)} AS revenue_per_item
+    CAST(ROUND(total_amount / quantity, 8) AS DOUBLE) AS revenue_per_item
   FROM screened, bounds
   WHERE abs(CAST(total_amount AS DOUBLE) - mid) <= 3 * sd)"""
 
@@ -453,6 +491,10 @@ def latest(key, columns, source="cleaned"):
 
 
 CLEAN = f"WITH {FLAT}, {SCREENED}, {cleaned()}\n"
+FRACTIONS = f"""WITH {FLAT.replace("flat AS", "stated AS", 1)}, flat AS (
+  SELECT * REPLACE (quantity + 0.5 AS quantity, CAST(unit_price * 0.001 AS DECIMAL(24,6)) AS unit_price) FROM stated),
+{SCREENED}, {cleaned()}
+"""
 
 
 def oracle_sql():
@@ -515,18 +557,8 @@ def oracle_sql():
             {dbl("spent")} AS monetary_value, r AS recency_score, f AS frequency_score,
             m AS monetary_score FROM scored""",
         ),
-        "customer_clv": on(
-            "o",
-            f"""WITH {PER_CUSTOMER}, active AS (
-              SELECT *, {days("until", "since")} + 1 AS span FROM per_customer WHERE n > 1)
-            SELECT customer_id, n AS total_orders, {dbl("spent")} AS total_revenue,
-            {rounded("mean_amount", 4)} AS avg_order_value, span AS customer_lifespan_days,
-            CASE WHEN span > 0 THEN {rounded("n * 365.0 / span")} ELSE 0 END
-              AS annual_order_frequency,
-            CASE WHEN span > 0 THEN {rounded("mean_amount * n * 365 / span")}
-              ELSE {dbl("spent")} END AS estimated_annual_clv FROM active
-            ORDER BY estimated_annual_clv DESC NULLS FIRST, customer_id LIMIT 50""",
-        ),
+        "customer_clv": lifetime_values("LIMIT 50"),
+        "customer_clv_all": lifetime_values(""),
         "churn_risk": on(
             "o",
             f"""WITH {PER_CUSTOMER}
@@ -581,19 +613,8 @@ def oracle_sql():
             {rounded(f"AVG({days('shipped_date', 'order_date')})", 1)} AS avg_processing_days
             FROM s_orders WHERE shipped_date IS NOT NULL GROUP BY shipping_method""",
         ),
-        "product_profit": on(
-            "ip",
-            f"""SELECT product_id, product_name, product_category, {dbl("cost_price")} AS cost_price,
-            {rounded("AVG(unit_price)")} AS avg_selling_price,
-            {rounded("AVG(unit_price) - cost_price")} AS profit_per_unit,
-            {rounded("(AVG(unit_price) - cost_price) / cost_price * 100")}
-              AS profit_margin_percentage,
-            {big("SUM(quantity)")} AS total_units_sold,
-            {rounded("(AVG(unit_price) - cost_price) * SUM(quantity)")} AS total_profit
-            FROM s_items JOIN s_products USING (product_id)
-            GROUP BY product_id, product_name, product_category, cost_price
-            HAVING SUM(quantity) >= 10 ORDER BY total_profit DESC NULLS FIRST, product_id LIMIT 20""",
-        ),
+        "product_profit": profits("LIMIT 20"),
+        "product_profit_all": profits(""),
         "monthly_profit": on(
             "oip",
             f"""SELECT CAST(DATE_TRUNC('month', order_date) AS TIMESTAMP) AS month,
@@ -641,7 +662,23 @@ def oracle_sql():
             COUNT(DISTINCT customer_id) AS total_customers, COUNT(*) AS total_orders,
             {rounded("COUNT(*) * 1.0 / COUNT(DISTINCT customer_id)")} AS orders_per_customer
             FROM flat""",
-        "csv_round_trip": f"WITH {FLAT}\nSELECT * {AS_DOUBLES} FROM flat",
+        "csv_round_trip": f"""WITH {FLAT}
+            SELECT * {AS_DOUBLES[:-1]}, {dbl("quantity")} AS quantity) FROM flat""",
+        "profile_columns_estimated": f"SELECT *, TRUE AS estimate_is_near FROM ({flat_profile()})",
+        "cleaned_date_times": f"""{CLEAN}SELECT order_id,
+            order_date + INTERVAL '10 hours 30 minutes' AS order_date FROM cleaned""",
+        "cleaned_fractions": f"""{FRACTIONS}SELECT order_id, {dbl("quantity")} AS quantity,
+            {dbl("unit_price")} AS unit_price,
+            revenue_per_item FROM cleaned""",
+        "cleaned_csv_reread_monthly": f"""{CLEAN}, again AS (
+              SELECT AVG(CAST(total_amount AS DOUBLE)) AS mid,
+                STDDEV_SAMP(CAST(total_amount AS DOUBLE)) AS sd FROM cleaned),
+            kept AS (SELECT * FROM cleaned, again
+              WHERE abs(CAST(total_amount AS DOUBLE) - mid) <= 3 * sd)
+            SELECT EXTRACT(YEAR FROM order_date) AS year, EXTRACT(MONTH FROM order_date) AS month,
+            COUNT(*) AS total_orders, {AMOUNT_SUM} AS monthly_revenue,
+            {AMOUNT_AVG} AS avg_order_value, COUNT(DISTINCT customer_id) AS unique_customers
+            FROM kept GROUP BY 1, 2""",
         "normalized_customers": CLEAN
         + latest(
             "customer_id",
@@ -659,7 +696,7 @@ def oracle_sql():
             product_id FROM cleaned""",
         "normalized_repeated_orders": f"""WITH {FLAT}, stated AS (
               SELECT * REPLACE (CAST(try_strptime(order_date, '%Y-%m-%d') AS TIMESTAMP)
-                AS order_date) FROM flat WHERE order_id IS NOT NULL),
+                AS order_date) FROM flat),
             placed AS (
               SELECT *, SUM(total_amount) OVER (PARTITION BY order_id) AS amount,
                 ROW_NUMBER() OVER (PARTITION BY order_id ORDER BY product_id, customer_id

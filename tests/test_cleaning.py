@@ -94,8 +94,42 @@ def test_first_copy_of_an_order_stays(spark):
 
 
 def test_repeats_go_before_dates_are_checked(spark):
-    df = rows(spark, {"order_id": "A", "order_date": "05/01/2024"}, {"order_id": "A"}, {})
-    assert kept(screened(df)) == ["O2"]
+    df = rows(spark, {}, {"order_id": "A", "order_date": "05/01/2024"}, {"order_id": "A"})
+    assert kept(screened(df)) == ["O0"]
+
+
+@pytest.mark.parametrize(
+    "texts, expected",
+    [
+        (["2024-01-05 10:30:00", "2024-01-06 9:05:00", "2024-01-07"], [10, 9]),
+        (["2024-01-05T10:30:00", "soon"], [10]),
+        (["1/25/2024", "25/1/2024", "2/1/2024"], [0, 0]),
+        (["25/1/2024", "1/25/2024"], [0]),
+    ],
+)
+def test_dates_have_the_form_of_the_first(spark, texts, expected):
+    df = rows(spark, {"order_date": None}, *[{"order_date": t} for t in texts])
+    got = screened(df).select(F.hour("order_date")).collect()
+    assert sorted(h for (h,) in got) == sorted(expected)
+
+
+def test_a_form_nobody_knows_raises(spark):
+    with pytest.raises(ValueError, match="date_formats"):
+        screened(rows(spark, {"order_date": "soon"}))
+
+
+def test_nan_is_a_gap_not_a_repeat(spark):
+    df = spark.createDataFrame(
+        [("A", "2024-01-01", 1.0), ("B", "2024-01-01", float("nan")), ("C", "2024-01-01", 2.0)],
+        "order_id string, order_date string, total_amount double",
+    )
+    cleaned = clean_orders(df.withColumn("pos", F.lit(1)), "pos").drop("pos")
+    assert cleaning_report(df, cleaned).first().duplicates_removed == 0
+
+
+def test_rows_need_an_order(spark):
+    with pytest.raises(ValueError, match="order_col"):
+        clean_orders(rows(spark, {}).drop("pos"))
 
 
 def test_incomplete_copy_does_not_count_as_first(spark):
@@ -184,8 +218,8 @@ def test_labels_and_derived_columns(spark):
 
 
 def test_columns_are_optional(spark):
-    df = rows(spark, {}, {"order_id": None}).select("order_id", "order_date")
-    got = clean_orders(df).collect()
+    df = rows(spark, {}, {"order_id": None}).select("order_id", "order_date", "pos")
+    got = clean_orders(df, "pos").collect()
     assert [(r.order_id, r.order_year) for r in got] == [("O0", 2024)]
 
 

@@ -7,9 +7,9 @@ import pytest
 from tillroll.operators.median import exact_median, median_row
 
 
-def median_of(spark, values, kind, width):
+def median_of(spark, values, kind, per_range):
     df = spark.createDataFrame([(v,) for v in values], f"v {kind}")
-    return median_row(df, "v", width).first()[0]
+    return median_row(df, "v", per_range).first()[0]
 
 
 @pytest.mark.parametrize("width", [1, 7, 1 << 14])

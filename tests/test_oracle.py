@@ -1,5 +1,7 @@
 """Every registered query against its SQL text."""
 
+import re
+
 import pytest
 from conftest import SAMPLE
 
@@ -21,15 +23,8 @@ def test_matches_sql(spark, connection, name):
 
 def test_every_text_belongs_to_a_query():
     assert set(TEXTS) <= set(contract.queries())
-    assert set(contract.queries()) - set(TEXTS) == {"profile_columns_estimated"}
-
-
-def test_estimated_profile(spark):
-    exact = contract.queries()["profile_columns"](spark, SAMPLE).collect()
-    estimated = contract.queries()["profile_columns_estimated"](spark, SAMPLE).collect()
-    for a, b in zip(exact, estimated):
-        assert a[:5] == b[:5]
-        assert abs(a.unique_count - b.unique_count) <= max(1, 0.2 * a.unique_count)
+    corpus = {n for n in contract.queries() if n == "pipeline" or re.match(r"op\d+_", n)}
+    assert set(contract.queries()) - set(TEXTS) <= corpus
 
 
 def test_entry(spark):

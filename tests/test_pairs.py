@@ -80,8 +80,21 @@ def test_wide_basket_is_looked_up_not_paired(spark, monkeypatch):
     assert paired and max(paired) <= 10
 
 
-def test_rare_items_are_dropped_from_a_wide_basket(spark, monkeypatch):
-    monkeypatch.setattr(pairs, "_pairs_with_wide", None)  # must not be needed
+def test_baskets_of_one_width_are_cut_one_by_one(spark, monkeypatch):
+    paired = []
+    original = pairs._pairs_in_parts
+
+    def watch(baskets, part_width):
+        paired.append(baskets.select("basket").distinct().count())
+        return original(baskets, part_width)
+
+    monkeypatch.setattr(pairs, "_pairs_in_parts", watch)
+    rows = [(b, f"i{n}", 1) for b in range(6) for n in range(40)]
+    found, _ = run(spark, rows, 6, None, 10)
+    assert found == brute_force(rows) and paired == [1]
+
+
+def test_rare_items_are_dropped_from_a_wide_basket(spark):
     rows = [(0, f"rare{n}", 1) for n in range(100)]
     rows += [(b, item, 1) for b in range(1, 9) for item in ("x", "y", "z")]
     found, _ = run(spark, rows, 5, None, 20)

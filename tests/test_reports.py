@@ -211,13 +211,45 @@ def test_rfm_scores_with_gaps(spark):
         ("O5", "D", "2024-01-11", 40),
         ("O6", "E", "2024-01-21", 50),
     )
-    for limit in (0, 100):
-        got = plans.rfm_scores(orders, "2024-02-10", single_task_rows=limit)
-        rows = {r.customer_id: tuple(r)[1:] for r in got.collect()}
-        # Unknown recency counts as longest ago, unknown value as highest.
-        assert rows["B"] == (None, 1, None, 1, 2, 5)
-        assert rows["A"] == (40, 1, Decimal("10.00"), 2, 1, 1)
-        assert rows["C"] == (10, 2, Decimal("60.00"), 5, 5, 4)
+    got = plans.rfm_scores(orders, "2024-02-10")
+    rows = {r.customer_id: tuple(r)[1:] for r in got.collect()}
+    # Unknown recency counts as longest ago, unknown value as highest.
+    assert rows["B"] == (None, 1, None, 1, 2, 5)
+    assert rows["A"] == (40, 1, Decimal("10.00"), 2, 1, 1)
+    assert rows["C"] == (10, 2, Decimal("60.00"), 5, 5, 4)
+
+
+def test_clv_is_rounded_once(spark):
+    days = [dt.date(2020, 1, 1) + dt.timedelta(days=n) for n in (*range(7), 2000)]
+    amounts = [Decimal("90.49"), *[Decimal("1.00")] * 6, None]
+    rows = [(f"O{i}", "A", str(d), a) for i, (d, a) in enumerate(zip(days, amounts))]
+    row = plans.customer_clv(orders_of(spark, *rows)).first()
+    exact = Decimal("96.49") * 8 * 365 / (7 * 2001)
+    assert row.estimated_annual_clv == round(exact, 2) == Decimal("20.11")
+
+
+def test_profit_is_rounded_once(spark):
+    lines = spark.range(20_001).select(
+        F.col("id").cast("string").alias("order_id"),
+        F.lit("P").alias("product_id"),
+        F.lit(1).cast("bigint").alias("quantity"),
+        F.when(F.col("id") == 0, F.lit("1.06")).otherwise(F.lit("1.00")).cast("decimal(18,2)").alias("unit_price"),
+    )
+    products = spark.createDataFrame(
+        [("P", "n", "c", Decimal("0.97"))],
+        "product_id string, product_name string, product_category string, cost_price decimal(18,2)",
+    )
+    row = plans.product_profit(lines, products).first()
+    assert row.total_profit == Decimal("600.09")
+
+
+def test_filled_growth_keeps_the_stated_division(spark):
+    orders = orders_of(
+        spark, ("A", "A", "2024-01-01", 1), ("B", "A", "2024-07-01", 1), ("C", "A", "2024-10-01", 1)
+    )
+    assert plans.quarterly_growth(orders, fill_gaps=True).count() == 4
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
+        plans.quarterly_growth(orders, on_zero_div="raise", fill_gaps=True).collect()
 
 
 def test_churn_limits(spark):

@@ -7,7 +7,9 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tillroll.fixed_values import NULL_TOKENS
+from tillroll.functions import written_ratio
 from tillroll.jobs import run_cleaning
+from tillroll.operators.cleaning import clean_orders
 from tillroll.operators.normalizing import normalize
 from tillroll.plans import category_performance, monthly_sales
 from tillroll.sources import scratch
@@ -55,10 +57,29 @@ def test_types_and_missing_values(spark, tmp_path):
     assert got == [
         (30.0, 2, Decimal("10.00"), "P1"),
         (28.0, 2, Decimal("7.00"), "P1"),
-        (None, None, None, None),
+        (None, Decimal("2.5"), None, None),
     ]
 
 
+def test_numbers_stay_as_written(spark, tmp_path):
+    path = write(tmp_path / "a.csv", line(quantity="0.004", total="0.0035"))
+    row = read_flat_csv(spark, path).first()
+    assert (row.quantity, row.total_amount) == (Decimal("0.004"), Decimal("0.0035"))
+    cleaned = clean_orders(read_flat_csv(spark, path), stored=False)
+    # a single row has no deviation, so it is an outlier; ratios keep its places
+    ratio = cleaned.sparkSession.range(1).select(
+        written_ratio(F.lit(Decimal("10")), F.lit(Decimal("2.345"))).alias("r")
+    )
+    assert round(ratio.first().r, 4) == Decimal("4.2644") and cleaned.count() == 0
+
+
+def test_files_must_have_the_same_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("order_id,customer_id\n" + "O1,C1\n" * 9)
+    (tmp_path / "b.csv").write_text("customer_id,order_id\nC2,O2\n")
+    with pytest.raises(Exception, match="header"):
+        read_flat_csv(spark, str(tmp_path)).collect()
+
+
 def test_every_missing_value_token(spark, tmp_path):
     path = write(tmp_path / "a.csv", *[line(product=t) for t in NULL_TOKENS], line(product="na"))
     assert [r.product_id for r in read_flat_csv(spark, path).collect()] == [None] * len(

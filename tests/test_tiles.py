@@ -43,11 +43,11 @@ def customers(spark, size, seed):
 def test_ranged_equals_plain(spark, monkeypatch, size, n):
     monkeypatch.setattr(tiles, "ROWS_PER_RANGE", 100)
     df = customers(spark, size, size)
-    got = with_tiles(df, ORDERS, "id", n, single_task_rows=0).select("id", *ORDERS)
+    got = with_tiles(df, ORDERS, "id", n).select("id", *ORDERS)
     assert sorted(got.collect()) == sorted(expected(df, n).collect())
 
 
-def test_plain_path(spark):
+def test_one_range(spark):
     df = customers(spark, 57, 7)
     got = with_tiles(df, ORDERS, "id", 5).select("id", *ORDERS)
     assert sorted(got.collect()) == sorted(expected(df, 5).collect())
@@ -58,5 +58,5 @@ def test_same_for_any_partitioning(spark, conf, monkeypatch, partitions):
     monkeypatch.setattr(tiles, "ROWS_PER_RANGE", 50)
     conf("spark.sql.shuffle.partitions", partitions)
     df = customers(spark, 400, 3).repartition(int(partitions))
-    got = with_tiles(df, ORDERS, "id", 5, single_task_rows=0).select("id", *ORDERS)
+    got = with_tiles(df, ORDERS, "id", 5).select("id", *ORDERS)
     assert sorted(got.collect()) == sorted(expected(df, 5).collect())

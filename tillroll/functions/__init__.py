@@ -7,13 +7,14 @@ from tillroll.functions.dates import (
     months_between_starts,
     whole_days,
 )
-from tillroll.functions.numbers import asc, desc, mean, money, percent, ratio
+from tillroll.functions.numbers import asc, cents_per, desc, mean, money, percent, ratio, written_ratio
 from tillroll.functions.text import digits_only, strip, title_case
 
 __all__ = [
     "as_of_date",
     "asc",
     "band",
+    "cents_per",
     "day_of_week",
     "desc",
     "digits_only",
@@ -30,4 +31,5 @@ __all__ = [
     "strip",
     "title_case",
     "whole_days",
+    "written_ratio",
 ]

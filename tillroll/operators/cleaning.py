@@ -4,25 +4,61 @@ Every step applies only if its columns exist; that is decided from the schema,
 without running a job.
 """
 
+import re
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillroll import fixed_values as fixed
-from tillroll.functions import digits_only, ranges, ratio, strip, title_case
+from tillroll.functions import digits_only, ranges, strip, title_case, written_ratio
 from tillroll.operators.dedup import first_per_key
 from tillroll.operators.median import exact_median
 from tillroll.operators.missing import nan_as_null
 from tillroll.sources.delimited import SOURCE_ORDER
 from tillroll.sources.scratch import written
 
-# Also accepts single-digit months and days.
-DATE_FORMATS = ("yyyy-M-d",)
-
-
-def parse_dates(column, data_type, formats=DATE_FORMATS):
+#: Forms a date may have in a file, and the text each goes with. Single-digit
+#: months, days and hours are accepted.
+DATE_FORMS = {
+    "yyyy-M-d": r"\d{4}-\d{1,2}-\d{1,2}",
+    "yyyy-M-d H:mm": r"\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d\d",
+    "yyyy-M-d H:mm:ss": r"\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d\d:\d\d",
+    "yyyy-M-d H:mm:ss.SSSSSS": r"\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d\d:\d\d\.\d{6}",
+    "yyyy-M-d'T'H:mm:ss": r"\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d\d:\d\d",
+    "yyyy/M/d": r"\d{4}/\d{1,2}/\d{1,2}",
+    "yyyy/M/d H:mm:ss": r"\d{4}/\d{1,2}/\d{1,2} \d{1,2}:\d\d:\d\d",
+    "M/d/yyyy": r"\d{1,2}/\d{1,2}/\d{4}",
+    "M/d/yyyy H:mm": r"\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d\d",
+    "M/d/yyyy H:mm:ss": r"\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d\d:\d\d",
+    "d.M.yyyy": r"\d{1,2}\.\d{1,2}\.\d{4}",
+    "yyyyMMdd": r"\d{8}",
+}
+
+
+def date_formats_of(df, column, order):
+    """The form of the first date in file order, looked up in one row.
+
+    Month/day/year is tried as day/month/year if the first value leaves no other
+    reading. A first value of no known form raises, as it would lose every row;
+    pass ``date_formats`` then. Without any value nothing needs a form.
+    """
+    if not isinstance(df.schema[column].dataType, T.StringType):
+        return ()
+    first = df.filter(F.col(column).isNotNull()).orderBy(*order).select(F.trim(column)).first()
+    if first is None:
+        return ("yyyy-M-d",)
+    for form, pattern in DATE_FORMS.items():
+        if re.fullmatch(pattern, first[0]):
+            swapped = form.startswith("M/d") and int(first[0].split("/")[0]) > 12
+            return (form.replace("M/d", "d/M") if swapped else form,)
+    raise ValueError(f"{column} begins with {first[0]!r}; state its form in date_formats")
+
+
+def parse_dates(column, data_type, formats):
     """Timestamp from text in one of the formats; anything else becomes NULL."""
     if not isinstance(data_type, T.StringType):
         return column.cast("timestamp_ntz")
+    column = F.trim(column)
     # Formats without an hour go through DATE, which no time zone can shift.
     parsed = [
         F.try_to_timestamp(column, F.lit(f)) if set(f) & set("HhKk") else F.try_to_date(column, f)
@@ -31,22 +67,27 @@ def parse_dates(column, data_type, formats=DATE_FORMATS):
     return F.coalesce(*[p.cast("timestamp_ntz") for p in parsed])
 
 
-def _order_columns(df, order_col):
+def order_columns(df, order_col=None):
+    """What "first" means: a given column, or the position in the file."""
     if order_col is not None:
         return [F.col(order_col)]
     if SOURCE_ORDER in df.columns:
         return [F.col(SOURCE_ORDER)]
-    return [F.monotonically_increasing_id()]
+    raise ValueError("rows have no order: name the column in order_col")
 
 
-def screen_orders(df, order_col=None, date_formats=DATE_FORMATS):
+def screen_orders(df, order_col=None, date_formats=None):
     """Fill gaps, drop unusable rows and keep the first row of each order.
 
     The order of the steps counts: a repeated order is dropped before dates are
-    checked, so a first copy with a bad date takes the whole order with it.
+    checked, so a first copy with a bad date takes the whole order with it. Dates
+    have the form of the first one in file order, unless ``date_formats`` are given.
     """
     df = nan_as_null(df)
     columns = set(df.columns)
+    order = order_columns(df, order_col)
+    if date_formats is None and "order_date" in columns:
+        date_formats = date_formats_of(df, "order_date", order)
     if "customer_age" in columns:
         age = F.col("customer_age").cast("double")
         known = df.select(age.alias("customer_age"))
@@ -55,7 +96,7 @@ def screen_orders(df, order_col=None, date_formats=DATE_FORMATS):
         df = df.fillna(fixed.UNKNOWN, subset=["product_category"])
     df = df.dropna(subset=[c for c in fixed.CRITICAL_COLUMNS if c in columns])
 
-    df = first_per_key(df, ["order_id"], _order_columns(df, order_col))
+    df = first_per_key(df, ["order_id"], order)
 
     if "order_date" in columns:
         parsed = parse_dates(F.col("order_date"), df.schema["order_date"].dataType, date_formats)
@@ -112,14 +153,14 @@ def standardize_orders(df, gender_map=fixed.GENDER_MAP):
     if "customer_age" in columns:
         added["age_group"] = ranges(F.col("customer_age"), fixed.CLEAN_AGE_GROUPS)
     if {"total_amount", "quantity"} <= columns:
-        added["revenue_per_item"] = ratio(F.col("total_amount"), F.col("quantity"))
+        added["revenue_per_item"] = written_ratio(F.col("total_amount"), F.col("quantity"))
     return df.withColumns(added) if added else df
 
 
 def clean_orders(
     df,
     order_col=None,
-    date_formats=DATE_FORMATS,
+    date_formats=None,
     gender_map=fixed.GENDER_MAP,
     stored=True,
 ):
@@ -146,6 +187,7 @@ def null_counts(df):
 
 def cleaning_report(raw, cleaned):
     """One row on a cleaning run: rows before and after, repeats, gaps, date range."""
+    raw = nan_as_null(raw)
     present = [c for c in fixed.CRITICAL_COLUMNS if c in raw.columns]
     complete = F.lit(True)
     for name in present:

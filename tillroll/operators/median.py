@@ -3,55 +3,47 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-# Values are counted, then located by bucket. With two-decimal amounts a
-# bucket holds at most 1.6 million distinct values.
-BUCKET_WIDTH = 1 << 14
+from tillroll.sources.scratch import written
 
+#: Distinct values one task sorts.
+VALUES_PER_RANGE = 1_000_000
 
-def median_row(df, column, width=BUCKET_WIDTH):
+
+def median_row(df, column, values_per_range=VALUES_PER_RANGE):
     """One row with the exact ``median`` (NULL without values), as the column's type allows.
 
-    Equal values collapse into a count before the shuffle. Only the bucket
-    totals are ordered globally; single values are ordered only within the one
-    or two buckets that hold the middle.
+    Equal values collapse into a count before the shuffle. The counted values are
+    range-partitioned and stored, whatever their spread; the driver sees one total
+    per range, and only the ranges that hold the middle are looked into.
     """
     value = F.col(column)
-    counted = (
+    counted = written(
         df.filter(value.isNotNull())
         .groupBy(value.alias("value"))
         .agg(F.count("*").alias("n"))
-        .withColumn("bucket", F.floor(F.col("value") / F.lit(width)).cast("bigint"))
-        # Implied by the value; stated, both uses below share one scan and shuffle.
-        .filter(F.col("bucket").isNotNull())
-    )
-    running = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    buckets = counted.groupBy("bucket").agg(F.sum("n").alias("n")).select(
-        "bucket",
-        F.col("n").alias("bucket_n"),
-        F.coalesce(F.sum("n").over(running), F.lit(0)).alias("before"),
-        F.floor((F.sum("n").over(everything) - 1) / 2).alias("low"),
-        F.floor(F.sum("n").over(everything) / 2).alias("high"),
+        # NaN is no value; zero is one, whatever its sign.
+        .filter("value = value"),
+        "values",
     )
-
-    def holds(position, before, n):
-        return (F.col(position) >= before) & (F.col(position) < before + n)
-
-    def holds_middle(before, n):
-        return holds("low", before, n) | holds("high", before, n)
-
-    middle = buckets.filter(holds_middle(F.col("before"), F.col("bucket_n")))
-    inside = Window.partitionBy("bucket").orderBy("value")
+    slices = max(2, -(-counted.count() // values_per_range))
+    ranged = counted.repartitionByRange(slices, "value").withColumn("slice", F.spark_partition_id())
+    table = written(ranged, "ranges")
+    totals = table.groupBy("slice").agg(F.sum("n").alias("n")).orderBy("slice").collect()
+    low, high = [(sum(row["n"] for row in totals) + more) // 2 for more in (-1, 0)]
+
+    holds, before = F.lit(False), 0
+    inside = Window.partitionBy("slice").orderBy("value")
+    until = F.sum("n").over(inside)
+    for row in totals:
+        for rank in {low, high}:
+            if before <= rank < before + row["n"]:
+                here = F.lit(rank - before)
+                at = (F.col("until") > here) & (F.col("until") - F.col("n") <= here)
+                holds = holds | ((F.col("slice") == row["slice"]) & at)
+        before += row["n"]
     return (
-        counted.join(middle, "bucket")
-        .withColumn(
-            "start",
-            F.col("before")
-            + F.coalesce(
-                F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-            ),
-        )
-        .filter(holds_middle(F.col("start"), F.col("n")))
+        table.withColumn("until", until)
+        .filter(holds)
         .agg(((F.min("value") + F.max("value")) / 2).alias("median"))
     )
 

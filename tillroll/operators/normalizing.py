@@ -8,13 +8,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillroll.functions import money
-from tillroll.operators.cleaning import DATE_FORMATS, parse_dates
+from tillroll.operators.cleaning import date_formats_of, order_columns, parse_dates
 from tillroll.operators.dedup import first_per_key
 from tillroll.schema import CUSTOMER_COLUMNS
 from tillroll.sources.tables import Shop
 
 
 def _dated(flat, date_formats):
+    if date_formats is None:
+        kind = flat.schema["order_date"].dataType
+        known = not isinstance(kind, T.StringType)
+        date_formats = () if known else date_formats_of(flat, "order_date", order_columns(flat))
     dates = parse_dates(F.col("order_date"), flat.schema["order_date"].dataType, date_formats)
     return flat.withColumn("order_date", dates)
 
@@ -28,7 +32,7 @@ def _latest_first():
     return (F.desc_nulls_last("order_date"), F.desc_nulls_last("order_id"))
 
 
-def customers_from_flat(flat, date_formats=DATE_FORMATS):
+def customers_from_flat(flat, date_formats=None):
     """One row per customer, as stated by the latest order."""
     rows = _dated(flat, date_formats).filter(F.col("customer_id").isNotNull())
     kept = [c for c in CUSTOMER_COLUMNS if c in flat.columns]
@@ -38,7 +42,7 @@ def customers_from_flat(flat, date_formats=DATE_FORMATS):
     return latest.select(*kept)
 
 
-def products_from_flat(flat, costs=None, date_formats=DATE_FORMATS):
+def products_from_flat(flat, costs=None, date_formats=None):
     """One row per product, as stated by the latest order.
 
     ``costs`` (product_id, cost_price) supplies what the flat file lacks.
@@ -58,17 +62,17 @@ def order_items_from_flat(flat):
     return flat.select("order_id", "product_id", "quantity", "unit_price")
 
 
-def orders_from_flat(flat, unique_orders=True, date_formats=DATE_FORMATS):
+def orders_from_flat(flat, unique_orders=True, date_formats=None):
     """One row per order; ``product_id`` is kept for the dataset overview.
 
     With several rows per order the amounts add up; everything else is taken
-    from the smallest product id.
+    from the smallest product id. Rows without an order id count as one order.
     """
     rows = _dated(flat, date_formats).select(
         "order_id",
         "customer_id",
         "order_date",
-        "total_amount",
+        money(F.col("total_amount")).alias("total_amount"),
         _column(flat, "payment_method", T.StringType()),
         _column(flat, "shipping_method", T.StringType()),
         _column(flat, "shipping_cost", T.DecimalType(18, 2)),
@@ -82,7 +86,8 @@ def orders_from_flat(flat, unique_orders=True, date_formats=DATE_FORMATS):
     totals = rows.groupBy("order_id").agg(F.sum("total_amount").alias("total_amount"))
     order = [F.asc_nulls_last("product_id"), *[F.asc_nulls_last(c) for c in once[:-1]]]
     heads = first_per_key(rows.drop("total_amount"), ["order_id"], order)
-    return heads.join(totals, "order_id").select(
+    totals = totals.withColumnRenamed("order_id", "totalled")
+    return heads.join(totals, F.col("order_id").eqNullSafe(F.col("totalled"))).select(
         "order_id",
         "customer_id",
         "order_date",
@@ -91,7 +96,7 @@ def orders_from_flat(flat, unique_orders=True, date_formats=DATE_FORMATS):
     )
 
 
-def normalize(flat, costs=None, unique_orders=True, date_formats=DATE_FORMATS):
+def normalize(flat, costs=None, unique_orders=True, date_formats=None):
     return Shop(
         orders=orders_from_flat(flat, unique_orders, date_formats),
         order_items=order_items_from_flat(flat),

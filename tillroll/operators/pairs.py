@@ -10,9 +10,12 @@ Pairing a basket costs the square of its width, so three exact cuts come first:
   found among the most sold items, not just the minimum.
 * An item whose total weight times the largest weight stays below ``need`` can
   be in no such pair and is dropped.
-* The widest baskets are never paired. As long as what they could add together
-  stays below ``need``, every pair that matters also occurs elsewhere: pairs
-  found in the other baskets are looked up in the wide ones.
+* The widest baskets are never paired, as many as together could add less than
+  ``need`` to any pair: a pair that matters also occurs elsewhere, and pairs found
+  in the other baskets are looked up in the wide ones.
+
+What is left is paired in parts, so that the work of a wide basket spreads over
+as many tasks as it has parts.
 """
 
 from pyspark.sql import Window
@@ -21,7 +24,10 @@ from pyspark.sql import functions as F
 from tillroll.sources.scratch import written
 
 SEED_ITEMS = 64
-WIDE_BASKET = 1_000
+# Items of a basket that one task pairs with the whole basket.
+PART_WIDTH = 1_000
+# Wide baskets looked at for the cut; it only saves work.
+LOOKED_UP = 10_000
 
 
 def _joined_pairs(left, right, on):
@@ -69,44 +75,35 @@ def _nth_best_seed(baskets, items, n):
     return best.frequency if best.pairs == n else 0
 
 
-def _wide_cutoff(widths, need, wide_basket):
-    """Smallest width from which all baskets together stay below ``need``.
-
-    Returns (width, what those baskets could add), or None.
-    """
-    from_widest = Window.orderBy(F.desc("width"))
-    return (
-        widths.filter(F.col("width") > wide_basket)
-        .groupBy("width")
-        .agg(F.sum(F.col("peak") * F.col("peak")).alias("reach"))
-        .select("width", F.sum("reach").over(from_widest).alias("reach"))
-        .filter(F.col("reach") < need)
-        .orderBy("width")
-        .first()
-    )
-
-
 def _widths(baskets):
     return baskets.groupBy("basket").agg(
         F.count("*").alias("width"), F.max("weight").alias("peak")
     )
 
 
-def _pairs_with_wide(baskets, need, wide_basket):
+def _without_widest(baskets, need):
+    """(wide, narrow, reach): the widest baskets that add less than ``need`` together.
+
+    Baskets, which have a name, go in order of (width, basket), while what they could add to one pair
+    stays below ``need``; ``reach`` is what those taken could add.
+    """
     widths = _widths(baskets)
-    baskets = baskets.join(widths.select("basket", "width"), "basket")
-    cutoff = _wide_cutoff(widths, need, wide_basket)
-    if cutoff is None:
-        return _pairs_in_parts(baskets, wide_basket)
-    wide = baskets.filter(F.col("width") >= cutoff.width).select("basket", "item", "weight")
-    narrow = baskets.filter(F.col("width") < cutoff.width)
-
-    found = written(
-        _pairs_in_parts(narrow, wide_basket).filter(
-            F.col("frequency") >= need - cutoff.reach
-        ),
-        "pairs",
+    order = (F.desc("width"), F.asc_nulls_last("basket"))
+    widest = widths.orderBy(*order).limit(min(LOOKED_UP, max(0, need - 1)))
+    running = F.sum(F.col("peak") * F.col("peak")).over(Window.orderBy(*order))
+    taken = written(
+        widest.withColumn("reach", running).filter(F.col("reach") < need), "widest"
     )
+    reach = taken.agg(F.max("reach")).first()[0] or 0
+    names = F.broadcast(taken.select("basket"))
+    narrow = baskets.join(names, "basket", "left_anti").join(widths, "basket")
+    return baskets.join(names, "basket", "left_semi"), narrow, reach
+
+
+def _pairs_with_lookup(baskets, need, part_width):
+    wide, narrow, reach = _without_widest(baskets, need)
+    paired = _pairs_in_parts(narrow, part_width).filter(F.col("frequency") >= need - reach)
+    found = written(paired, "pairs")
     first = wide.withColumnsRenamed({"item": "item_a", "weight": "weight_a"})
     second = wide.withColumnsRenamed({"item": "item_b", "weight": "weight_b"})
     looked_up = (
@@ -118,14 +115,13 @@ def _pairs_with_wide(baskets, need, wide_basket):
         )
     )
     return (
-        found.select("item_a", "item_b", "frequency")
-        .union(looked_up)
+        found.union(looked_up)
         .groupBy("item_a", "item_b")
         .agg(F.sum("frequency").alias("frequency"))
     )
 
 
-def frequent_pairs(baskets, min_frequency, n=None, wide_basket=WIDE_BASKET):
+def frequent_pairs(baskets, min_frequency, n=None, part_width=PART_WIDTH):
     """(pairs, items) for stored baskets.
 
     ``pairs`` holds item_a < item_b and frequency for at least every pair that
@@ -139,15 +135,8 @@ def frequent_pairs(baskets, min_frequency, n=None, wide_basket=WIDE_BASKET):
     if n is not None:
         need = max(need, _nth_best_seed(baskets, items, n))
 
-    largest = _widths(baskets).agg(F.max("width").alias("width"), F.max("peak").alias("peak"))
-    widest, heaviest = largest.first()
-    useful = items.filter(F.col("weight") * F.lit(heaviest or 0) >= need).select("item")
-    kept = baskets.join(useful, "item", "left_semi")
-    if (widest or 0) > wide_basket:
-        kept = written(kept, "kept")
-        widest = _widths(kept).agg(F.max("width")).first()[0]
-    if (widest or 0) > wide_basket:
-        pairs = _pairs_with_wide(kept, need, wide_basket)
-    else:
-        pairs = _pairs_within(kept)
+    heaviest = baskets.agg(F.max("weight")).first()[0] or 0
+    useful = items.filter(F.col("weight") * F.lit(heaviest) >= need).select("item")
+    kept = written(baskets.join(useful, "item", "left_semi"), "kept")
+    pairs = _pairs_with_lookup(kept, need, part_width)
     return pairs.filter(F.col("frequency") >= need), items.select("item", "baskets")

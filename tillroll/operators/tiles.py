@@ -12,10 +12,7 @@ from pyspark.sql import functions as F
 
 from tillroll.sources.scratch import written
 
-# Up to here one task sorts the rows faster than the extra passes take.
-SINGLE_TASK_ROWS = 1_000_000
 ROWS_PER_RANGE = 1_000_000
-MAX_RANGES = 20_000
 
 
 @dataclass(frozen=True)
@@ -50,7 +47,7 @@ def keys_at_ranks(df, keys, ranks, total):
     number, so counting and picking see the same split. The driver holds one
     count per range and one row per rank.
     """
-    slices = min(MAX_RANGES, max(2, -(-total // ROWS_PER_RANGE)))
+    slices = max(2, -(-total // ROWS_PER_RANGE))
     names = [f"k{i}" for i in range(len(keys))]
     narrow = df.select(*[k.alias(n) for n, k in zip(names, keys)])
     ranged = narrow.repartitionByRange(slices, *names).withColumn(
@@ -79,18 +76,12 @@ def keys_at_ranks(df, keys, ranks, total):
     return rows, table.select(*names).schema
 
 
-def with_tiles(df, orders, key, tiles, single_task_rows=SINGLE_TASK_ROWS):
+def with_tiles(df, orders, key, tiles):
     """Add a 1..tiles column per entry of ``orders`` (name → TileOrder).
 
     ``key`` must be unique. ``df`` is read several times: pass a stored table.
     """
     total = df.count()
-    if total <= single_task_rows:
-        for name, order in orders.items():
-            window = Window.orderBy(*_sort_keys(order, key))
-            df = df.withColumn(name, F.ntile(tiles).over(window))
-        return df
-
     size, larger = divmod(total, tiles)
     last_ranks = [t * size + min(t, larger) for t in range(1, tiles)]
     for name, order in orders.items():

@@ -7,6 +7,7 @@ from tillroll import fixed_values as fixed
 from tillroll.functions import (
     as_of_date,
     asc,
+    cents_per,
     desc,
     mean,
     month_start,
@@ -15,7 +16,7 @@ from tillroll.functions import (
     ratio,
     whole_days,
 )
-from tillroll.operators.tiles import SINGLE_TASK_ROWS, TileOrder, with_tiles
+from tillroll.operators.tiles import TileOrder, with_tiles
 from tillroll.sources.scratch import written
 
 
@@ -48,7 +49,7 @@ def top_customers(orders, n=fixed.TOP_CUSTOMERS):
     )
 
 
-def rfm_scores(orders, as_of=None, single_task_rows=SINGLE_TASK_ROWS):
+def rfm_scores(orders, as_of=None):
     """Recency, frequency and monetary value per customer, each scored 1 to 5.
 
     The customer totals are stored once: the scoring reads them several times.
@@ -71,11 +72,10 @@ def rfm_scores(orders, as_of=None, single_task_rows=SINGLE_TASK_ROWS):
         },
         "customer_id",
         fixed.RFM_TILES,
-        single_task_rows,
     )
 
 
-def rfm_segments(orders, as_of=None, single_task_rows=SINGLE_TASK_ROWS):
+def rfm_segments(orders, as_of=None):
     scores = ("recency_score", "frequency_score", "monetary_score")
     rules = []
     for label, *limits in fixed.RFM_SEGMENTS:
@@ -84,7 +84,7 @@ def rfm_segments(orders, as_of=None, single_task_rows=SINGLE_TASK_ROWS):
             matches = matches & F.col(score).between(low, high)
         rules.append(F.when(matches, label))
     return (
-        rfm_scores(orders, as_of, single_task_rows)
+        rfm_scores(orders, as_of)
         .groupBy(F.coalesce(*rules, F.lit(fixed.RFM_OTHER)).alias("customer_segment"))
         .agg(
             F.count("*").alias("customer_count"),
@@ -103,13 +103,12 @@ def customer_clv(orders, n=fixed.TOP_CLV):
     Without a known time span the rate is 0 and the value is what was spent.
     """
     days = F.col("customer_lifespan_days")
-    yearly_orders = (F.col("total_orders") * fixed.DAYS_PER_YEAR).cast("decimal(18,0)")
+    yearly_orders = (F.col("total_orders") * fixed.DAYS_PER_YEAR).cast("decimal(14,0)")
     # One division at the end: average * orders / days * 365, with average as
     # spent / amounts.
-    yearly_value = (F.col("total_spent").cast("decimal(20,2)") * yearly_orders) / (
-        F.col("amounts") * days
-    ).cast("decimal(18,0)")
-    return (
+    spent = (F.col("total_spent") * 100).cast("decimal(20,0)")
+    yearly_value = cents_per(spent * yearly_orders, F.col("amounts") * days)
+    ranked = (
         _per_customer(orders)
         .filter(F.col("total_orders") > 1)
         .withColumn(
@@ -125,14 +124,14 @@ def customer_clv(orders, n=fixed.TOP_CLV):
             F.when(days > 0, F.round(yearly_orders / days.cast("decimal(10,0)"), 2))
             .otherwise(F.lit(0))
             .alias("annual_order_frequency"),
-            F.when((days > 0) & (F.col("amounts") > 0), F.round(yearly_value, 2))
+            F.when((days > 0) & (F.col("amounts") > 0), yearly_value)
             .when(days > 0, F.lit(None))
             .otherwise(F.col("total_spent"))
             .alias("estimated_annual_clv"),
         )
         .orderBy(desc("estimated_annual_clv"), asc("customer_id"))
-        .limit(n)
     )
+    return ranked if n is None else ranked.limit(n)
 
 
 def churn_risk(orders, as_of=None):

@@ -7,9 +7,9 @@
 from pyspark.sql import functions as F
 
 from tillroll import fixed_values as fixed
-from tillroll.functions import asc, desc, mean, month_start, percent, ratio, season
+from tillroll.functions import asc, cents_per, desc, mean, month_start, percent, ratio, season
 from tillroll.operators.lines import sold_lines
-from tillroll.operators.pairs import WIDE_BASKET, frequent_pairs
+from tillroll.operators.pairs import PART_WIDTH, frequent_pairs
 from tillroll.sources.scratch import written
 
 
@@ -94,13 +94,13 @@ def market_basket(
     min_pairs=fixed.MIN_PAIR_ORDERS,
     n=fixed.TOP_PAIRS,
     key="product_name",
-    wide_basket=WIDE_BASKET,
+    part_width=PART_WIDTH,
 ):
     """Products ordered together most often, with the confidence in both directions.
 
     Products count by name, where a name in several categories counts once per
     category and order. ``key="product_id"`` counts products instead; names are
-    then added for display.
+    then added for display, of a product with several the first in text order.
     """
     if key not in ("product_name", "product_id"):
         raise ValueError(f"key must be 'product_name' or 'product_id', not {key!r}")
@@ -118,7 +118,7 @@ def market_basket(
         .agg(F.count("*").alias("weight")),
         "baskets",
     )
-    pairs, items = frequent_pairs(baskets, min_pairs, n, wide_basket)
+    pairs, items = frequent_pairs(baskets, min_pairs, n, part_width)
 
     def side(letter):
         return items.withColumnsRenamed(
@@ -155,10 +155,9 @@ def market_basket(
     if key == "product_name":
         return ranked
     for letter in ("a", "b"):
-        names = products.select(
-            F.col("product_id").alias(f"product_{letter}"),
-            F.col("product_name").alias(f"product_{letter}_name"),
-        ).distinct()
+        names = products.groupBy(F.col("product_id").alias(f"product_{letter}")).agg(
+            F.min("product_name").alias(f"product_{letter}_name")
+        )
         ranked = ranked.join(names, f"product_{letter}")
     return ranked.orderBy(*best_first)
 
@@ -174,7 +173,7 @@ def product_profit(
     )
     identity = ("product_id", "product_name", "product_category", "cost_price")
     gain = F.col("price") - F.col("cost_price") * F.col("prices")
-    return (
+    ranked = (
         sold.join(products.select(*identity), "product_id")
         .groupBy(*identity)
         .agg(
@@ -191,15 +190,15 @@ def product_profit(
                 "profit_margin_percentage"
             ),
             "total_units_sold",
-            F.round(
-                mean(gain, F.col("prices")).cast("decimal(28,14)")
-                * F.col("total_units_sold").cast("decimal(18,0)"),
-                2,
+            cents_per(
+                (gain * 100).cast("decimal(20,0)")
+                * F.col("total_units_sold").cast("decimal(14,0)"),
+                F.nullif("prices", F.lit(0)),
             ).alias("total_profit"),
         )
         .orderBy(desc("total_profit"), asc("product_id"))
-        .limit(n)
     )
+    return ranked if n is None else ranked.limit(n)
 
 
 def monthly_profit(orders, order_items, products, on_zero_div="raise"):

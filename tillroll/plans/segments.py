@@ -77,28 +77,42 @@ def age_groups(orders, customers, exact_ratio=False):
 
 def gender_patterns(orders, customers, order_items, products, revenue="order_total"):
     """Sales by gender over order lines, with the categories bought."""
-    bought = (
-        sold_lines(orders, order_items, revenue, "customer_id")
+    reported = customers.select("customer_id", "customer_gender").filter(
+        F.col("customer_gender").isin(*fixed.REPORTED_GENDERS)
+    )
+    # Orders of other customers go before their lines are joined.
+    gendered = orders.join(reported, "customer_id")
+    by_category = (
+        sold_lines(gendered, order_items, revenue, "customer_id", "customer_gender")
         .join(products.select("product_id", "product_category"), "product_id")
-        .groupBy("customer_id", "product_category")
+        .groupBy("customer_gender", "customer_id", "product_category")
         .agg(
             F.count("*").alias("lines"),
             F.sum("amount").alias("amount"),
             F.count("amount").alias("amounts"),
         )
     )
-    reported = customers.select("customer_id", "customer_gender").filter(
-        F.col("customer_gender").isin(*fixed.REPORTED_GENDERS)
+    # Sums only per customer and per category; what is gathered are category names.
+    names = (F.col("customer_id").cast("string"), F.col("product_category"))
+    cells = F.explode(
+        F.array(*[F.struct(F.lit(k).alias("kind"), n.alias("name")) for k, n in enumerate(names)])
+    )
+    figures = ("lines", "amount", "amounts")
+    by_name = (
+        by_category.select("customer_gender", *figures, cells.alias("cell"))
+        .groupBy("customer_gender", "cell.kind", "cell.name")
+        .agg(*[F.sum(c).alias(c) for c in figures])
     )
-    categories = F.array_sort(F.collect_set("product_category"))
+    per_customer, per_category = F.col("kind") == 0, F.col("kind") == 1
+    categories = F.array_sort(F.collect_list(F.when(per_category, F.col("name"))))
+    amount, amounts = (F.sum(F.when(per_customer, F.col(c))) for c in ("amount", "amounts"))
     return (
-        bought.join(reported, "customer_id")
-        .groupBy("customer_gender")
+        by_name.groupBy("customer_gender")
         .agg(
-            F.count_distinct("customer_id").alias("unique_customers"),
-            F.sum("lines").alias("total_orders"),
-            F.sum("amount").alias("total_revenue"),
-            F.round(mean(F.sum("amount"), F.sum("amounts")), 2).alias("avg_order_value"),
+            F.count(F.when(per_customer, F.col("name"))).alias("unique_customers"),
+            F.sum(F.when(per_customer, F.col("lines"))).alias("total_orders"),
+            amount.alias("total_revenue"),
+            F.round(mean(amount, amounts), 2).alias("avg_order_value"),
             F.when(F.size(categories) > 0, F.array_join(categories, ", ")).alias(
                 "popular_categories"
             ),

@@ -61,18 +61,20 @@ def _with_empty_periods(periods, start, months):
     )
 
 
-def quarterly_growth(orders, on_zero_div="raise", fill_gaps=False):
+def quarterly_growth(orders, on_zero_div=None, fill_gaps=False):
     """Revenue per quarter and its change on the quarter before.
 
     "Before" is the previous quarter with sales; with ``fill_gaps`` it is the
-    previous calendar quarter.
+    previous calendar quarter. A previous revenue of zero raises, or gives NULL
+    where gaps are filled, unless ``on_zero_div`` says otherwise.
     """
+    on_zero_div = on_zero_div or ("null" if fill_gaps else "raise")
     first_month = F.trunc(F.col("order_date").cast("date"), "quarter").cast("timestamp_ntz")
     quarters = orders.groupBy(first_month.alias("start")).agg(
         F.sum("total_amount").alias("revenue")
     )
     if fill_gaps:
-        quarters, on_zero_div = _with_empty_periods(quarters, "start", 3), "null"
+        quarters = _with_empty_periods(quarters, "start", 3)
     previous = F.lag("revenue").over(Window.orderBy(asc("start")))
     return (
         quarters.withColumn("prev_quarter_revenue", previous)
@@ -94,13 +96,17 @@ def quarterly_growth(orders, on_zero_div="raise", fill_gaps=False):
     )
 
 
-def revenue_moving_avg(orders, on_zero_div="raise", fill_gaps=False):
-    """Monthly revenue, trailing 3- and 6-row averages, month-over-month change."""
+def revenue_moving_avg(orders, on_zero_div=None, fill_gaps=False):
+    """Monthly revenue, trailing 3- and 6-row averages, month-over-month change.
+
+    ``on_zero_div`` as in ``quarterly_growth``.
+    """
+    on_zero_div = on_zero_div or ("null" if fill_gaps else "raise")
     months = orders.groupBy(month_start(F.col("order_date")).alias("month")).agg(
         F.sum("total_amount").alias("revenue")
     )
     if fill_gaps:
-        months, on_zero_div = _with_empty_periods(months, "month", 1), "null"
+        months = _with_empty_periods(months, "month", 1)
     by_month = Window.orderBy(asc("month"))
 
     def trailing(rows):

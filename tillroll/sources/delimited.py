@@ -21,21 +21,28 @@ def _typed(column, data_type):
     return text.try_cast(data_type)
 
 
+def _by_header(spark, path, multiline):
+    """The files' columns as text; files whose header differs from the first raise."""
+    reader = (
+        spark.read.option("header", True)
+        .option("escape", '"')
+        .option("multiLine", multiline)
+    )
+    names = reader.csv(path).columns
+    schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
+    return reader.schema(schema).option("enforceSchema", False).csv(path)
+
+
 def read_flat_csv(spark, path, schema=FLAT_SCHEMA, with_order=True, multiline=False):
     """Read a delimited order file (or folder of files) with a header line.
 
     The header decides which columns exist; those named in ``schema`` are
-    typed, others stay text. Missing-value tokens become NULL. A missing path
-    raises. ``with_order`` adds a sortable position column, so that "first in
+    typed, others stay text. All files must have the same header. Missing-value
+    tokens become NULL. A missing path raises. ``with_order`` adds a sortable position column, so that "first in
     the file" has a meaning later. ``multiline`` allows line ends inside quoted
     values; files can then not be split, so leave it off for large ones.
     """
-    raw = (
-        spark.read.option("header", True)
-        .option("escape", '"')
-        .option("multiLine", multiline)
-        .csv(path)
-    )
+    raw = _by_header(spark, path, multiline)
     types = {field.name: field.dataType for field in schema}
     columns = []
     for name in raw.columns:
