@@ -149,29 +149,45 @@ def phrase_matches(documents, segments, rarest, postings):
         .select("key", "segment", "shift")
     )
     candidates = written(intersected.join(small(segments), "segment"), "candidates")
+    # Words are split once per row: as arguments of zip_with, not inside a lambda.
+    lacking = F.greatest(F.lit(0), -F.col("shift"))
     compared = (
         documents.select("key", "joined")
         .join(small(candidates), "key")
-        .withColumn("doc", words_in("joined"))
-        .withColumn(
-            "same",
-            F.expr(
-                "aggregate(sequence(0, size(words) - 1), 0L, (bits, i) -> "
-                "IF(get(doc, shift + i) <=> get(words, i), bits | shiftleft(1L, i), bits))"
-            ),
-        )
-        .withColumn(
-            "starts",
-            F.expr(
-                "aggregate(sequence(0, size - 1), -1L, (bits, i) -> bits & shiftrightunsigned(same, i))"
-            ),
+        .select(
+            "key",
+            "item_id",
+            "size",
+            "shift",
+            lacking.alias("lacking"),
+            F.expr("slice(words, greatest(0, -shift) + 1, size(words))").alias("wanted"),
+            F.slice(
+                words_in("joined"), F.greatest(F.lit(0), F.col("shift")) + 1, F.size("words")
+            ).alias("found"),
         )
-        .filter("starts <> 0")
-        .withColumn(
-            "covered",
-            F.expr("aggregate(sequence(0, size - 1), 0L, (bits, i) -> bits | shiftleft(starts, i))"),
+        .withColumn("same", F.zip_with("wanted", "found", lambda w, f: w.eqNullSafe(f) & w.isNotNull()))
+        .select(
+            "key",
+            "item_id",
+            "size",
+            "shift",
+            F.aggregate(
+                F.zip_with(
+                    "same",
+                    F.sequence("lacking", F.lit(61)),
+                    lambda s, i: F.when(s & i.isNotNull(), F.call_function("shiftleft", F.lit(1).cast("long"), i)),
+                ),
+                F.lit(0).cast("long"),
+                lambda bits, one: bits.bitwiseOR(F.coalesce(one, F.lit(0).cast("long"))),
+            ).alias("same"),
         )
     )
+    starts = "aggregate(sequence(0, size - 1), -1L, (bits, i) -> bits & shiftrightunsigned(same, i))"
+    compared = written(
+        compared.filter("same <> 0").withColumn("starts", F.expr(starts)).filter("starts <> 0"), "same"
+    )
+    cover = "aggregate(sequence(0, size - 1), 0L, (bits, i) -> bits | shiftleft(starts, i))"
+    compared = written(compared.withColumn("covered", F.expr(cover)), "covered")
     # runs of set bits: a first word has none set before it, an end is the word after a run
     first = "filter(sequence(0, 62), i -> (shiftright(covered, i) & 1) = 1 AND (i = 0 OR (shiftright(covered, i - 1) & 1) = 0))"
     end = "filter(sequence(1, 63), i -> (shiftright(covered, i - 1) & 1) = 1 AND (i = 63 OR (shiftright(covered, i) & 1) = 0))"
