@@ -11,13 +11,14 @@ SAMPLE = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = build_session(
         "tillroll-tests",
         "local[8]",
         spark__ui__enabled="false",
         spark__driver__memory="8g",
         spark__sql__shuffle__partitions="8",
+        spark__checkpoint__dir=f"file:{tmp_path_factory.mktemp('shared')}",
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

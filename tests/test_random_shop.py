@@ -32,7 +32,7 @@ FLAT = (
 )
 NAMES = [
     name
-    for name in sorted(contract.oracle_sql())
+    for name in sorted(oracle_sql.oracle_sql())
     if name not in LEFT_OUT and not name.startswith(FLAT)
 ]
 

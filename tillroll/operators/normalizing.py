@@ -8,17 +8,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillroll.functions import money
-from tillroll.operators.cleaning import date_formats_of, order_columns, parse_dates
+from tillroll.operators.cleaning import DATE_FORMS, date_formats_of, order_columns, parse_dates
 from tillroll.operators.dedup import first_per_key
 from tillroll.schema import CUSTOMER_COLUMNS
+from tillroll.sources.delimited import SOURCE_ORDER
 from tillroll.sources.tables import Shop
 
 
 def _dated(flat, date_formats):
     if date_formats is None:
         kind = flat.schema["order_date"].dataType
-        known = not isinstance(kind, T.StringType)
-        date_formats = () if known else date_formats_of(flat, "order_date", order_columns(flat))
+        if not isinstance(kind, T.StringType):
+            date_formats = ()
+        elif SOURCE_ORDER in flat.columns:
+            date_formats = date_formats_of(flat, "order_date", order_columns(flat))
+        else:  # no first row to go by; these forms cannot be mistaken for each other
+            date_formats = [form for form in DATE_FORMS if form.startswith("yyyy-")]
     dates = parse_dates(F.col("order_date"), flat.schema["order_date"].dataType, date_formats)
     return flat.withColumn("order_date", dates)
 
