@@ -52,10 +52,11 @@ def _sigmoid(x):
 
 
 class OrdinalModel:
-    """``weights`` by feature and increasing ``thresholds``."""
+    """``weights`` by feature, increasing ``thresholds`` and the least toxic weight ``cut``."""
 
-    def __init__(self, weights, thresholds):
+    def __init__(self, weights, thresholds, cut=None):
         self.weights, self.thresholds = weights, np.asarray(thresholds, np.float64)
+        self.cut = self.thresholds[0] if cut is None else cut
 
     def above(self, line):
         """P(grade > k) for each k, one row per text."""
@@ -97,6 +98,20 @@ def fit(rows, grades, n_features, n_grades=GRADES, steps=400, rate=0.1, ridge=0.
     return weights, np.cumsum(np.r_[free[0], np.exp(free[1:])])
 
 
+def best_cut(line, toxic):
+    """The cut on the line of weights with the fewest errors, in the widest gap."""
+    order = np.argsort(line, kind="stable")
+    line, toxic = line[order], np.asarray(toxic, bool)[order]
+    errors = np.cumsum(np.r_[0, np.where(toxic, 1, -1)]) + np.sum(~toxic)
+    gaps, errors = np.diff(line), errors[1:-1]
+    between = gaps > 1e-9
+    if not between.any():
+        return float(line[-1]) + 1
+    fewest = between & (errors == errors[between].min())
+    widest = int(np.argmax(np.where(fewest, gaps, 0)))
+    return float(line[widest] + line[widest + 1]) / 2
+
+
 def featured_sample(docs, labels, label, key, text, fit_rows):
     """(y, features) of at most ``fit_rows`` labelled rows, stored."""
 
@@ -140,7 +155,7 @@ def fit_toxicity(docs, labels, label="toxic", key="doc_id", text="text", fit_row
     sample = featured_sample(docs, labels, label, key, text, fit_rows)
     chosen = select_features(sample)
     if not chosen:
-        return OrdinalModel({}, [30.0] * GRADES)
+        return OrdinalModel({}, [30.0 + g for g in range(GRADES)])
     number = {feature: i for i, feature in enumerate(chosen)}
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
@@ -154,7 +169,8 @@ def fit_toxicity(docs, labels, label="toxic", key="doc_id", text="text", fit_row
     edges = np.quantile(amount[y > 0], np.arange(1, GRADES) / GRADES)
     grades = np.where(y > 0, 1 + np.searchsorted(edges, amount, side="left"), 0)
     weights, thresholds = fit(sparse, grades, len(chosen))
-    return OrdinalModel(dict(zip(chosen, weights.tolist())), thresholds)
+    line = np.array([weights[x].sum() for x in sparse])
+    return OrdinalModel(dict(zip(chosen, weights.tolist())), thresholds, best_cut(line, y > 0))
 
 
 class _Lines:
@@ -176,22 +192,25 @@ class _Lines:
         return sum(map(self.weights.__getitem__, sorted(found)))
 
 
-def with_grades(docs, model, text="text", into="toxicity", reject=0.5):
+def with_grades(docs, model, text="text", into="toxicity"):
     """``docs`` with a struct: toxic, grade, expected_severity, p_toxic.
 
-    ``toxic`` is true where P(grade > 0) is at least ``reject``; ``grade`` is the
-    highest one at least as likely as not.
+    ``toxic`` is true from the cut on that made the fewest errors in the sample;
+    ``grade`` is the highest one at least as likely as not, of toxic texts at
+    least 1 and of others 0.
     """
 
     @F.pandas_udf(GRADED_TYPE)
     def graded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         lines = _Lines(model.weights)
         for texts in batches:
-            above = model.above([lines.of(t) for t in texts])
+            line = np.array([lines.of(t) for t in texts], np.float64)
+            above, toxic = model.above(line), line >= model.cut
+            grade = np.where(toxic, np.maximum(1, (above >= 0.5).sum(1)), 0)
             yield pd.DataFrame(
                 {
-                    "toxic": above[:, 0] >= reject,
-                    "grade": (above >= 0.5).sum(1).astype(np.int32),
+                    "toxic": toxic,
+                    "grade": grade.astype(np.int32),
                     "expected_severity": above.sum(1),
                     "p_toxic": above[:, 0],
                 }
