@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 #: Rows a Python worker gets at once; with texts of some KB a few MB.
-BATCH_ROWS = 1000
+BATCH_ROWS = 300
 
 
 def bounded_batches(spark):

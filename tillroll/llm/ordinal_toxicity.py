@@ -20,11 +20,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillroll.llm.common import labelled_sample
-from tillroll.llm.prefix_bpe import CACHE_ENTRIES
 from tillroll.sources.scratch import written
 
 _WORD = re.compile(r"[^\W\d_]+")
 
+#: Words whose features are kept.
+CACHE_ENTRIES = 100_000
+
 #: Grades of toxic texts; grade 0 is not toxic.
 GRADES = 3
 

@@ -26,7 +26,6 @@ from pyspark import TaskContext
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillroll.llm.prefix_bpe import CACHE_ENTRIES
 from tillroll.sources.scratch import written
 
 TOKENS_TYPE = T.StructType(
@@ -57,6 +56,9 @@ PIECE_TYPE = T.StructType(
     ]
 )
 
+#: Parts of texts whose ids are kept.
+CACHE_ENTRIES = 200_000
+
 #: Letters whose lower case needs no context, with plain punctuation after them.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 

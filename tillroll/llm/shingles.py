@@ -3,7 +3,8 @@
 import numpy as np
 import xxhash
 
-from tillroll.llm.prefix_bpe import CACHE_ENTRIES
+#: Words whose hash is kept; hashing one again costs little.
+CACHE_ENTRIES = 50_000
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
