@@ -57,10 +57,11 @@ PIECE_TYPE = T.StructType(
 )
 
 #: Parts of texts whose ids are kept.
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 250_000
 
-#: Letters whose lower case needs no context, with plain punctuation after them.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+#: Letters whose lower case needs no context, and what may follow them as one run.
+_PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class TokenIds:
@@ -79,47 +80,57 @@ class TokenIds:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         self.dtype = np.uint16 if len(self.ends) <= 1 << 16 else np.uint32
-        self.known, self.marks = {"": b""}, {"": b""}
+        self.known, self.marks, self.words = {"": b""}, {"": b""}, {}
 
     def encoded(self, text):
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
 
-    def of_words(self, words):
-        """Ids of many plain words at once: each ends with an id that ends words."""
-        words, found = sorted(words), {}
+    def learn_words(self, words):
+        """Keep the ids of plain words; many are encoded at once, as each ends with
+        an id that ends words."""
+        if len(self.words) + len(words) > CACHE_ENTRIES:
+            self.words = {}
+        words, size = sorted(words), np.dtype(self.dtype).itemsize
         for at in range(0, len(words), 4000):
             part = words[at : at + 4000]
             ids = self.encoded(" ".join(part))
-            ends = np.flatnonzero(self.ends[ids]) + 1
+            ends = (np.flatnonzero(self.ends[ids]) + 1) * size
             if len(ends) != len(part):
                 raise ValueError("a word has more than one end")
-            for word, a, b in zip(part, [0, *ends.tolist()], ends.tolist()):
-                found[word] = ids[a:b].tobytes()
-        return found
+            raw, start = ids.tobytes(), 0
+            for word, end in zip(part, ends.tolist()):
+                self.words[word] = raw[start:end]
+                start = end
 
     def learn(self, parts):
-        plain = {}
+        """Keep the ids of parts of texts."""
+        plain = []
         for part in parts:
-            match = _PLAIN.fullmatch(part)
-            if match:
-                plain[part] = match[1].lower(), match[2]
+            word = part.rstrip(_MARKS)
+            if (word.isascii() and word.isalpha()) or _PLAIN.fullmatch(word):
+                plain.append((part, word.lower(), part[len(word) :]))
             else:
                 self.known[part] = self.encoded(part).tobytes()
-        words = self.of_words({word for word, _ in plain.values()})
-        for part, (word, mark) in plain.items():
-            if mark not in self.marks:
-                self.marks[mark] = self.encoded(mark).tobytes()
-            self.known[part] = words[word] + self.marks[mark]
+        new = {word for _, word, _ in plain}
+        if not new <= self.words.keys():
+            kept = self.words
+            self.learn_words(new - kept.keys() if len(kept) + len(new) <= CACHE_ENTRIES else new)
+        words, marks, known = self.words, self.marks, self.known
+        for part, word, mark in plain:
+            if mark not in marks:
+                marks[mark] = self.encoded(mark).tobytes()
+            known[part] = words[word] + marks[mark]
 
     def of(self, texts):
         """The ids of each text, as arrays."""
-        parts = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        parts = [t.replace("\n", " ").split(" ") if t else () for t in texts]
         words = set().union(*parts)
         new = words - self.known.keys()
         if len(self.known) + len(new) > CACHE_ENTRIES:
             self.known, self.marks, new = {"": b""}, {"": b""}, words - {""}
         self.learn(new)
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, p)), self.dtype) for p in parts]
+        get = self.known.__getitem__
+        return [np.frombuffer(b"".join(map(get, p)), self.dtype) for p in parts]
 
 
 def crc32(ids):
