@@ -120,6 +120,25 @@ def test_block_links_connect_what_all_links_would():
     assert merge(links) == merge(every) and len(links) < 70
 
 
+def test_long_list_of_short_texts_is_multiplied_in_small_groups(spark, monkeypatch):
+    n, same = 2500, " ".join(f"line{i}" for i in range(12))
+    rows = [(i, f"{same} x{i} y{i}") for i in range(n)]
+    rows += [(n + i, f"{same} {'tail ' * 6}x{i} z{i}") for i in range(2)]  # 12 of 16 shingles shared
+    rows += [(n + 2 + i, f"{same} {'end ' * 30}{i}") for i in range(2)]  # linked
+    sizes, block_links = [], join.block_links
+
+    def counted(members, percent):
+        sizes.extend(r["count"] for r in members.groupBy("key", "block").count().collect())
+        return block_links(members, percent)
+
+    monkeypatch.setattr(join, "block_links", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in join.near_duplicates(docs).collect()}
+    assert sum(sizes) >= n and max(sizes) <= 1500
+    assert found.pop(n + 3) == n + 2
+    assert all(i == c for i, c in found.items())
+
+
 def test_components_of_chains_and_repeats(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(50, 45), (45, 50), (60, 60)]
     found = components(spark.createDataFrame(links, "a long, b long"))

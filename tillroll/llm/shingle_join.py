@@ -41,6 +41,8 @@ SHORT = 64
 FREQUENT, FREQUENT_KEPT = 16, 100_000
 #: Shingles of the documents in a block.
 BLOCK = 1 << 20
+#: Documents in a block; two blocks are multiplied as a dense matrix of twice as many rows.
+BLOCK_DOCS = 1000
 #: Rows of three numbers up to which a table is sent to all executors.
 BROADCAST_ROWS = 500_000
 _LAST = np.uint64(1 << 62)
@@ -307,7 +309,11 @@ def links_of(docs, table, classes, text, k, percent):
     lists = (
         left.filter(F.col("entries") > SHORT)
         .groupBy("key")
-        .agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"))
+        .agg(
+            F.greatest(F.ceil(F.sum("n") / BLOCK), F.ceil(F.count("*") / BLOCK_DOCS))
+            .cast("int")
+            .alias("blocks")
+        )
     )
     members = written(
         left.join(lists, "key")
