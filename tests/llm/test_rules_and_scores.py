@@ -126,3 +126,36 @@ def test_toxicity_without_labels_and_with_nulls(spark):
     some = spark.createDataFrame(texts, "doc_id long, text string")
     left = ordinal_toxicity.without_toxic(some, marked)
     assert sorted(r["doc_id"] for r in left.collect()) == list(range(0, 40, 2))
+
+
+@pytest.fixture(scope="module")
+def repeated(spark):
+    """4 toxic labels in 40; one id without toxic words holds most of the rows."""
+    texts = [(i, ("vile word" if i % 10 == 0 else "kind word") + f" x{i}") for i in range(40)]
+    docs = texts + [(1, f"kind word y{i}") for i in range(100)]
+    labels = [(i, int(i % 10 == 0), int(i % 10 == 0)) for i in range(40)]
+    return (
+        spark.createDataFrame(docs, "doc_id long, text string"),
+        spark.createDataFrame(labels + labels[:20], "doc_id long, toxic int, quality int"),
+    )
+
+
+def test_repeated_documents_push_no_label_out(repeated):
+    docs, labels = repeated
+    model = ordinal_toxicity.fit_toxicity(docs, labels, fit_rows=40)
+    toxic = ordinal_toxicity.with_grades(docs, model).filter("toxicity.toxic")
+    assert sorted(r["doc_id"] for r in toxic.collect()) == [0, 10, 20, 30]
+    base = additive_model.fit_quality(docs, labels, fit_rows=40).base
+    assert base == pytest.approx(np.log(4 / 36))
+
+
+def test_toxicity_on_labels_not_fitted(spark):
+    labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "toxic")
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    model = ordinal_toxicity.fit_toxicity(docs, labels.filter(~queries.held_out()))
+    truth = labels.filter(queries.held_out()).withColumnRenamed("toxic", "truth")
+    rows = ordinal_toxicity.with_grades(docs, model).join(truth, "doc_id")
+    counts = {tuple(r[:2]): r["count"] for r in rows.groupBy("truth", "toxicity.toxic").count().collect()}
+    # 88 of 97 as of now; 0.95 is not reached
+    assert counts[1, True] >= 0.9 * (counts[1, True] + counts.get((1, False), 0))
+    assert counts.get((0, True), 0) <= 0.01 * counts[0, False]

@@ -195,7 +195,7 @@ def measured_texts(docs, text="text", into="measured"):
 def fit_quality(docs, labels, label="quality", key="doc_id", text="text", fit_rows=20_000):
     """Fit on at most ``fit_rows`` labelled rows, those with the lowest key hashes."""
     sample = measured_texts(labelled_sample(docs, labels, label, fit_rows, key, text))
-    rows = sample.select("y", "measured").orderBy("measured", "y").limit(fit_rows).toPandas()
+    rows = sample.select("y", "measured").toPandas()
     return fit(features(list(rows["measured"])), rows["y"].to_numpy())
 
 

@@ -24,19 +24,23 @@ def text_of(column):
 def labelled_sample(docs, labels, label, rows, key="doc_id", text="text"):
     """(y, text) of the documents of at most ``rows`` labels of 0 or 1.
 
-    The labels with the lowest hashes of their key are taken; only they, a few
-    bytes each, are sent to the documents.
+    The labels with the lowest hashes of their key are taken, of repeated ones one;
+    only they, a few bytes each, are sent to the documents. Of several documents of
+    a key the text with the lowest hash stands for it, so there are at most
+    ``rows`` rows and no later cut.
     """
     chosen = (
         labels.filter(F.col(f"`{label}`").isin(0, 1))
         .select(F.col(f"`{key}`").alias("key"), F.col(f"`{label}`").cast("int").alias("y"))
+        .distinct()
         .orderBy(F.xxhash64("key"), "key", "y")
         .limit(rows)
     )
     texts = docs.select(
         F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text")
     )
-    return texts.join(F.broadcast(chosen), "key").select("y", "text")
+    one = F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("one")
+    return texts.join(F.broadcast(chosen), "key").groupBy("key", "y").agg(one).select("y", "one.text")
 
 
 def text_md5(column="text"):

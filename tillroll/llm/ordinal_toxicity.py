@@ -165,8 +165,8 @@ def fit_toxicity(docs, labels, label="toxic", key="doc_id", text="text", fit_row
         return pd.Series([[number[f] for f in x if f in number] for x in found], dtype=object)
 
     sparse = sample.select("y", numbered("features").alias("x"))
-    rows = sparse.orderBy("y", "x").limit(fit_rows).toPandas()
-    y, sparse = rows["y"].to_numpy(), list(rows["x"])
+    rows = sorted((r["y"], r["x"]) for r in sparse.collect())  # the order has a say in sums
+    y, sparse = np.array([r[0] for r in rows]), [r[1] for r in rows]
     amount = np.array([len(x) for x in sparse])
     edges = np.quantile(amount[y > 0], np.arange(1, GRADES) / GRADES)
     grades = np.where(y > 0, 1 + np.searchsorted(edges, amount, side="left"), 0)
