@@ -13,6 +13,7 @@ from tillroll.llm import (
     retrieval_packing,
     rule_ledger,
     shingle_join,
+    simhash,
     warc,
 )
 from tillroll.llm.common import table
@@ -132,6 +133,13 @@ def op10_shingle_join(spark, sf_dir):
     return shingle_join.near_duplicates(docs).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_simhash(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash.near_duplicates(docs).select(
+        "doc_id", simhash.hex_digits("fingerprint").alias("fingerprint"), "component_id"
+    )
+
+
 def queries():
     return {
         "op1_token_counts": op1_token_counts,
@@ -144,5 +152,6 @@ def queries():
         "op8_toxicity": op8_toxicity,
         "op9_quality": op9_quality,
         "op10_shingle_join": op10_shingle_join,
+        "op11_simhash": op11_simhash,
         "pipeline": corpus_pipeline.run,
     }
