@@ -1,0 +1,117 @@
+import random
+from collections import Counter
+
+import pytest
+
+from tillroll.llm import collocations as mine
+
+
+def pieces(text):
+    lower = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    for c in ".,;:!?\n\v\f\r":
+        lower = lower.replace(c, "\n")
+    return [[w for w in p.replace("\t", " ").split(" ") if w] for p in lower.split("\n")]
+
+
+def counts_of(docs, longest):
+    f, n = Counter(), Counter()
+    for lang, text in docs:
+        lang = "und" if lang is None else lang
+        for words in pieces(text):
+            n[lang] += len(words)
+            for size in range(1, longest + 1):
+                f.update((lang, tuple(words[i : i + size])) for i in range(len(words) - size + 1))
+    return f, n
+
+
+def brute(docs, least, longest=5, percent=100, limit=2000):
+    f, n = counts_of(docs, longest)
+    candidates = {p: a for p, a in f.items() if a >= least and len(p[1]) > 1}
+    rows = []
+    for (lang, words), a in candidates.items():
+        if any(
+            other == lang
+            and len(longer) > len(words)
+            and 100 * b >= percent * a
+            and any(longer[i : i + len(words)] == words for i in range(len(longer)))
+            for (other, longer), b in candidates.items()
+        ):
+            continue
+        cuts = []
+        for k in range(1, len(words)):
+            left, right = f[lang, words[:k]], f[lang, words[k:]]
+            cuts.append((1000 * a * n[lang] // (left * right), k, left, right))
+        score, _, left, right = min(cuts)
+        rows.append((lang, " ".join(words), a, left, right, n[lang], score))
+    out = []
+    for lang in sorted({r[0] for r in rows}):
+        mine_ = sorted((r for r in rows if r[0] == lang), key=lambda r: (-r[6], -r[2], r[1].encode()))
+        out += [(lang, i + 1, *r[1:]) for i, r in enumerate(mine_[:limit])]
+    return out
+
+
+@pytest.fixture(scope="module")
+def corpus():
+    rng = random.Random(11)
+    fixed = [[f"w{rng.randrange(40)}" for _ in range(rng.randrange(2, 9))] for _ in range(12)]
+    rows = []
+    for i in range(150):
+        words = []
+        for _ in range(rng.randrange(0, 60)):
+            words += rng.choice(fixed) if rng.random() < 0.4 else [f"W{rng.randrange(40)}"]
+            words[-1:] = [words[-1] + rng.choice(["", "", "", ".", ", ", "\n", "!?", "\t"])] if words else []
+        rows.append((rng.choice(["en", "fr", None, ""]), " ".join(words)))
+    rows += rows[:20] + [("en", rows[3][1])] * 15
+    rows += [("de", "a " * 6000), ("de", "x"), ("de", None), (None, ""), ("fr", " .,;\n"), ("fr", "é É\x0b\xa0 é")]
+    return rows
+
+
+@pytest.mark.parametrize("settings", [{}, {"LONGEST_CORE": 7, "COUNTED": 50, "MOST_BITS": 15}, {"TRIGGER": 2}])
+@pytest.mark.parametrize("percent", [100, 70])
+def test_against_brute_force(spark, corpus, monkeypatch, settings, percent):
+    for name, value in settings.items():
+        monkeypatch.setattr(mine, name, value)
+    docs = spark.createDataFrame([(*r, 1) for r in corpus], "lang string, text string, n int")
+    found = mine.collocations(docs, least=8, percent=percent, limit=60)
+    assert found.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+    assert sorted(map(tuple, found.collect())) == sorted(brute(corpus, 8, percent=percent, limit=60))
+
+
+@pytest.mark.parametrize("core", [3, 5000])
+def test_chunks_hold_every_phrase_once(corpus, monkeypatch, core):
+    monkeypatch.setattr(mine, "LONGEST_CORE", core)
+    hashes, found, words = mine._Hashes(), Counter(), 0
+    for _, text in corpus:
+        for chunk, own, n in mine.chunks_of(mine.tokens_of(text), hashes, 4):
+            tokens, words = chunk.split(" "), words + n
+            for size in range(1, 6):
+                for i in range(min(own, len(tokens) - size + 1)):
+                    if "." not in tokens[i : i + size]:
+                        found[tuple(tokens[i : i + size])] += 1
+    f, n = counts_of([("x", t) for _, t in corpus], 5)
+    assert found == Counter({p: c for (_, p), c in f.items()}) and words == n["x"]
+
+
+def test_copies_share_chunks(spark):
+    rng = random.Random(2)
+    text = " ".join(f"w{rng.randrange(500)}" for _ in range(3000))
+    docs = [("en", f"{' '.join(f'x{i}{j}' for j in range(i))} {text}") for i in range(30)]
+    chunks = mine.dictionary(spark.createDataFrame(docs, "lang string, text string"), "lang", "text", 5)
+    assert chunks.filter("weight = 30").selectExpr("sum(core)").first()[0] > 2500
+    assert chunks.count() < 400
+
+
+def test_exact_beyond_64_bits(spark):
+    rows = [("en", "a b", 2, 4 * 10**15), ("en", "a", 1, 5 * 10**15), ("en", "b", 1, 6 * 10**15)]
+    phrases = spark.createDataFrame(rows, "lang string, phrase string, size int, n long")
+    totals = spark.createDataFrame([("en", 9 * 10**16)], "lang string, n long")
+    scored = mine.with_scores(mine.uncontained(phrases, 100), phrases, totals).collect()
+    assert [r["score"] for r in scored] == [1000 * 4 * 10**15 * 9 * 10**16 // (30 * 10**30)]
+
+
+def test_empty_table_and_no_candidates(spark):
+    docs = spark.createDataFrame([], "lang string, text string, phrase int")
+    assert mine.collocations(docs).count() == 0
+    docs = spark.createDataFrame([("en", "a b c")], "lang string, text string")
+    assert mine.collocations(docs).count() == 0
+    assert mine.collocations(docs, least=1).select("phrase").collect() == [("a b c",)]

@@ -1,5 +1,7 @@
 """What the corpus operators share."""
 
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 
 #: Rows a Python worker gets at once; with texts of some KB a few MB.
@@ -12,6 +14,18 @@ def bounded_batches(spark):
     return spark
 
 
+@contextmanager
+def batches_of(spark, rows):
+    """Another number of rows at once for what is stored inside; for short rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def table(spark, sf_dir, name):
     return bounded_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 

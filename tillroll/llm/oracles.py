@@ -137,5 +137,93 @@ JOIN (SELECT x AS k, min(e.doc_id) AS component_id FROM reach JOIN d e ON e.k =
 """
 
 
+ALNUM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
+OP12 = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{ALNUM}') AS ts
+  FROM documents
+), b AS (
+  SELECT row_number() OVER () AS i, item_id,
+         regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{ALNUM}') AS ts
+  FROM benchmark
+), totals AS (
+  SELECT count(*) AS n_docs, sum(len(ts))::BIGINT AS n_terms FROM d WHERE len(ts) > 0
+), q AS (
+  SELECT i, t, count(*) AS times FROM (SELECT i, unnest(ts) AS t FROM b) GROUP BY i, t
+), p AS (
+  SELECT k, t, count(*) AS tf FROM (SELECT k, unnest(ts) AS t FROM d)
+  WHERE t IN (SELECT t FROM q) GROUP BY k, t
+), w AS (
+  SELECT t, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+  FROM p, totals GROUP BY t, n_docs
+), scored AS (
+  SELECT q.i, d.doc_id, d.k,
+         sum(times * w * ((1000000000 * tf) // (1000 * tf
+           + 12 * (100 - 25 + (25 * len(d.ts) * n_docs) // n_terms))))::BIGINT AS score
+  FROM q JOIN w USING (t) JOIN p USING (t) JOIN d ON d.k = p.k, totals
+  GROUP BY q.i, d.k, d.doc_id
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST, k) AS rank
+  FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked JOIN b USING (i) WHERE rank <= 20
+"""
+
+PIECE, BLANK_WORD = r"[^.,;:!?\x0A-\x0D]+", r"[^\x20\x09]+"
+
+OP13 = rf"""
+WITH pieces AS (
+  SELECT row_number() OVER () AS k, lang, regexp_extract_all(piece, '{BLANK_WORD}') AS ws
+  FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_extract_all(
+             translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{PIECE}')) AS piece
+    FROM documents
+  )
+), totals AS (
+  SELECT lang, sum(len(ws))::HUGEINT AS n FROM pieces GROUP BY lang
+), grams AS (
+  SELECT lang, size, ws[s + 1 : s + size] AS words
+  FROM (SELECT lang, ws, size, unnest(range(len(ws) - size + 1)) AS s
+        FROM pieces, (SELECT unnest([1, 2, 3, 4, 5]) AS size) WHERE len(ws) >= size)
+), f AS (
+  SELECT lang, size, words, count(*)::HUGEINT AS f FROM grams
+  GROUP BY lang, size, words HAVING count(*) >= 100
+), inside AS (
+  SELECT lang, words[s + 1 : s + m] AS words, max(f) AS longer
+  FROM (SELECT lang, words, size, f, m, unnest(range(size - m + 1)) AS s
+        FROM f, (SELECT unnest([2, 3, 4]) AS m) WHERE m < size)
+  GROUP BY ALL
+), cuts AS (
+  SELECT c.lang, c.words, c.f AS a, k, x.f AS l, y.f AS r, n, (1000 * c.f * n) // (x.f * y.f) AS score
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM f WHERE size > 1) c
+  JOIN f x ON x.lang = c.lang AND x.words = c.words[1 : k]
+  JOIN f y ON y.lang = c.lang AND y.words = c.words[k + 1 : c.size]
+  JOIN totals t ON t.lang = c.lang
+  LEFT JOIN inside i ON i.lang = c.lang AND i.words = c.words
+  WHERE coalesce(100 * longer < 100 * c.f, true)
+), best AS (
+  SELECT * FROM cuts
+  QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, k) = 1
+), ranked AS (
+  SELECT lang, array_to_string(words, ' ') AS phrase, a, l, r, n, score,
+         row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC,
+                            encode(array_to_string(words, ' '))) AS rank
+  FROM best
+)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n,
+       score::BIGINT AS score
+FROM ranked WHERE rank <= 2000
+"""
+
+
 def oracle_sql():
-    return {"op10_shingle_join": OP10, "op7_decontamination": OP7, "op3_warc": OP3, "op4_quality_rules": OP4}
+    return {
+        "op3_warc": OP3,
+        "op4_quality_rules": OP4,
+        "op7_decontamination": OP7,
+        "op10_shingle_join": OP10,
+        "op12_ranked_search": OP12,
+        "op13_collocations": OP13,
+    }

@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from tillroll.llm import (
     additive_model,
+    collocations,
     decontamination,
     license_scan,
     ordinal_toxicity,
     passages,
+    ranked_search,
     retrieval_packing,
     rule_ledger,
     shingle_join,
@@ -140,6 +142,17 @@ def op11_simhash(spark, sf_dir):
     )
 
 
+def op12_ranked_search(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    items = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    return ranked_search.ranked(docs, items, limit=20)
+
+
+def op13_collocations(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("lang", "text")
+    return collocations.collocations(docs)
+
+
 def queries():
     return {
         "op1_token_counts": op1_token_counts,
@@ -153,5 +166,7 @@ def queries():
         "op9_quality": op9_quality,
         "op10_shingle_join": op10_shingle_join,
         "op11_simhash": op11_simhash,
+        "op12_ranked_search": op12_ranked_search,
+        "op13_collocations": op13_collocations,
         "pipeline": corpus_pipeline.run,
     }
