@@ -26,17 +26,26 @@ def scratch_path(spark, name):
     return f"{scratch_folder(spark)}/tillroll/{application}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df, name):
+def written(df, name, **options):
     """Write ``df`` as Parquet to the scratch folder and return the stored table."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def folder_of(spark, path):
+    """(file system, path) of a folder, wherever it is stored."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
+
+
+def delete_folder(spark, path):
+    files, folder = folder_of(spark, path)
+    return files.delete(folder, True)
+
+
 def clear_scratch(spark):
     """Delete what this application wrote; results that read from it end there."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(
-        f"{scratch_folder(spark)}/tillroll/{spark.sparkContext.applicationId}"
+    return delete_folder(
+        spark, f"{scratch_folder(spark)}/tillroll/{spark.sparkContext.applicationId}"
     )
-    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return files.delete(folder, True)
