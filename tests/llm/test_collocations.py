@@ -80,9 +80,9 @@ def test_against_brute_force(spark, corpus, monkeypatch, settings, percent):
 @pytest.mark.parametrize("core", [3, 5000])
 def test_chunks_hold_every_phrase_once(corpus, monkeypatch, core):
     monkeypatch.setattr(mine, "LONGEST_CORE", core)
-    hashes, found, words = mine._Hashes(), Counter(), 0
+    found, words = Counter(), 0
     for _, text in corpus:
-        for chunk, own, n in mine.chunks_of(mine.tokens_of(text), hashes, 4):
+        for chunk, own, n in mine.chunks_of(mine.tokens_of(text), 4):
             tokens, words = chunk.split(" "), words + n
             for size in range(1, 6):
                 for i in range(min(own, len(tokens) - size + 1)):

@@ -8,10 +8,13 @@ with their frequencies. A phrase belongs to the chunk in whose own part its firs
 word stands, so what chunks overlap in is counted once. All counting happens
 inside distinct chunks, weighted by frequency.
 
-Phrases are counted by length. One that is frequent enough begins and ends with
-phrases one word shorter that are; these are marked in a bitmap of bounded size,
-and what is not marked is not counted. A full bitmap would cost time only: counts
-are kept by the words themselves.
+What is frequent begins and ends with what is frequent and one word shorter. Words,
+then pairs of words are counted by their hashes; the frequent ones are marked in a
+bitmap of bounded size, which leaves of the dictionary only runs of words whose
+neighbours are all frequent pairs. These runs form a smaller dictionary, in which
+longer phrases are marked in the same way. What is marked is then counted by the
+words themselves, so a hash that two phrases share, or too little room in a bitmap,
+costs time only (inside a task phrases are told apart by their 64-bit hashes).
 
 Words are separated by blanks and tabs, ASCII in lower case; pieces end at
 ``.,;:!?`` and line ends. Null texts are empty, a null language is ``und``.
@@ -19,19 +22,21 @@ Repeated rows count as often as they occur. Columns other than the two named pla
 no part.
 """
 
+from zlib import crc32
+
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tillroll.llm.common import batches_of, text_of
-from tillroll.llm.shingles import _Hashes
 from tillroll.sources.scratch import written
 
 #: One word in so many ends a chunk; a chunk's own part has at most ``LONGEST_CORE`` words.
-TRIGGER, LONGEST_CORE = 24, 4096
+TRIGGER, LONGEST_CORE = 40, 4096
 #: Words a task counts at once.
-COUNTED = 1 << 20
+COUNTED = 3 << 19
 #: Chunks a Python worker gets at once.
 CHUNK_ROWS = 5000
 #: Bits of the bitmap per frequent phrase, and the most it has, as powers of two.
@@ -57,21 +62,21 @@ def tokens_of(text):
     return tokens[:-1]
 
 
-def chunks_of(tokens, hashes, overlap):
+def chunks_of(tokens, overlap):
     """(chunk, tokens of its own part, words in it) of a text, in order."""
-    ends = np.fromiter((hashes[t] % TRIGGER == 0 for t in tokens), bool, len(tokens))
+    ends = np.fromiter(map(crc32, tokens), np.uint32, len(tokens)) % TRIGGER == 0
     start = 0
     for end in [*(np.flatnonzero(ends) + 1).tolist(), len(tokens)]:
         while start < end:
             core = min(end, start + LONGEST_CORE)
-            reach = core
-            while reach < len(tokens) and reach < core + overlap and tokens[reach] != _BREAK:
-                reach += 1
+            tail = tokens[core : core + overlap]
+            if _BREAK in tail:
+                tail = tail[: tail.index(_BREAK)]
             own = tokens[start:core]
-            first = 1 if own[0] == _BREAK else 0
-            if len(own) > first:
-                chunk = b" ".join(tokens[start + first : reach]).decode()
-                yield chunk, len(own) - first, len(own) - own.count(_BREAK)
+            if own[0] == _BREAK:
+                own = own[1:]
+            if own:
+                yield b" ".join(own + tail).decode(), len(own), len(own) - own.count(_BREAK)
             start = core
 
 
@@ -79,13 +84,10 @@ def dictionary(docs, lang, text, longest):
     """lang, chunk, core, n_words and weight of every distinct chunk, stored."""
 
     def parsed(batches):
-        hashes = _Hashes()
         for batch in batches:
             rows = []
             for language, content in zip(batch["lang"], batch["text"]):
-                rows += [
-                    (language, *chunk) for chunk in chunks_of(tokens_of(content), hashes, longest - 1)
-                ]
+                rows += [(language, *c) for c in chunks_of(tokens_of(content), longest - 1)]
                 if len(rows) > 50_000:
                     yield pd.DataFrame(rows, columns=["lang", "chunk", "core", "n_words"])
                     rows = []
@@ -97,7 +99,7 @@ def dictionary(docs, lang, text, longest):
     )
     chunks = texts.mapInPandas(parsed, "lang string, chunk string, core int, n_words int")
     counted = chunks.groupBy("lang", "chunk", "core", "n_words").agg(F.count("*").alias("weight"))
-    return written(counted, "chunks")
+    return written(counted, "chunks", compression="zstd")
 
 
 def phrase_hashes(words, seeds, size):
@@ -121,103 +123,162 @@ class Marks:
         return (self.bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def marks_of(frequent, size):
-    """Marks of the stored phrases (lang, phrase), built by Spark's bitmap aggregate."""
+def marks_of(frequent):
+    """Marks of stored ``hash`` values, built by Spark's bitmap aggregate."""
     n = max(1, frequent.count())
     power = min(MOST_BITS, max(15, (n << BITS_PER_PHRASE).bit_length()))
-
-    @F.pandas_udf("long")
-    def slot(langs: pd.Series, phrases: pd.Series) -> pd.Series:
-        hashes = _Hashes()
-        words = [hashes[w] for phrase in phrases for w in phrase.encode().split(b" ")]
-        seeds = np.repeat(np.array([hashes[x.encode()] for x in langs], np.uint64), size)
-        found = phrase_hashes(np.array(words, np.uint64), seeds, size)[::size]
-        return pd.Series((found >> np.uint64(64 - power)).astype(np.int64))
-
     # Spark's positions begin with 1: slot s is bit s % 32768 of bucket 1 + s // 32768
-    slots = frequent.select((slot("lang", "phrase") + 1).alias("slot"))
+    slots = frequent.select((F.shiftrightunsigned("hash", 64 - power) + 1).alias("slot"))
     parts = slots.groupBy(F.bitmap_bucket_number("slot").alias("part")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")
     )
     bits = np.zeros((1 << power) // 8, np.uint8)
-    for row in parts.toLocalIterator():  # at most 2 ** (MOST_BITS - 15) parts of 4 KB
-        here = np.frombuffer(row["bits"], np.uint8)
-        bits[(row["part"] - 1) * 4096 : row["part"] * 4096] = here
+    for row in parts.collect():  # at most 2 ** (MOST_BITS - 15) parts of 4 KB
+        bits[(row["part"] - 1) * 4096 : row["part"] * 4096] = np.frombuffer(row["bits"], np.uint8)
     return Marks(power, bits)
 
 
-def counted(chunks, size, least, marks):
-    """lang, phrase and n of the phrases of ``size`` words found ``least`` times, stored."""
-
-    def count(batches):
-        hashes = _Hashes()
-        for part in _joined(batches):
-            yield _count_part(part, size, marks, hashes)
-
-    found = chunks.select("lang", "chunk", "core", "weight").mapInPandas(
-        count, "lang string, phrase string, n long"
-    )
-    sums = found.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    with batches_of(chunks.sparkSession, CHUNK_ROWS):  # chunks are short
-        return written(sums, f"phrases-{size}")
-
-
-def _joined(batches):
+class Part:
+    """The words of many chunks (lang, chunk, core, weight) one after the other."""
+
+    def __init__(self, rows):
+        split = [chunk.encode().split(b" ") for chunk in rows["chunk"]]
+        lengths = np.fromiter(map(len, split), np.int64, len(split))
+        self.tokens = [t for words in split for t in words]
+        digests = map(xxhash.xxh64_intdigest, self.tokens)
+        self.words = np.fromiter(digests, np.uint64, len(self.tokens))
+        self.place = np.arange(len(self.tokens)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        self.length = np.repeat(lengths, lengths)
+        self.owned = self.place < np.repeat(rows["core"].to_numpy(np.int64), lengths)
+        self.word = self.words != np.uint64(xxhash.xxh64_intdigest(_BREAK))
+        of_lang, langs = pd.factorize(rows["lang"].to_numpy(object))
+        seeds = [xxhash.xxh64_intdigest(x.encode()) for x in langs]
+        self.seeds = np.repeat(np.array(seeds, np.uint64)[of_lang], lengths)
+        self.langs, self.of_lang = langs, np.repeat(of_lang, lengths)
+        self.weight = np.repeat(rows["weight"].to_numpy(np.int64), lengths)
+
+    def hashes(self, size):
+        return phrase_hashes(self.words, self.seeds, size)
+
+    def starts(self, size):
+        """Per place whether a phrase of this size begins there, and stays in its piece."""
+        n = max(0, len(self.tokens) - size + 1)
+        good = (self.place + size <= self.length)[:n]
+        for i in range(size):
+            good &= self.word[i : i + n]
+        return good
+
+    def counted(self, size, shorter=None, own=None):
+        """(first places, hashes, counts) of the distinct phrases of a size.
+
+        Only those that ``own`` marks, and whose first and last words ``shorter`` marks.
+        """
+        good = self.starts(size) & self.owned[: max(0, len(self.tokens) - size + 1)]
+        if shorter is not None and len(good):
+            marked = shorter.holds(self.hashes(size - 1))
+            good &= marked[: len(good)] & marked[1 : len(good) + 1]
+        at = np.flatnonzero(good)
+        found = self.hashes(size)[at]
+        if own is not None:
+            kept = own.holds(found)
+            at, found = at[kept], found[kept]
+        order = np.argsort(found, kind="stable")
+        found, at = found[order], at[order]
+        new = np.flatnonzero(np.append(True, found[1:] != found[:-1])) if len(found) else order
+        sums = np.add.reduceat(self.weight[at], new) if len(new) else self.weight[:0]
+        return at[new], found[new], sums
+
+    def phrases(self, at, ends):
+        tokens = self.tokens
+        texts = [b" ".join(tokens[i:j]).decode() for i, j in zip(at.tolist(), ends.tolist())]
+        langs = self.langs[self.of_lang[at]] if len(at) else []
+        return {"lang": pd.Series(langs, dtype=object), "phrase": pd.Series(texts, dtype=object)}
+
+
+def _parts(batches):
     """Batches put together to some ``COUNTED`` words; longer chunks stay whole."""
     held, words = [], 0
     for batch in batches:
         held.append(batch)
         words += int(batch["core"].sum())
         if words >= COUNTED:
-            yield pd.concat(held)
+            yield Part(pd.concat(held))
             held, words = [], 0
     if held:
-        yield pd.concat(held)
-
-
-def _count_part(part, size, marks, hashes):
-    split = [chunk.encode().split(b" ") for chunk in part["chunk"]]
-    lengths = np.fromiter(map(len, split), np.int64, len(split))
-    tokens = [t for words in split for t in words]
-    words = np.fromiter(map(hashes.__getitem__, tokens), np.uint64, len(tokens))
-    begins = np.cumsum(lengths) - lengths
-    place = np.arange(len(tokens)) - np.repeat(begins, lengths)
-    n = max(0, len(tokens) - size + 1)
-    owned = place < np.repeat(part["core"].to_numpy(np.int64), lengths)
-    fits = place + size <= np.repeat(lengths, lengths)
-    breaks = words == np.uint64(hashes[_BREAK])
-    good = (owned & fits)[:n]
-    for i in range(size):
-        good &= ~breaks[i : i + n]
-    lang_of, langs = pd.factorize(part["lang"].to_numpy(object))
-    seeds = np.repeat(np.array([hashes[x.encode()] for x in langs], np.uint64)[lang_of], lengths)
-    if size > 1 and n:  # both shorter phrases must be marked
-        marked = marks.holds(phrase_hashes(words, seeds, size - 1))
-        good &= marked[:n] & marked[1 : n + 1]
-    at = np.flatnonzero(good)
-    found = phrase_hashes(words, seeds, size)[at]
-    weight = np.repeat(part["weight"].to_numpy(np.int64), lengths)[at]
-    order = np.argsort(found, kind="stable")
-    found, at, weight = found[order], at[order], weight[order]
-    new = np.flatnonzero(np.append(True, found[1:] != found[:-1])) if len(found) else at
-    sums = np.add.reduceat(weight, new) if len(new) else weight
-    names = np.repeat(langs[lang_of], lengths)
-    first = at[new]
-    phrases = [b" ".join(tokens[i : i + size]).decode() for i in first.tolist()]
-    named = {"lang": pd.Series(names[first], dtype=object), "phrase": pd.Series(phrases, dtype=object)}
-    return pd.DataFrame(named | {"n": sums})
+        yield Part(pd.concat(held))
+
+
+_CHUNK = ("lang", "chunk", "core", "weight")
+
+
+def marked_phrases(chunks, size, least, shorter=None):
+    """Marks of the phrases found ``least`` times by their hashes."""
+
+    def count(batches):
+        for part in _parts(batches):
+            _, found, sums = part.counted(size, shorter)
+            yield pd.DataFrame({"hash": found.view(np.int64), "n": sums})
+
+    found = chunks.select(*_CHUNK).mapInPandas(count, "hash long, n long")
+    sums = found.groupBy("hash").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    with batches_of(chunks.sparkSession, CHUNK_ROWS):  # chunks are short
+        return marks_of(written(sums.select("hash"), f"hashes-{size}"))
+
+
+def runs_of(chunks, words, pairs):
+    """phrase, core and n by lang, stored: marked words (core 0), and the longest runs in
+    which all pairs of neighbours are marked, with the words that their chunk owns.
+    """
+
+    def cut(batches):
+        for part in _parts(batches):
+            at, _, sums = part.counted(1, own=words)
+            yield pd.DataFrame(part.phrases(at, at + 1) | {"core": 0, "n": sums})
+            linked = part.starts(2)
+            if len(linked):
+                linked &= pairs.holds(part.hashes(2))
+            edges = np.diff(np.concatenate([[0], linked.astype(np.int8), [0]]))
+            first, last = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+            own = np.concatenate([[0], np.cumsum(part.owned)])
+            core = own[last + 1] - own[first]
+            first, last, core = first[core > 0], last[core > 0], core[core > 0]
+            yield pd.DataFrame(part.phrases(first, last + 1) | {"core": core, "n": part.weight[first]})
+
+    found = chunks.select(*_CHUNK).mapInPandas(cut, "lang string, phrase string, core int, n long")
+    sums = found.groupBy("lang", "phrase", "core").agg(F.sum("n").alias("n"))
+    with batches_of(chunks.sparkSession, CHUNK_ROWS):
+        return written(sums, "runs")
+
+
+def counted(runs, marks, least):
+    """lang, phrase, size and n of the marked phrases (size → marks) found ``least`` times, stored."""
+
+    def count(batches):
+        for part in _parts(batches):
+            for size, own in marks.items():
+                at, _, sums = part.counted(size, own=own)
+                yield pd.DataFrame(part.phrases(at, at + size) | {"size": size, "n": sums})
+
+    found = runs.mapInPandas(count, "lang string, phrase string, size int, n long")
+    sums = found.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("n"))
+    with batches_of(runs.sparkSession, CHUNK_ROWS):
+        return written(sums.filter(F.col("n") >= least), "phrases")
 
 
 def frequent_phrases(chunks, least, longest):
     """lang, phrase, size and n of all phrases of 1 to ``longest`` words found ``least`` times."""
-    every, marks = None, None
-    for size in range(1, longest + 1):
-        level = counted(chunks, size, least, marks)
-        if size < longest:
-            marks = marks_of(level, size)
-        level = level.withColumn("size", F.lit(size))
-        every = level if every is None else every.unionByName(level)
-    return every
+    words = marked_phrases(chunks, 1, least)
+    marks = {2: marked_phrases(chunks, 2, least, words)}
+    found = runs_of(chunks, words, marks[2])
+    single = found.filter((F.col("core") == 0) & (F.col("n") >= least))
+    runs = found.filter("core > 0").select(
+        "lang", F.col("phrase").alias("chunk"), "core", F.col("n").alias("weight")
+    )
+    for size in range(3, longest + 1):
+        marks[size] = marked_phrases(runs, size, least, marks[size - 1])
+    return single.select("lang", "phrase", F.lit(1).alias("size"), "n").unionByName(
+        counted(runs, marks, least)
+    )
 
 
 def uncontained(phrases, percent):
@@ -261,7 +322,8 @@ def with_scores(candidates, phrases, totals):
         cuts = cuts.join(known, ["lang", side])
     # 1000 * a * n stays below 38 digits for any corpus of less than 10 ** 17 words
     wide = {c: F.col(c).cast("decimal(19,0)") for c in ("a", "n", "l", "r")}
-    cuts = cuts.join(totals, "lang")
+    # Without the new deal a language's phrases would stay together for the aggregate.
+    cuts = cuts.join(totals, "lang").repartition("lang", "phrase")
     cuts = cuts.withColumns(
         {"above": wide["a"] * F.lit(1000).cast("decimal(4,0)") * wide["n"], "below": wide["l"] * wide["r"]}
     ).withColumn("score", F.expr("above div below"))
