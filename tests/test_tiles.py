@@ -39,14 +39,54 @@ def customers(spark, size, seed):
     return spark.createDataFrame(rows, "id string, days bigint, n bigint, amount decimal(28,2)")
 
 
+@pytest.mark.parametrize("sample", [10, 100])
 @pytest.mark.parametrize("size, n", [(0, 5), (1, 5), (3, 5), (5, 5), (6, 5), (23, 4), (1009, 5)])
-def test_ranged_equals_plain(spark, monkeypatch, size, n):
-    monkeypatch.setattr(tiles, "ROWS_PER_RANGE", 100)
+def test_narrowed_equals_plain(spark, monkeypatch, size, n, sample):
+    monkeypatch.setattr(tiles, "SAMPLE_ROWS", sample)
     df = customers(spark, size, size)
     got = with_tiles(df, ORDERS, "id", n).select("id", *ORDERS)
     assert sorted(got.collect()) == sorted(expected(df, n).collect())
 
 
+@pytest.mark.parametrize("margin", [0, 0.2])
+def test_brackets_that_miss_are_taken_again(spark, monkeypatch, margin):
+    monkeypatch.setattr(tiles, "SAMPLE_ROWS", 60)
+    monkeypatch.setattr(tiles, "MARGIN", margin)
+    missed, counted = [], tiles._Orders.counted
+
+    def watch(self, brackets):
+        out = counted(self, brackets)
+        missed.extend(not b.before < b.ranks[0] <= b.before + b.inside for b in out)
+        return out
+
+    monkeypatch.setattr(tiles._Orders, "counted", watch)
+    df = customers(spark, 2000, 4)
+    got = with_tiles(df, ORDERS, "id", 5).select("id", *ORDERS)
+    assert sorted(got.collect()) == sorted(expected(df, 5).collect())
+    assert any(missed)
+
+
+def test_only_brackets_are_looked_at_again(spark, monkeypatch):
+    monkeypatch.setattr(tiles, "SAMPLE_ROWS", 2000)
+    inside, sampled = [], tiles._Orders.sampled
+
+    def watch(self, brackets, *rest):
+        inside.append([b.inside for b in brackets])
+        return sampled(self, brackets, *rest)
+
+    monkeypatch.setattr(tiles._Orders, "sampled", watch)
+    df = spark.range(40_000).select("id", F.hash("id").alias("n"), (F.col("id") % 3).alias("days"))
+    orders = {"by_days": TileOrder("days", descending=True), "by_n": TileOrder("n")}
+    got = with_tiles(df, orders, "id", 5)
+    plain = df.select(
+        F.ntile(5).over(Window.orderBy(F.col("days").desc_nulls_first(), "id")).alias("a"),
+        F.ntile(5).over(Window.orderBy(F.col("n").asc_nulls_last(), "id")).alias("b"),
+    )
+    counts = got.groupBy("by_days", "by_n").count().collect()
+    assert sorted(counts) == sorted(plain.groupBy("a", "b").count().collect())
+    assert inside[0] == [40_000, 40_000] and max(inside[1]) < 8000 and len(inside) <= 3
+
+
 def test_one_range(spark):
     df = customers(spark, 57, 7)
     got = with_tiles(df, ORDERS, "id", 5).select("id", *ORDERS)
@@ -55,7 +95,7 @@ def test_one_range(spark):
 
 @pytest.mark.parametrize("partitions", ["1", "4", "64"])
 def test_same_for_any_partitioning(spark, conf, monkeypatch, partitions):
-    monkeypatch.setattr(tiles, "ROWS_PER_RANGE", 50)
+    monkeypatch.setattr(tiles, "SAMPLE_ROWS", 50)
     conf("spark.sql.shuffle.partitions", partitions)
     df = customers(spark, 400, 3).repartition(int(partitions))
     got = with_tiles(df, ORDERS, "id", 5).select("id", *ORDERS)
