@@ -8,16 +8,25 @@ from tillroll.functions.dates import (
     whole_days,
 )
 from tillroll.functions.numbers import asc, cents_per, desc, mean, money, percent, ratio, written_ratio
-from tillroll.functions.text import digits_only, strip, title_case
+from tillroll.functions.text import (
+    before,
+    digits_only,
+    in_text_order,
+    strip,
+    text_keys,
+    title_case,
+)
 
 __all__ = [
     "as_of_date",
     "asc",
     "band",
+    "before",
     "cents_per",
     "day_of_week",
     "desc",
     "digits_only",
+    "in_text_order",
     "lookup",
     "mean",
     "money",
@@ -29,6 +38,7 @@ __all__ = [
     "ratio",
     "season",
     "strip",
+    "text_keys",
     "title_case",
     "whole_days",
     "written_ratio",

@@ -27,3 +27,23 @@ def strip(column):
 def digits_only(column):
     """Keep the digits; NULL when there are none."""
     return F.nullif(F.regexp_replace(column.cast("string"), r"\P{Nd}", ""), F.lit(""))
+
+
+def text_keys(column, collation=None):
+    """Columns that sort text by its bytes, or by a collation first."""
+    return [column] if collation is None else [F.collate(column, collation), column]
+
+
+def in_text_order(names, collation=None):
+    """An array of text, sorted; without NULL entries."""
+    if collation is None:
+        return F.array_sort(names)
+    keyed = F.transform(names, lambda n: F.struct(F.collate(n, collation).alias("key"), n.alias("name")))
+    return F.transform(F.array_sort(keyed), lambda k: k["name"])
+
+
+def before(a, b, collation=None):
+    """Whether text ``a`` comes before ``b``."""
+    if collation is None:
+        return a < b
+    return F.struct(*text_keys(a, collation)) < F.struct(*text_keys(b, collation))

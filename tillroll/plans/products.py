@@ -7,9 +7,20 @@
 from pyspark.sql import functions as F
 
 from tillroll import fixed_values as fixed
-from tillroll.functions import asc, cents_per, desc, mean, month_start, percent, ratio, season
+from tillroll.functions import (
+    asc,
+    before,
+    cents_per,
+    desc,
+    mean,
+    month_start,
+    percent,
+    ratio,
+    season,
+    text_keys,
+)
 from tillroll.operators.lines import sold_lines
-from tillroll.operators.pairs import PART_WIDTH, frequent_pairs
+from tillroll.operators.pairs import NARROW, PART_WIDTH, frequent_pairs
 from tillroll.sources.scratch import written
 
 
@@ -95,9 +106,14 @@ def market_basket(
     n=fixed.TOP_PAIRS,
     key="product_name",
     part_width=PART_WIDTH,
+    narrow=NARROW,
+    collation=None,
 ):
     """Products ordered together most often, with the confidence in both directions.
 
+    Of a pair, the product that comes first in text order is named first: by its
+    bytes, or by a ``collation`` and then by its bytes.
+
     Products count by name, where a name in several categories counts once per
     category and order. ``key="product_id"`` counts products instead; names are
     then added for display, of a product with several the first in text order.
@@ -118,7 +134,13 @@ def market_basket(
         .agg(F.count("*").alias("weight")),
         "baskets",
     )
-    pairs, items = frequent_pairs(baskets, min_pairs, n, part_width)
+    pairs, items = frequent_pairs(baskets, min_pairs, n, part_width, narrow)
+    if collation is not None and key == "product_name":
+        a, b = F.col("item_a"), F.col("item_b")
+        ordered = before(a, b, collation)
+        pairs = pairs.withColumns(
+            {"item_a": F.when(ordered, a).otherwise(b), "item_b": F.when(ordered, b).otherwise(a)}
+        )
 
     def side(letter):
         return items.withColumnsRenamed(
@@ -142,11 +164,12 @@ def market_basket(
             confidence("b").alias("confidence_b_to_a"),
         )
     )
+    if key == "product_id":
+        collation = None
     best_first = (
         desc("together_frequency"),
         desc("confidence_a_to_b"),
-        asc("product_a"),
-        asc("product_b"),
+        *[asc(k) for c in ("product_a", "product_b") for k in text_keys(F.col(c), collation)],
     )
     if n is None:
         ranked = ranked.orderBy(*best_first)

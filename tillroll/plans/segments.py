@@ -8,7 +8,17 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tillroll import fixed_values as fixed
-from tillroll.functions import asc, band, desc, lookup, mean, percent, ratio, whole_days
+from tillroll.functions import (
+    asc,
+    band,
+    desc,
+    in_text_order,
+    lookup,
+    mean,
+    percent,
+    ratio,
+    whole_days,
+)
 from tillroll.operators.lines import sold_lines
 from tillroll.plans.customers import orders_per_customer
 
@@ -75,8 +85,13 @@ def age_groups(orders, customers, exact_ratio=False):
     )
 
 
-def gender_patterns(orders, customers, order_items, products, revenue="order_total"):
-    """Sales by gender over order lines, with the categories bought."""
+def gender_patterns(
+    orders, customers, order_items, products, revenue="order_total", collation=None
+):
+    """Sales by gender over order lines, with the categories bought.
+
+    Category names go by their bytes, or by a ``collation`` and then by their bytes.
+    """
     reported = customers.select("customer_id", "customer_gender").filter(
         F.col("customer_gender").isin(*fixed.REPORTED_GENDERS)
     )
@@ -104,7 +119,7 @@ def gender_patterns(orders, customers, order_items, products, revenue="order_tot
         .agg(*[F.sum(c).alias(c) for c in figures])
     )
     per_customer, per_category = F.col("kind") == 0, F.col("kind") == 1
-    categories = F.array_sort(F.collect_list(F.when(per_category, F.col("name"))))
+    categories = in_text_order(F.collect_list(F.when(per_category, F.col("name"))), collation)
     amount, amounts = (F.sum(F.when(per_customer, F.col(c))) for c in ("amount", "amounts"))
     return (
         by_name.groupBy("customer_gender")
