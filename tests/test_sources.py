@@ -8,12 +8,19 @@ from pyspark.sql import functions as F
 
 from tillroll.fixed_values import NULL_TOKENS
 from tillroll.functions import written_ratio
-from tillroll.jobs import run_cleaning
 from tillroll.operators.cleaning import clean_orders
 from tillroll.operators.normalizing import normalize
 from tillroll.plans import category_performance, monthly_sales
 from tillroll.sources import scratch
-from tillroll.sources.delimited import SOURCE_ORDER, read_flat_csv, write_csv, write_parquet
+from tillroll.sources.delimited import (
+    SOURCE_ORDER,
+    inferred_types,
+    numbered,
+    read_flat_csv,
+    split_malformed,
+    write_csv,
+    write_parquet,
+)
 from tillroll.sources.star_schema import shop_from_star
 from tillroll.sources.tables import (
     TABLES,
@@ -124,10 +131,99 @@ def test_csv_keeps_text_and_times(spark, tmp_path):
     ]
 
 
-def test_line_ends_in_quoted_values(spark, tmp_path):
-    (tmp_path / "a.csv").write_text('order_id,note\nO1,"two\nlines"\n')
-    df = read_flat_csv(spark, str(tmp_path / "a.csv"), with_order=False, multiline=True)
-    assert [tuple(r) for r in df.collect()] == [("O1", "two\nlines")]
+@pytest.mark.parametrize("multiline", [None, True])
+def test_line_ends_in_quoted_values(spark, tmp_path, multiline):
+    (tmp_path / "a.csv").write_text('order_id,note\nO1,"two\nlines"\nO2,"a ""b"""\n')
+    df = read_flat_csv(spark, str(tmp_path / "a.csv"), with_order=False, multiline=multiline)
+    assert [tuple(r) for r in df.collect()] == [("O1", "two\nlines"), ("O2", 'a "b"')]
+
+
+def test_only_files_with_quoted_line_ends_are_read_whole(spark, tmp_path, conf):
+    conf("spark.sql.files.maxPartitionBytes", "200")
+    folder = tmp_path / "some files"
+    folder.mkdir()
+    (folder / "a plain.csv").write_text("order_id,note\n" + "".join(f"A{n:03d},x\n" for n in range(200)))
+    (folder / "b quoted.csv").write_text("order_id,note\n" + "".join(f'B{n:03d},"x\ny"\n' for n in range(200)))
+    df = read_flat_csv(spark, str(folder))
+    got = [(r.order_id, r.note) for r in df.orderBy(SOURCE_ORDER).collect()]
+    assert got == [(f"A{n:03d}", "x") for n in range(200)] + [(f"B{n:03d}", "x\ny") for n in range(200)]
+    blocks = df.select(f"{SOURCE_ORDER}.file", f"{SOURCE_ORDER}.block").distinct()
+    counts = {r["file"][-9:-4]: r["count"] for r in blocks.groupBy("file").count().collect()}
+    assert counts["uoted"] == 1 and counts["plain"] > 3
+    places = {r.order_id: r.place for r in numbered(df).collect()}
+    assert [places[o] for o, _ in got] == list(range(1, 401))
+
+
+def test_quote_that_never_closes_raises(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('order_id,note\nO1,"two\nO2,x\n')
+    with pytest.raises(ValueError, match="never closed in .*a.csv"):
+        read_flat_csv(spark, str(tmp_path / "a.csv"))
+
+
+def test_records_with_too_many_fields(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('order_id,note\nO1,"a, b"\nO2,x,y\nO3\nO4,"p,q","r\ns"\n')
+    df = read_flat_csv(spark, str(tmp_path / "a.csv"), malformed="column")
+    good, quarantine = split_malformed(df)
+    rows = good.drop(SOURCE_ORDER).collect()
+    assert sorted(map(tuple, rows)) == [("O1", "a, b"), ("O3", None)]
+    found = sorted(r.record for r in quarantine.collect())
+    assert found == ["O2,x,y", 'O4,"p,q","r\ns"'] and quarantine.columns == [SOURCE_ORDER, "record"]
+    raising = read_flat_csv(spark, str(tmp_path / "a.csv"))
+    for action in (raising.collect, raising.count, raising.select("note").collect):
+        with pytest.raises(Exception, match="more fields than the header has: O[24]"):
+            action()
+    with pytest.raises(ValueError, match="malformed"):
+        read_flat_csv(spark, str(tmp_path / "a.csv"), malformed="drop")
+
+
+@pytest.mark.parametrize(
+    "values, kind",
+    [
+        (["1", " -2 ", "+3"], "bigint"),
+        (["1", ""], "double"),
+        (["1", "2.5"], "double"),
+        (["1e3", "inf", ".5", "-3."], "double"),
+        (["", "NA"], "double"),
+        (["True", "false"], "boolean"),
+        (["True", ""], "string"),
+        (["True", "1"], "string"),
+        (["1", "x"], "string"),
+        (["9223372036854775807"], "bigint"),
+        (["9223372036854775808"], "string"),
+        (["1", "."], "string"),
+    ],
+)
+def test_types_of_unknown_columns(spark, tmp_path, values, kind):
+    (tmp_path / "a.csv").write_text("order_id,extra\n" + "".join(f"7,{v}\n" for v in values))
+    df = read_flat_csv(spark, str(tmp_path / "a.csv"), with_order=False, infer=True)
+    assert df.dtypes == [("order_id", "string"), ("extra", kind)]
+    got = [r.extra for r in df.collect()]
+    if kind == "bigint":
+        assert got == [int(v) for v in values]
+    if kind == "double":
+        assert got == [float(v) if v not in ("", "NA") else None for v in values]
+    plain = read_flat_csv(spark, str(tmp_path / "a.csv"), with_order=False)
+    assert dict(plain.dtypes)["extra"] == "string"
+
+
+def test_types_do_not_depend_on_the_order_of_rows(spark):
+    rows = [("1", "1", "True"), ("2.5", "2", None), (None, "3", "False")]
+    for order in ([0, 1, 2], [2, 1, 0], [1, 2, 0]):
+        df = spark.createDataFrame([rows[i] for i in order], "a string, b string, c string").repartition(3)
+        kinds = {c: t.simpleString() for c, t in inferred_types(df).items()}
+        assert kinds == {"a": "double", "b": "bigint", "c": "string"}
+    empty = spark.createDataFrame([], "a string")
+    assert inferred_types(empty)["a"].simpleString() == "string"
+
+
+def test_sinks_keep_an_order(spark, tmp_path):
+    df = spark.range(5000).select((4999 - F.col("id")).alias("n")).repartition(7)
+    write_csv(df, str(tmp_path / "csv"), order="n")
+    write_parquet(df, str(tmp_path / "parquet"), order="n")
+    back = read_flat_csv(spark, str(tmp_path / "csv"))
+    assert [r.n for r in back.orderBy(SOURCE_ORDER).collect()] == [str(n) for n in range(5000)]
+    parts = sorted((tmp_path / "parquet").glob("*.parquet"))
+    assert [r.n for p in parts for r in spark.read.parquet(str(p)).collect()] == list(range(5000))
 
 
 def test_parquet_sink(spark, tmp_path):
@@ -137,35 +233,6 @@ def test_parquet_sink(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
 
 
-@pytest.mark.parametrize("out_format", ["parquet", "csv"])
-def test_cleaning_job(spark, tmp_path, out_format):
-    path = write(
-        tmp_path / "raw.csv",
-        line("O1", age=""),
-        line("O1", total="99"),
-        line("O2", age="20", date="2024-02-01"),
-        line("O3", quantity="0"),
-        line("O4", date="soon"),
-    )
-    out = str(tmp_path / "clean")
-    result = run_cleaning(spark, path, out, out_format)
-    report = result["report"].first()
-    assert (report.original_rows, report.final_rows, report.duplicates_removed) == (5, 2, 1)
-    nulls = {r.column_name: r.null_count for r in result["nulls"].collect()}
-    assert nulls.pop("customer_age") == 1 and not any(nulls.values())
-    assert result["summary"].first().total_revenue == Decimal("20.00")
-    columns = {r.column_name for r in result["columns"].collect()}
-    assert {"order_id", "age_group", "revenue_per_item"} <= columns
-    assert SOURCE_ORDER not in columns
-    saved = spark.read.option("header", True).format(out_format).load(out)
-    assert sorted((r.order_id, float(r.customer_age)) for r in saved.collect()) == [
-        ("O1", 30.0),
-        ("O2", 20.0),
-    ]
-    with pytest.raises(ValueError):
-        run_cleaning(spark, path, out, "excel")
-
-
 def test_flat_file_to_reports(spark, tmp_path):
     path = write(
         tmp_path / "raw.csv",

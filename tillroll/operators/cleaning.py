@@ -5,6 +5,7 @@ without running a job.
 """
 
 import re
+from functools import reduce
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,23 +36,32 @@ DATE_FORMS = {
 }
 
 
-def date_formats_of(df, column, order):
-    """The form of the first date in file order, looked up in one row.
+def form_of(first, column):
+    """The form of a column whose first value in file order is ``first``.
 
-    Month/day/year is tried as day/month/year if the first value leaves no other
-    reading. A first value of no known form raises, as it would lose every row;
-    pass ``date_formats`` then. Without any value nothing needs a form.
+    Month/day/year is read as day/month/year if the value leaves no other reading.
+    A value of no known form raises, as it would lose every row; pass
+    ``date_formats`` then. Without any value nothing needs a form.
     """
-    if not isinstance(df.schema[column].dataType, T.StringType):
-        return ()
-    first = df.filter(F.col(column).isNotNull()).orderBy(*order).select(F.trim(column)).first()
     if first is None:
         return ("yyyy-M-d",)
     for form, pattern in DATE_FORMS.items():
-        if re.fullmatch(pattern, first[0]):
-            swapped = form.startswith("M/d") and int(first[0].split("/")[0]) > 12
+        if re.fullmatch(pattern, first):
+            swapped = form.startswith("M/d") and int(first.split("/")[0]) > 12
             return (form.replace("M/d", "d/M") if swapped else form,)
-    raise ValueError(f"{column} begins with {first[0]!r}; state its form in date_formats")
+    raise ValueError(f"{column} begins with {first!r}; state its form in date_formats")
+
+
+def first_value(column, order):
+    """Aggregate: the first value of a text column that is not missing, trimmed."""
+    return F.min_by(F.trim(column), F.when(column.isNotNull(), F.struct(*order)))
+
+
+def date_formats_of(df, column, order):
+    """The form of the first date in file order, looked up in one row."""
+    if not isinstance(df.schema[column].dataType, T.StringType):
+        return ()
+    return form_of(df.agg(first_value(F.col(column), order)).first()[0], column)
 
 
 def parse_dates(column, data_type, formats):
@@ -76,64 +86,91 @@ def order_columns(df, order_col=None):
     raise ValueError("rows have no order: name the column in order_col")
 
 
-def screen_orders(df, order_col=None, date_formats=None):
-    """Fill gaps, drop unusable rows and keep the first row of each order.
+def complete(columns):
+    """Whether a row has all critical columns."""
+    present = [F.col(c).isNotNull() for c in fixed.CRITICAL_COLUMNS if c in columns]
+    return reduce(lambda a, b: a & b, present, F.lit(True))
+
 
-    The order of the steps counts: a repeated order is dropped before dates are
-    checked, so a first copy with a bad date takes the whole order with it. Dates
-    have the form of the first one in file order, unless ``date_formats`` are given.
+def first_rows(df, order, date_formats, median_age=None):
+    """(rows, passes): the first complete row of each order with its gaps filled, and
+    whether a row is usable.
+
+    A repeated order is dropped before dates are checked, so a first copy with a bad
+    date takes the whole order with it.
     """
-    df = nan_as_null(df)
     columns = set(df.columns)
-    order = order_columns(df, order_col)
-    if date_formats is None and "order_date" in columns:
-        date_formats = date_formats_of(df, "order_date", order)
     if "customer_age" in columns:
         age = F.col("customer_age").cast("double")
-        known = df.select(age.alias("customer_age"))
-        df = df.withColumn("customer_age", F.coalesce(age, exact_median(known, "customer_age")))
+        if median_age is None:
+            known = df.select(age.alias("customer_age"))
+            median_age = exact_median(known, "customer_age")
+        df = df.withColumn("customer_age", F.coalesce(age, median_age))
     if "product_category" in columns:
         df = df.fillna(fixed.UNKNOWN, subset=["product_category"])
-    df = df.dropna(subset=[c for c in fixed.CRITICAL_COLUMNS if c in columns])
-
-    df = first_per_key(df, ["order_id"], order)
+    df = first_per_key(df.filter(complete(columns)), ["order_id"], order)
 
+    passes = []
     if "order_date" in columns:
         parsed = parse_dates(F.col("order_date"), df.schema["order_date"].dataType, date_formats)
-        df = df.withColumn("order_date", parsed).filter(F.col("order_date").isNotNull())
+        df = df.withColumn("order_date", parsed)
+        passes.append(F.col("order_date").isNotNull())
     if "customer_email" in columns:
         # (?d): only a line feed may follow the address, no other line end.
-        df = df.filter(F.col("customer_email").rlike("(?d)" + fixed.EMAIL_PATTERN))
+        passes.append(F.col("customer_email").rlike("(?d)" + fixed.EMAIL_PATTERN))
     if "customer_phone" in columns:
         df = df.withColumn("customer_phone", digits_only(F.col("customer_phone")))
-    for name in fixed.POSITIVE_COLUMNS:
-        if name in columns:
-            df = df.filter(F.col(name) > 0)
-    return df.drop(SOURCE_ORDER)
+    passes += [F.col(name) > 0 for name in fixed.POSITIVE_COLUMNS if name in columns]
+    return df, reduce(lambda a, b: a & b, passes, F.lit(True))
+
+
+def screen_orders(df, order_col=None, date_formats=None, keep_order=False):
+    """Fill gaps, drop unusable rows and keep the first row of each order.
+
+    Dates have the form of the first one in file order, unless ``date_formats`` are
+    given. ``keep_order`` leaves the position in the file in place, for sinks that
+    keep the order of the rows.
+    """
+    df = nan_as_null(df)
+    order = order_columns(df, order_col)
+    if date_formats is None and "order_date" in df.columns:
+        date_formats = date_formats_of(df, "order_date", order)
+    df, passes = first_rows(df, order, date_formats)
+    df = df.filter(passes)
+    return df if keep_order else df.drop(SOURCE_ORDER)
 
 
-def drop_outliers(df, column="total_amount", sigmas=fixed.OUTLIER_SIGMAS):
+def spread_of(value):
+    """Aggregate: mean and sample deviation."""
+    return F.struct(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
+
+
+def drop_outliers(df, column="total_amount", sigmas=fixed.OUTLIER_SIGMAS, spread=None):
     """Keep values within ``sigmas`` sample deviations of the mean.
 
     A single row has no deviation and is dropped. Equal values all stay, even if
-    their computed mean is a rounding error off.
+    their computed mean is a rounding error off. ``spread`` gives mean and
+    deviation where they are known already.
     """
     value = F.col(column).cast("double")
-    spread = df.agg(
-        F.struct(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
-    ).scalar()
-    near = F.abs(value - spread["mean"]) <= sigmas * spread["sd"]
-    return df.filter(near | (spread["sd"] == 0))
+    if spread is None:
+        spread = df.agg(spread_of(value)).scalar()
+        mean, sd = spread["mean"], spread["sd"]
+    else:
+        mean, sd = (F.lit(x).cast("double") for x in spread)
+    near = F.abs(value - mean) <= sigmas * sd
+    return df.filter(near | (sd == 0))
 
 
-def standardize_orders(df, gender_map=fixed.GENDER_MAP):
+def standardize_orders(df, gender_map=fixed.GENDER_MAP, spread=None):
     """Remove outliers, unify labels and add the derived columns to screened rows.
 
-    ``df`` is read twice, the first time for ``total_amount`` only.
+    Without ``spread`` (mean and deviation of the amounts) ``df`` is read twice, the
+    first time for ``total_amount`` only.
     """
     columns = set(df.columns)
     if "total_amount" in columns:
-        df = drop_outliers(df)
+        df = drop_outliers(df, spread=spread)
 
     added = {}
     for name in ("product_category", "payment_method"):
@@ -163,6 +200,7 @@ def clean_orders(
     date_formats=None,
     gender_map=fixed.GENDER_MAP,
     stored=True,
+    keep_order=False,
 ):
     """Screen and standardize.
 
@@ -170,7 +208,7 @@ def clean_orders(
     written to the scratch folder once. ``stored=False`` gives one lazy plan
     that screens twice instead.
     """
-    screened = screen_orders(df, order_col, date_formats)
+    screened = screen_orders(df, order_col, date_formats, keep_order)
     if stored:
         screened = written(screened, "screened")
     return standardize_orders(screened, gender_map)
@@ -188,13 +226,10 @@ def null_counts(df):
 def cleaning_report(raw, cleaned):
     """One row on a cleaning run: rows before and after, repeats, gaps, date range."""
     raw = nan_as_null(raw)
-    present = [c for c in fixed.CRITICAL_COLUMNS if c in raw.columns]
-    complete = F.lit(True)
-    for name in present:
-        complete = complete & F.col(name).isNotNull()
+    whole = complete(raw.columns)
     before = raw.agg(
         F.count("*").alias("original_rows"),
-        (F.count_if(complete) - F.count_distinct(F.when(complete, F.col("order_id")))).alias(
+        (F.count_if(whole) - F.count_distinct(F.when(whole, F.col("order_id")))).alias(
             "duplicates_removed"
         ),
     )

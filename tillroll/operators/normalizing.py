@@ -16,6 +16,13 @@ from tillroll.sources.tables import Shop
 
 
 def _dated(flat, date_formats):
+    """Rows with ``order_date`` as a timestamp; what does not have the form becomes NULL.
+
+    Text of a file has the form of its first date. Rows without a file order have no
+    first date, so every form that begins with the year is read; a file that mixes
+    such forms therefore keeps more dates here than by its order. State
+    ``date_formats`` to have the same forms either way.
+    """
     if date_formats is None:
         kind = flat.schema["order_date"].dataType
         if not isinstance(kind, T.StringType):

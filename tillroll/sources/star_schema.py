@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tillroll.functions import money
 from tillroll.sources.tables import Shop
 
-# State by nation key, gender by customer key modulo 3.
+# State by nation key, gender by cents of the balance modulo 3.
 STATES = (
     "CA", "OR", "WA", "TX", "AZ", "NM", "OK", "NY", "NJ", "CT", "MA", "PA", "FL",
     "GA", "SC", "NC", "VA", "IL", "CO", "NV", "TN", "MN", "MI", "MD", "OH",
@@ -81,13 +81,15 @@ def shop_from_star(spark, folder):
         F.col("p_type").alias("product_category"),
         money(F.col("p_retailprice")).alias("cost_price"),
     )
-    key = F.col("c_custkey")
+    # From the balance, not the key: what is derived from a join key can be filtered
+    # before the join, which no real attribute allows.
+    cents = F.round(F.abs("c_acctbal") * 100).cast("bigint")
     customers = table("customer").join(
         table("nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left"
     ).select(
-        key.alias("customer_id"),
-        F.when(key % 17 != 0, 18 + key % 60).cast("int").alias("customer_age"),
-        _pick(key % 3, GENDERS).alias("customer_gender"),
+        F.col("c_custkey").alias("customer_id"),
+        F.when(cents % 17 != 0, 18 + cents % 60).cast("int").alias("customer_age"),
+        _pick(cents % 3, GENDERS).alias("customer_gender"),
         F.col("n_name").alias("customer_city"),
         _pick(F.col("c_nationkey"), STATES).alias("customer_state"),
     )
