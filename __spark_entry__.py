@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 import oracle_sql as oracle
 from tillroll import fixed_values as fixed
-from tillroll import plans
+from tillroll import jobs, plans
 from tillroll.functions import (
     as_of_date,
     day_of_week,
@@ -23,15 +23,27 @@ from tillroll.functions import (
     whole_days,
 )
 from tillroll.operators import cleaning, normalizing, profiling
-from tillroll.sources.delimited import SOURCE_ORDER, read_flat_csv, write_csv
+from tillroll.sources.delimited import (
+    MALFORMED,
+    SOURCE_ORDER,
+    numbered,
+    read_flat_csv,
+    write_csv,
+)
 from tillroll.sources.scratch import scratch_path, written
 from tillroll.sources.star_schema import flat_from_star, shop_from_star
 
-try:  # the corpus operators are a part of their own, which may be absent
+# The corpus operators are a part of their own, which may be absent, as may the
+# packages only they need (see the optional dependencies in pyproject.toml).
+OPTIONAL = (
+    "corpus_pipeline", "tillroll.llm", "numpy", "pandas", "pyarrow", "public_tokenizers",
+    "sentencepiece", "tokenizers", "xxhash",
+)
+try:
     import corpus_pipeline  # noqa: F401
     from tillroll.llm import queries as corpus
 except ModuleNotFoundError as missing:
-    if missing.name not in ("corpus_pipeline", "tillroll.llm"):
+    if missing.name not in OPTIONAL:
         raise
     corpus = None
 
@@ -154,6 +166,83 @@ def _reread_monthly(spark, flat, sf_dir):
     return plans.monthly_sales(normalizing.orders_from_flat(again))
 
 
+def _raw_file(spark, flat):
+    """The flat rows as a file in the order of their rows."""
+    path = scratch_path(spark, "raw-csv")
+    write_csv(flat, path, order="source_row")
+    return path
+
+
+def _cleaning_job(spark, flat, sf_dir):
+    out = scratch_path(spark, "cleaned")
+    jobs.run_cleaning(spark, _raw_file(spark, flat), out)
+    return spark.read.parquet(out).withColumn("revenue_per_item", F.round("revenue_per_item", 8))
+
+
+def _cleaning_job_report(spark, flat, sf_dir):
+    return jobs.run_cleaning(spark, _raw_file(spark, flat), scratch_path(spark, "cleaned"))["report"]
+
+
+def _cleaned_twice(spark, flat, sf_dir):
+    """What a second run makes of the file a first one saved, numbered in file order."""
+    once, twice = scratch_path(spark, "once"), scratch_path(spark, "twice")
+    jobs.run_cleaning(spark, _raw_file(spark, flat), once, "csv")
+    jobs.run_cleaning(spark, once, twice, "csv")
+    placed = numbered(read_flat_csv(spark, twice, multiline=False))
+    return placed.select(
+        "place",
+        "source_row",
+        "order_id",
+        F.col("order_date").cast("timestamp_ntz").alias("order_date"),
+        "product_category",
+        "age_group",
+        "total_amount",
+    )
+
+
+def _inferred_types(spark, flat, sf_dir):
+    """The type of every column by its text in a file, beside the declared one."""
+    path = _raw_file(spark, flat)
+    found = dict(read_flat_csv(spark, path, T.StructType(), False, infer=True).dtypes)
+    declared = {f.name: f.dataType.simpleString() for f in jobs.KNOWN}
+    rows = [(c, declared.get(c, "string"), kind) for c, kind in found.items()]
+    return spark.createDataFrame(rows, "column_name string, declared string, inferred string")
+
+
+def _malformed_csv(spark, sf_dir):
+    """A file with line ends in quotes, records that are too long and some too short."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    start = F.concat(F.lit("ORD"), "l_orderkey", F.lit(","), "l_linenumber")
+    ends = ((",plain",), (',"two', 'lines"'), (",long,extra",), ("",), (',"a, ""b"""',))
+    texts = [F.array(F.concat(start, F.lit(e[0])), *map(F.lit, e[1:])) for e in ends]
+    kind = F.col("l_orderkey") % len(ends)
+    rows = lines.select(F.explode(F.get(F.array(*texts), kind.cast("int"))).alias("order_id,line,note"))
+    path = scratch_path(spark, "malformed-csv")
+    rows.write.option("header", True).option("sep", "\x01").option("quote", "\x02").csv(path)
+    found = read_flat_csv(spark, path, malformed="column")
+    return (
+        found.groupBy("order_id", "note", F.col(MALFORMED).alias("record"))
+        .agg(F.count("*").alias("lines"))
+        .withColumn("note", F.when(F.col("record").isNull(), F.col("note")).otherwise(F.lit("long")))
+    )
+
+
+def _recased(report, column, *tables, **options):
+    """A report with names in title case for products of even number."""
+
+    def run(spark, sf_dir):
+        shop = shop_from_star(spark, sf_dir)
+        name = F.when(
+            F.col("product_id") % 2 == 0,
+            F.concat(F.upper(F.substring(column, 1, 1)), F.lower(F.substring(column, 2, 1000))),
+        ).otherwise(F.col(column))
+        products = shop.products.withColumn(column, name)
+        given = [products if t == "products" else getattr(shop, t) for t in tables]
+        return comparable(report(*given, **options))
+
+    return run
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship query: category performance over orders, lines and products."""
     return queries()["category_performance"](spark, "/root/testdata/sf0.001")
@@ -178,9 +267,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "revenue_moving_avg_filled": _on_shop(plans.revenue_moving_avg, o, fill_gaps=True),
         "top_customers": _on_shop(plans.top_customers, o),
         "rfm_segments": _on_shop(plans.rfm_segments, o, as_of=AS_OF),
-        "rfm_segments_ranged": _on_shop(plans.rfm_segments, o, as_of=AS_OF),
         "rfm_scores": _on_shop(plans.rfm_scores, o, as_of=AS_OF),
-        "rfm_scores_ranged": _on_shop(plans.rfm_scores, o, as_of=AS_OF),
         "customer_clv": _on_shop(_clv, o),
         "customer_clv_all": _on_shop(_clv, o, n=None),
         "churn_risk": _on_shop(plans.churn_risk, o, as_of=AS_OF),
@@ -199,11 +286,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "gender_patterns": _on_shop(plans.gender_patterns, o, c, i, p),
         "gender_patterns_by_line": _on_shop(plans.gender_patterns, o, c, i, p, **by_line),
         "market_basket": _on_shop(plans.market_basket, o, i, p),
-        "market_basket_in_parts": _on_shop(plans.market_basket, o, i, p, part_width=3),
+        "market_basket_in_parts": _on_shop(plans.market_basket, o, i, p, part_width=3, narrow=3),
         "market_basket_all_pairs": _on_shop(plans.market_basket, o, i, p, n=None),
         "market_basket_by_product": _on_shop(
             plans.market_basket, o, i, p, min_pairs=2, key="product_id"
         ),
+        "market_basket_collated": _recased(
+            plans.market_basket, "product_name", o, i, p, n=500, collation="UNICODE"
+        ),
+        "gender_patterns_collated": _recased(
+            plans.gender_patterns, "product_category", o, c, i, p, collation="UNICODE"
+        ),
         "sales_by_city": _on_shop(plans.sales_by_city, o, c),
         "regional_performance": _on_shop(plans.regional_performance, o, c),
         "payment_methods": _on_shop(plans.payment_methods, o),
@@ -224,15 +317,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "cleaning_report": _on_flat(
             lambda spark, flat, sf_dir: cleaning.cleaning_report(flat, _clean(flat))
         ),
+        "cleaning_job": _on_flat(_cleaning_job),
+        "cleaning_job_report": _on_flat(_cleaning_job_report),
+        "cleaned_twice": _on_flat(_cleaned_twice),
+        "csv_inferred_types": _on_flat(_inferred_types),
+        "csv_malformed": _malformed_csv,
         "null_counts": _on_flat(
             lambda spark, flat, sf_dir: cleaning.null_counts(flat), stored=False
         ),
         "profile_columns": _on_flat(
-            lambda spark, flat, sf_dir: profiling.profile_columns(flat), stored=False
+            lambda spark, flat, sf_dir: profiling.profile_columns(flat)
         ),
         "profile_columns_estimated": _on_flat(
             _estimated_profile,
-            stored=False,
         ),
         "profile_summary": _on_flat(
             lambda spark, flat, sf_dir: profiling.profile_summary(flat)
@@ -271,6 +368,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL by query name; estimated figures have none."""
     texts = oracle.oracle_sql()
-    texts["rfm_segments_ranged"] = texts["rfm_segments"]
-    texts["rfm_scores_ranged"] = texts["rfm_scores"]
     return texts | (corpus.oracle_sql() if corpus else {})

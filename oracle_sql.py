@@ -6,6 +6,7 @@ shape the Spark plans take.
 """
 
 from tillroll import fixed_values as fixed
+from tillroll.schema import FLAT_SCHEMA
 from tillroll.sources.star_schema import GENDERS, STATES, TYPED_GENDERS, TYPED_PAYMENTS
 
 AS_OF = "2001-08-15"
@@ -83,10 +84,11 @@ S_PRODUCTS = f"""s_products AS (
          {dec("p_retailprice")} AS cost_price FROM part)"""
 S_CUSTOMERS = f"""s_customers AS (
   SELECT c_custkey AS customer_id,
-         CASE WHEN c_custkey % 17 <> 0 THEN 18 + c_custkey % 60 END AS customer_age,
-         ({listed(GENDERS)})[c_custkey % 3 + 1] AS customer_gender,
+         CASE WHEN cents % 17 <> 0 THEN 18 + cents % 60 END AS customer_age,
+         ({listed(GENDERS)})[cents % 3 + 1] AS customer_gender,
          n_name AS customer_city, ({listed(STATES)})[c_nationkey + 1] AS customer_state
-  FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey)"""
+  FROM (SELECT *, {big("ROUND(ABS(c_acctbal) * 100)")} AS cents FROM customer)
+  LEFT JOIN nation ON c_nationkey = n_nationkey)"""
 S_LINES = """s_lines AS (
   SELECT i.order_id, i.product_id, i.quantity, i.unit_price, i.quantity * i.unit_price AS line_total,
          o.customer_id, o.order_date, o.total_amount,
@@ -163,9 +165,20 @@ def cohorts(month_number):
     )
 
 
-def baskets(item, minimum, limit):
-    """Pairs of one item column; rows of a basket are its distinct described items."""
-    described = "product_name, product_category" if item == "product_name" else "product_id"
+def recased(body, column):
+    """The query with the column in title case for products of even number."""
+    return body.replace(
+        f"AS {column}",
+        f"AS plain_{column}, CASE WHEN p_partkey % 2 = 0 THEN upper(plain_{column}[1]) "
+        f"|| lower(plain_{column}[2:]) ELSE plain_{column} END AS {column}",
+        1,
+    )
+
+
+def baskets(item, minimum, limit, collation=None):
+    """Pairs of one item column, from the list of items and their times in each order."""
+    times = "COUNT(DISTINCT product_category)" if item == "product_name" else "1"
+    place = f"item COLLATE {collation}, item" if collation else "item"
     named = (
         "best"
         if item == "product_name"
@@ -178,21 +191,29 @@ def baskets(item, minimum, limit):
     )
     return on(
         "oip",
-        f"""WITH content AS (SELECT DISTINCT order_id, {described} FROM s_lines),
-        popularity AS (
-          SELECT {item} AS item, COUNT(DISTINCT order_id) AS orders FROM content GROUP BY 1),
-        together AS (
-          SELECT x.{item} AS product_a, y.{item} AS product_b, COUNT(*) AS shared
-          FROM content x JOIN content y ON x.order_id = y.order_id AND x.{item} < y.{item}
-          GROUP BY 1, 2 HAVING COUNT(*) >= {minimum}),
+        f"""WITH bought AS (
+          SELECT order_id, {item} AS item, {times} AS times FROM s_lines GROUP BY order_id, item),
+        known AS (
+          SELECT item, COUNT(*) AS orders, ROW_NUMBER() OVER (ORDER BY {place}) AS place
+          FROM bought GROUP BY item),
+        lists AS (
+          SELECT list({{'place': place, 'times': times}}) AS content
+          FROM bought JOIN known USING (item) GROUP BY order_id),
+        couples AS (
+          SELECT unnest(flatten([
+            [{{'a': x.place, 'b': y.place, 'n': x.times * y.times}}
+             for y in content if x.place < y.place] for x in content])) AS c
+          FROM lists),
         best AS (
-          SELECT product_a, product_b, shared AS together_frequency,
-                 pa.orders AS product_a_frequency, pb.orders AS product_b_frequency,
-                 {rounded("shared * 100.0 / pa.orders")} AS confidence_a_to_b,
-                 {rounded("shared * 100.0 / pb.orders")} AS confidence_b_to_a
-          FROM together JOIN popularity pa ON pa.item = product_a
-          JOIN popularity pb ON pb.item = product_b
-          ORDER BY together_frequency DESC, confidence_a_to_b DESC, product_a, product_b
+          SELECT a.item AS product_a, b.item AS product_b,
+                 {big("SUM(c.n)")} AS together_frequency,
+                 a.orders AS product_a_frequency, b.orders AS product_b_frequency,
+                 {rounded("SUM(c.n) * 100.0 / a.orders")} AS confidence_a_to_b,
+                 {rounded("SUM(c.n) * 100.0 / b.orders")} AS confidence_b_to_a
+          FROM couples JOIN known a ON a.place = c.a JOIN known b ON b.place = c.b
+          GROUP BY a.place, b.place, product_a, product_b, a.orders, b.orders
+          HAVING SUM(c.n) >= {minimum}
+          ORDER BY together_frequency DESC, confidence_a_to_b DESC, a.place, b.place
           {f"LIMIT {limit}" if limit else ""})
         SELECT * FROM {named}""",
     )
@@ -286,15 +307,16 @@ def seasons(amount):
     )
 
 
-def genders(amount):
+def genders(amount, collation=None):
+    place = f"product_category COLLATE {collation}" if collation else "product_category"
     wanted = ", ".join(text(g) for g in fixed.REPORTED_GENDERS)
     return on(
         "oipc",
         f"""SELECT customer_gender, COUNT(DISTINCT customer_id) AS unique_customers,
           COUNT(*) AS total_orders, {dbl(f"SUM({amount})")} AS total_revenue,
           {rounded(f"AVG({amount})")} AS avg_order_value,
-          STRING_AGG(DISTINCT product_category, ', ' ORDER BY product_category)
-            AS popular_categories
+          (SELECT STRING_AGG(c, ', ' ORDER BY {place.replace("product_category", "c")}, c)
+           FROM (SELECT unnest(list_distinct(LIST(product_category))) AS c)) AS popular_categories
         FROM s_lines JOIN s_customers USING (customer_id)
         WHERE customer_gender IN ({wanted}) GROUP BY customer_gender""",
     )
@@ -475,6 +497,38 @@ def flat_profile():
     return f"WITH {FLAT}\n" + "\nUNION ALL ".join(rows)
 
 
+def flat_kinds():
+    """The type each column of the flat file has by its text: kinds of values as bits."""
+    rows = []
+    for name, kind in FLAT_TYPES:
+        shown = f"CAST({name} AS VARCHAR)"
+        declared = {"source_row": "string", "customer_phone": "string"}.get(name, "")
+        if not declared:
+            declared = FLAT_SCHEMA[name].dataType.simpleString()
+        rows.append(
+            f"""SELECT '{name}' AS column_name, '{declared}' AS declared, bit_or(CASE
+            WHEN {shown} IS NULL THEN 1 WHEN {shown} IN ('True', 'False') THEN 2
+            WHEN regexp_matches({shown}, '^[+-]?[0-9]+$') THEN 4
+            WHEN regexp_matches({shown}, '^[+-]?[0-9]+[.][0-9]*$') THEN 8 ELSE 16 END) AS kinds
+            FROM flat"""
+        )
+    return f"""WITH {FLAT}
+    SELECT column_name, declared, CASE WHEN kinds = 4 THEN 'bigint' WHEN kinds = 2 THEN 'boolean'
+      WHEN kinds & 18 = 0 THEN 'double' ELSE 'string' END AS inferred
+    FROM ({" UNION ALL ".join(rows)})"""
+
+
+MALFORMED = """
+SELECT 'ORD' || l_orderkey AS order_id, CASE l_orderkey % 5
+    WHEN 0 THEN 'plain' WHEN 1 THEN 'two' || chr(10) || 'lines' WHEN 2 THEN 'long'
+    WHEN 4 THEN 'a, "b"' END AS note,
+  CASE WHEN l_orderkey % 5 = 2 THEN
+    'ORD' || l_orderkey || ',' || l_linenumber || ',long,extra' END AS record,
+  COUNT(*) AS lines
+FROM lineitem GROUP BY ALL
+"""
+
+
 def flat_nulls():
     rows = [
         f"SELECT '{name}' AS column_name, COUNT(*) - COUNT({name}) AS null_count FROM flat"
@@ -503,7 +557,7 @@ def oracle_sql():
     risk = f"CASE {risk} ELSE {text(fixed.CHURN_ACTIVE)} END"
     kind = " ".join(f"WHEN n <= {n} THEN {text(label)}" for label, n in fixed.CUSTOMER_TYPES)
     kind = f"CASE {kind} ELSE {text(fixed.CUSTOMER_FREQUENT)} END"
-    return {
+    texts = {
         "dataset_overview": on(
             "o",
             f"""SELECT COUNT(*) AS total_records, COUNT(DISTINCT customer_id) AS unique_customers,
@@ -582,6 +636,8 @@ def oracle_sql():
         "market_basket_in_parts": baskets("product_name", 5, 20),
         "market_basket_all_pairs": baskets("product_name", 5, None),
         "market_basket_by_product": baskets("product_id", 2, 20),
+        "market_basket_collated": recased(baskets("product_name", 5, 500, "en"), "product_name"),
+        "gender_patterns_collated": recased(genders(total, "en"), "product_category"),
         "sales_by_city": on(
             "oc",
             f"""SELECT customer_city, customer_state,
@@ -645,6 +701,15 @@ def oracle_sql():
             f"WITH {FLAT}, {SCREENED}, {cleaned(fixed.GENDER_MAP_WITH_IDENTITY)}\n"
             "SELECT customer_gender, COUNT(*) AS orders FROM cleaned GROUP BY customer_gender"
         ),
+        "cleaning_job": f"{CLEAN}SELECT * {AS_DOUBLES[:-1]}, {dbl('quantity')} AS quantity) FROM cleaned",
+        "csv_inferred_types": flat_kinds(),
+        "csv_malformed": MALFORMED,
+        "cleaned_twice": f"""{CLEAN}, again AS (
+              SELECT AVG(CAST(total_amount AS DOUBLE)) AS mid,
+                STDDEV_SAMP(CAST(total_amount AS DOUBLE)) AS sd FROM cleaned)
+            SELECT ROW_NUMBER() OVER (ORDER BY source_row) AS place, source_row, order_id,
+              order_date, product_category, age_group, {dbl("total_amount")} AS total_amount
+            FROM cleaned, again WHERE abs(CAST(total_amount AS DOUBLE) - mid) <= 3 * sd""",
         "cleaning_report": f"""{CLEAN}SELECT
             (SELECT COUNT(*) FROM flat) AS original_rows, COUNT(*) AS final_rows,
             (SELECT COUNT(*) FROM flat) - COUNT(*) AS rows_removed,
@@ -711,3 +776,4 @@ def oracle_sql():
             {AMOUNT_SUM} AS monthly_revenue, {AMOUNT_AVG} AS avg_order_value,
             COUNT(DISTINCT customer_id) AS unique_customers FROM cleaned GROUP BY 1, 2""",
     }
+    return texts | {"cleaning_job_report": texts["cleaning_report"]}

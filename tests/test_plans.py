@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 from tillroll import plans
-from tillroll.operators import tiles
 from tillroll.sources.star_schema import shop_from_star
 
 LIMITED = (
@@ -35,7 +34,7 @@ def written_plans(monkeypatch):
         collected.append(plan_of(df))
         return scratch.written(df, name)
 
-    for module in (cleaning, customers, pairs, products, tiles):
+    for module in (cleaning, customers, pairs, products):
         monkeypatch.setattr(module, "written", watch)
     return collected
 
@@ -95,18 +94,6 @@ def test_orders_are_read_once(spark, large_data_plans, name, scans):
     assert plan_of(queries()[name](spark, SAMPLE)).count("FileScan") == scans
 
 
-def test_median_sorts_no_more_than_a_range(spark):
-    from tillroll.operators.median import median_row
-
-    values = spark.range(400_000).select((F.col("id") * 0.00025).alias("v"))  # all below 100
-    result = median_row(values, "v", values_per_range=20_000)
-    result.collect()
-    table = spark.read.parquet(result.inputFiles()[0].rsplit("/", 1)[0])
-    sizes = [r["count"] for r in table.groupBy("slice").count().collect()]
-    assert len(sizes) > 10 and max(sizes) < 60_000
-    assert result.first()[0] == 399_999 * 0.00025 / 2
-
-
 def test_gender_report_filters_customers_before_lines(spark, tmp_path, large_data_plans):
     shop = shop_from_star(spark, SAMPLE)
     shop.customers.write.parquet(f"{tmp_path}/customers")

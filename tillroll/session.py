@@ -17,6 +17,10 @@ SETTINGS = {
 }
 
 
+#: Reduce tasks a core gets before AQE joins small ones.
+TASKS_PER_CORE = 4
+
+
 def build_session(app_name="tillroll", master=None, **settings):
     """Start (or get) a session; keyword names use ``__`` for the dots."""
     builder = SparkSession.builder.appName(app_name)
@@ -26,4 +30,9 @@ def build_session(app_name="tillroll", master=None, **settings):
         builder = builder.config(key, value)
     for key, value in settings.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    first = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    if spark.conf.get(first, None) is None and spark.conf.get("spark.sql.shuffle.partitions") == "200":
+        # As many reduce tasks as the cluster can use; AQE joins those that stay small.
+        spark.conf.set(first, max(200, TASKS_PER_CORE * spark.sparkContext.defaultParallelism))
+    return spark
