@@ -34,8 +34,13 @@ def written_plans(monkeypatch):
         collected.append(plan_of(df))
         return scratch.written(df, name)
 
-    for module in (cleaning, customers, pairs, products):
+    def watch_observed(df, path, figures):
+        collected.append(plan_of(df))
+        return scratch.written_and_observed(df, path, figures)
+
+    for module in (cleaning, pairs, products):
         monkeypatch.setattr(module, "written", watch)
+    monkeypatch.setattr(customers, "written_and_observed", watch_observed)
     return collected
 
 

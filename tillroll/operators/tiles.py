@@ -69,9 +69,8 @@ class _Orders:
     def __init__(self, df, orders, key):
         self.df, self.key = df, key
         self.structs = {name: _as_struct(_sort_keys(o, key)) for name, o in orders.items()}
-        self.types = {
-            name: df.select(s.alias("s")).schema["s"].dataType for name, s in self.structs.items()
-        }
+        schema = df.select(*[s.alias(name) for name, s in self.structs.items()]).schema
+        self.types = {field.name: field.dataType for field in schema}
 
     def beyond(self, name, keys):
         """Whether a row comes after ``keys``."""
@@ -143,13 +142,13 @@ def _around(bracket, rank, sample_rows):
     return math.floor(expected - spread), math.ceil(expected + spread)
 
 
-def keys_at_ranks(df, orders, key, ranks, total):
+def keys_at_ranks(table, ranks, total):
     """name of an order → its sort keys at the given 1-based ranks, in rank order.
 
     The driver holds two keys per bracket at a time.
     """
-    table, sample_rows, found = _Orders(df, orders, key), SAMPLE_ROWS, {}
-    brackets = [Bracket(name, tuple(ranks), 0, total) for name in orders] if ranks else []
+    sample_rows, found = SAMPLE_ROWS, {}
+    brackets = [Bracket(name, tuple(ranks), 0, total) for name in table.structs] if ranks else []
     while brackets:
         around = [{r: _around(b, r, sample_rows) for r in b.ranks} for b in brackets]
         positions = [{p for pair in at.values() for p in pair} for at in around]
@@ -169,19 +168,20 @@ def keys_at_ranks(df, orders, key, ranks, total):
             if not holds or 2 * bracket.inside > parent.inside:
                 sample_rows *= 2
             brackets.append(bracket if holds else parent)
-    return {name: [found[name, r] for r in ranks] for name in orders}
+    return {name: [found[name, r] for r in ranks] for name in table.structs}
 
 
-def with_tiles(df, orders, key, tiles):
+def with_tiles(df, orders, key, tiles, total=None):
     """Add a 1..tiles column per entry of ``orders`` (name → TileOrder).
 
-    ``key`` must be unique. ``df`` is read several times: pass a stored table.
+    ``key`` must be unique. ``df`` is read several times: pass a stored table, and
+    its number of rows as ``total`` if that is known.
     """
-    total = df.count()
+    total = df.count() if total is None else total
     size, larger = divmod(total, tiles)
     last_ranks = [t * size + min(t, larger) for t in range(1, tiles)]
-    bounds = keys_at_ranks(df, orders, key, [r for r in last_ranks if r], total)
     table = _Orders(df, orders, key)
+    bounds = keys_at_ranks(table, [r for r in last_ranks if r], total)
     added = {}
     for name in orders:
         # A tile that ends at rank 0 is empty: every row lies beyond it.

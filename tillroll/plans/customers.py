@@ -17,7 +17,7 @@ from tillroll.functions import (
     whole_days,
 )
 from tillroll.operators.tiles import TileOrder, with_tiles
-from tillroll.sources.scratch import written
+from tillroll.sources.scratch import scratch_path, written_and_observed
 
 
 def _per_customer(orders):
@@ -52,16 +52,18 @@ def top_customers(orders, n=fixed.TOP_CUSTOMERS):
 def rfm_scores(orders, as_of=None):
     """Recency, frequency and monetary value per customer, each scored 1 to 5.
 
-    The customer totals are stored once: the scoring reads them several times.
+    The customer totals are stored once, and counted while they are: the scoring
+    reads them several times.
     """
-    customers = written(
+    customers, counted = written_and_observed(
         _per_customer(orders).select(
             "customer_id",
             whole_days(as_of_date(as_of), F.col("last_order_date")).alias("recency_days"),
             F.col("total_orders").alias("frequency"),
             F.col("total_spent").alias("monetary_value"),
         ),
-        "rfm",
+        scratch_path(orders.sparkSession, "rfm"),
+        {"rows": F.count("*")},
     )
     return with_tiles(
         customers,
@@ -72,6 +74,7 @@ def rfm_scores(orders, as_of=None):
         },
         "customer_id",
         fixed.RFM_TILES,
+        counted["rows"],
     )
 
 

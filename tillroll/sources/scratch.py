@@ -8,6 +8,8 @@ import re
 import tempfile
 import uuid
 
+from pyspark.sql import Observation
+
 
 def scratch_folder(spark):
     """Folder named by ``spark.checkpoint.dir``; only one-process sessions may go without it."""
@@ -33,6 +35,18 @@ def written(df, name, **options):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def written_and_observed(df, path, figures):
+    """(table stored at ``path``, figures): aggregates gathered by the tasks that write.
+
+    These are the last tasks of the job, whose figures Spark counts once each, also
+    if an executor is lost.
+    """
+    observation = Observation()
+    observed = df.observe(observation, *[f.alias(n) for n, f in figures.items()])
+    observed.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), observation.get
+
+
 def folder_of(spark, path):
     """(file system, path) of a folder, wherever it is stored."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
