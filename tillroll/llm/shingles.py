@@ -3,33 +3,22 @@
 import numpy as np
 import xxhash
 
-#: Words whose hash is kept; hashing one again costs little.
-CACHE_ENTRIES = 50_000
-
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
-class _Hashes(dict):
-    def __missing__(self, word):
-        if len(self) > CACHE_ENTRIES:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-
 class Shingler:
-    """Words hashed once; shingles as 62-bit hashes of ``k`` of them."""
+    """Words as 64-bit hashes, shingles as 62-bit hashes of ``k`` of them."""
 
     def __init__(self, k):
-        self.k, self.hashes = k, _Hashes()
+        self.k = k
 
     def words(self, text):
         """64-bit hashes of the words: runs of non-space, ASCII in lower case."""
         words = (text or "").encode().translate(LOWER).split()
-        return np.fromiter(map(self.hashes.__getitem__, words), np.uint64, len(words))
+        return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
     def runs(self, words, k):
         """62-bit hashes of all runs of ``k`` words."""
