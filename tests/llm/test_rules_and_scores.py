@@ -8,7 +8,7 @@ from tillroll.llm import additive_model, ordinal_toxicity, queries, rule_ledger
 from tillroll.llm.measures import MEASURES, measure
 
 SF = "/root/testdata/sf0.1"
-TEXTS = [None, "", " \n", "a b c a b c", "x\ny\nx\n\n\nx", "### a|b <c>", "é É ß", "a" * 50_000]
+TEXTS = [None, "", " \n", "— 🙂 日本 ª Ⅷ “ß”", "a b c a b c", "x\ny\nx\n\n\nx", "### a|b <c>", "é É ß", "a" * 50_000]
 
 
 def brute_repeats(words):
@@ -36,6 +36,7 @@ def test_measures(text):
         repeated += any(c not in spaces for c in line) and line in lines[:i]
     assert found["n_dup_lines"] == repeated
     assert found["n_upper"] == sum(map(str.isupper, text))
+    assert found["n_letters"] == sum(map(str.isalpha, text))
 
 
 def test_ledger_and_ablation(spark):
@@ -57,6 +58,14 @@ def test_ledger_and_ablation(spark):
     assert rule_ledger.ablation(ledger.limit(0), "v1").count() == 0
 
 
+def test_few_distinct_words_at_any_length(spark):
+    many = " ".join(f"w{i}" for i in range(1000))
+    rows = [(0, many), (1, " ".join([many] * 200)), (2, " ".join([many] * 300)), (3, "a b c d e f g " * 8)]
+    ledger = rule_ledger.with_ledger(spark.createDataFrame(rows, "doc_id long, text string"))
+    failing = ledger.filter(F.col("failed").bitwiseAND(rule_ledger.bit("few_distinct_words")) != 0)
+    assert sorted(r["doc_id"] for r in failing.collect()) == [2, 3]
+
+
 def test_rules_keep_the_good_and_drop_the_bad(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     rows = queries.op4_quality_rules(spark, SF).join(labels, "doc_id").filter("NOT base_failed")

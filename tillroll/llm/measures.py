@@ -4,6 +4,9 @@ Words are runs of anything but space, tab, line feed, vertical tab, form feed
 and carriage return. A null text measures like an empty one.
 """
 
+import re
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -11,6 +14,7 @@ from pyspark.sql import types as T
 
 _SPACES = " \t\n\v\f\r"
 _SYMBOLS = "#*$%&|<>"
+_BEYOND = re.compile("[\x00-\x7f]+")
 
 MEASURES = (
     "n_words",
@@ -65,10 +69,11 @@ def measure(text):
     codes = np.frombuffer(raw, np.uint8)
     kinds = np.bincount(codes, minlength=256)
     upper = int(kinds[65:91].sum())
-    if len(raw) != len(text):  # letters beyond ASCII: as many as change in lower case
-        upper += sum(map(str.isupper, text)) - upper
-    # of UTF-8, the first byte of a character beyond ASCII counts as a letter
-    letters = int(kinds[65:91].sum() + kinds[97:123].sum() + kinds[0xC2:].sum())
+    letters = upper + int(kinds[97:123].sum())
+    if len(raw) != len(text):  # each character beyond ASCII is looked at once
+        for char, times in Counter(_BEYOND.sub("", text)).items():
+            letters += times * char.isalpha()
+            upper += times * char.isupper()
     return (
         len(words),
         len(text) - sum(map(text.count, _SPACES)),

@@ -30,7 +30,7 @@ WITH d AS (
          coalesce(n_repeat_words, 0) AS n_repeat_words,
          len(lines) AS n_lines,
          len(list_distinct(ws)) AS n_distinct_words,
-         length(regexp_replace(t, '[^A-Za-z\x{{80}}-\x{{10FFFF}}]', '', 'g')) AS n_letters,
+         length(regexp_replace(t, '\P{{L}}', '', 'g')) AS n_letters,
          length(regexp_replace(t, '\P{{Lu}}', '', 'g')) AS n_upper,
          length(t) - length(replace(t, '!', '')) AS n_loud
   FROM d LEFT JOIN repeats USING (k)
@@ -45,7 +45,7 @@ WITH d AS (
     + 64 * (100 * n_upper > 40 * n_letters)::INT
     + 128 * (100 * n_loud > 20 * n_words)::INT
     + 256 * (2 * n_letters < word_chars)::INT
-    + 512 * (n_words < 2000 AND 100 * n_distinct_words < 10 * n_words)::INT AS failed_rules
+    + 512 * (n_distinct_words * n_distinct_words < 4 * n_words)::INT AS failed_rules
   FROM m
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,

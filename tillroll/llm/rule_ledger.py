@@ -29,8 +29,10 @@ RULES = {
     "shouting": lambda: share("n_upper", "n_letters", 40),
     "loud": lambda: share("n_loud", "n_words", 20),
     "few_letters": lambda: F.lit(2) * F.col("measures.n_letters") < F.col("measures.word_chars"),
-    "few_distinct_words": lambda: (F.col("measures.n_words") < 2000)
-    & (F.lit(100) * F.col("measures.n_distinct_words") < 10 * F.col("measures.n_words")),
+    # distinct words grow about with the square root of a text's length
+    "few_distinct_words": lambda: F.col("measures.n_distinct_words")
+    * F.col("measures.n_distinct_words")
+    < 4 * F.col("measures.n_words"),
 }
 
 #: Policies by version: the rules that reject a text.
