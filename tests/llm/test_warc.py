@@ -3,9 +3,10 @@ import hashlib
 
 import pytest
 
-from tillroll.llm import warc
+from tillroll.llm import queries, warc
 from tillroll.sources.scratch import scratch_path
 
+SF = "/root/testdata/sf0.001"
 SCHEMA = "id long, uri string, body string, record_id string"
 
 
@@ -60,6 +61,28 @@ def test_repeated_rows_and_null_ids(spark):
     assert {r["refers_to"] for r in found if r["kind"] == "revisit"} == {"1"}
 
 
+def test_ids_and_uris_come_back_as_they_were(spark):
+    odd = ["a\r\nX: 1", " b ", "c%0D", "", "é\u2028 d", "%"]
+    uris = ["  http://x ", "u\r\nX-Row-ID: 9", "http://x/%0D%20", "", "http://é/", None]
+    rows = [(i, u, f"body {i}" * 900, None) for i, u in zip(odd, uris)]
+    path = scratch_path(spark, "warc-test")
+    pages = spark.createDataFrame(rows, "id string, uri string, body string, record_id string")
+    warc.write_warc(pages, path, "id", "uri", "body")
+    found = {r["row_id"]: r["uri"] for r in warc.read_warc(spark, path).collect()}
+    assert found == dict(zip(odd, uris))
+
+
+def test_query_continues_records(spark, monkeypatch):
+    paths = []
+    monkeypatch.setattr(queries, "scratch_path", lambda s, n: paths.append(scratch_path(s, n)) or paths[-1])
+    pages = queries.op3_warc(spark, SF)
+    sizes = {r["page_id"]: r["payload_bytes"] for r in pages.filter("record_type = 'response'").collect()}
+    records = warc.read_records(spark, paths[0])
+    continued = records.filter("kind = 'continuation'").groupBy("origin").count().collect()
+    assert len(continued) >= sum(n > 4096 for n in sizes.values()) > 0
+    assert max(r["count"] for r in continued) >= max(sizes.values()) // 4096
+
+
 def test_empty_table(spark):
     path, found = round_trip(spark, [])
     assert found == {}
@@ -69,8 +92,9 @@ def test_missing_segment_raises(spark):
     path = scratch_path(spark, "warc-test")
     pages = spark.createDataFrame([(1, "u", "b" * 1000, "x")], SCHEMA)
     warc.write_warc(pages, path, "id", "uri", "body", segment_bytes=300)
-    records = warc.read_records(spark, path)
+    records = warc.read_records(spark, path, segmented=True)
     assert records.count() == 4
+    assert warc.read_records(spark, path, segmented=False).count() == 0
     assert len(warc.reassembled(records).collect()) == 1
     for gone in (1, 2, 4):
         with pytest.raises(Exception, match="segments missing"):

@@ -3,9 +3,15 @@
 Writing gives one response record per row, or a revisit record where a row with
 the same payload is the response. Payloads travel as HTTP messages in chunked
 transfer framing; blocks longer than ``segment_bytes`` become several records.
-Reading parses the files, groups continuation records by the record they belong
-to, orders them by segment number, verifies that none is missing and that the
-total length is right, and removes the chunked framing.
+Reading groups continuation records by the record they belong to, orders them by
+segment number, verifies that none is missing and that the total length is right,
+and removes the chunked framing. The files are gone through twice, once for the
+records in one piece and once for the segments, which alone pass a shuffle; a
+pass skips the blocks of the other's records.
+
+Row ids travel percent-encoded in a field of their own, and so do URIs that a
+header line cannot hold as they are (line ends, blanks around them); others, and
+those of other writers, are taken as they stand.
 
 Null payloads count as empty. Of rows with equal payloads the one with the
 largest id is the response (null is smallest; of repeated rows an arbitrary but
@@ -16,7 +22,9 @@ must come from a stored table, as their place in it identifies their records.
 import base64
 import hashlib
 import re
+import string
 import zlib
+from urllib.parse import quote, unquote
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -25,7 +33,7 @@ from pyspark.sql import types as T
 from tillroll.sources.scratch import written
 
 _END = b"\r\n\r\n"
-_SAFE = str.maketrans({"\r": "%0D", "\n": "%0A"})
+_PRINTED = string.punctuation.replace("%", "")
 
 RECORD_TYPE = T.StructType(
     [
@@ -75,6 +83,14 @@ def http_payload(block):
     return dechunked(body) if framed else body
 
 
+def _encoded(value):
+    return None if value is None else quote(value, safe=_PRINTED)
+
+
+def _decoded(value):
+    return None if value is None else unquote(value)
+
+
 def _record(fields, block):
     lines = "".join(f"{name}: {value}\r\n" for name, value in fields if value is not None)
     return b"WARC/1.1\r\n%bContent-Length: %d\r\n\r\n%b" % (lines.encode(), len(block), block)
@@ -84,12 +100,14 @@ def records_of(row, segment_bytes, chunk_bytes):
     """The records of one row, without the blank lines that end them."""
     key, row_id, uri, payload, first_key = row
     payload, revisit = payload or b"", first_key != key
+    plain = uri is None or (uri == uri.strip() and "\r" not in uri and "\n" not in uri)
     fields = [
         ("WARC-Type", "revisit" if revisit else "response"),
         ("WARC-Record-ID", f"<urn:row:{key}>"),
         ("WARC-Date", "1970-01-01T00:00:00Z"),
-        ("WARC-Target-URI", None if uri is None else uri.translate(_SAFE)),
-        ("X-Row-ID", row_id),
+        ("WARC-Target-URI", uri if plain else _encoded(uri)),
+        ("X-Row-URI", None if plain else _encoded(uri)),
+        ("X-Row-ID", _encoded(row_id)),
         ("WARC-Payload-Digest", f"sha1:{digest(payload)}"),
     ]
     if revisit:
@@ -125,9 +143,9 @@ def write_warc(
     uri,
     payload,
     min_revisit_bytes=0,
-    segment_bytes=1 << 18,
-    chunk_bytes=1 << 14,
-    file_records=1000,
+    segment_bytes=1 << 12,
+    chunk_bytes=1 << 11,
+    file_records=10_000,
 ):
     """Write ``pages`` as WARC files below ``path``, gzip-compressed.
 
@@ -174,7 +192,7 @@ def write_warc(
     )
 
 
-def parsed(content):
+def parsed(content, wanted=lambda fields: True):
     """Records of a file's bytes; several gzip members or none are fine as well."""
     plain, rest = [], content
     while rest[:2] == b"\x1f\x8b":
@@ -194,7 +212,8 @@ def parsed(content):
         start, size = end + 4, int(fields["content-length"])
         if data[start + size : start + size + 4] != _END:
             raise ValueError(f"the record at byte {at} is cut off")
-        yield fields, data[start : start + size]
+        if wanted(fields):
+            yield fields, data[start : start + size]
         at = start + size + 4
 
 
@@ -203,8 +222,8 @@ def _row(fields, block):
     total = fields.get("warc-segment-total-length")
     return (
         fields["warc-record-id"],
-        fields.get("x-row-id"),
-        fields.get("warc-target-uri"),
+        _decoded(fields.get("x-row-id")),
+        _decoded(fields.get("x-row-uri")) or fields.get("warc-target-uri"),
         fields["warc-type"],
         fields.get("warc-payload-digest", "").removeprefix("sha1:") or None,
         fields.get("warc-refers-to"),
@@ -215,14 +234,20 @@ def _row(fields, block):
     )
 
 
-def read_records(spark, path):
-    """One row per record of the archives below ``path``, segments apart."""
+def read_records(spark, path, segmented=None):
+    """One row per record of the archives below ``path``, segments apart.
+
+    ``segmented`` true or false: only records that are segments, or are not.
+    """
+
+    def wanted(fields):
+        return segmented is None or ("warc-segment-number" in fields) == segmented
 
     def parse(batches):
         for batch in batches:
             for content in batch["content"]:
                 part, size = [], 0
-                for fields, block in parsed(bytes(content)):
+                for fields, block in parsed(bytes(content), wanted):
                     part.append(_row(fields, block))
                     size += len(block)
                     if size > 1 << 22:
@@ -234,16 +259,14 @@ def read_records(spark, path):
     return files.select("content").mapInPandas(parse, RECORD_TYPE)
 
 
-def reassembled(records):
-    """Records with segments joined; only segmented ones are shuffled.
+def reassembled(segments):
+    """One row per segmented record, put together.
 
     Raises if a segment is missing or twice, or the total length is wrong.
     """
-    whole = records.filter("segment IS NULL").drop("segment", "origin", "total")
     rest = [n for n in RECORD_TYPE.names if n not in ("segment", "origin", "total", "block")]
     parts = (
-        records.filter("segment IS NOT NULL")
-        .groupBy("origin")
+        segments.groupBy("origin")
         .agg(
             *[F.min_by(n, "segment").alias(n) for n in rest],
             F.max("total").alias("total"),
@@ -266,7 +289,7 @@ def reassembled(records):
     checked = joined.withColumn(
         "block", F.when(F.coalesce(fits, F.lit(False)), F.col("block")).otherwise(broken)
     )
-    return whole.unionByName(checked.select(whole.columns))
+    return checked.select(*rest, "block")
 
 
 def read_warc(spark, path, payloads=True):
@@ -287,7 +310,8 @@ def read_warc(spark, path, payloads=True):
     def digest_of(payload: pd.Series) -> pd.Series:
         return payload.map(lambda p: None if p is None else digest(bytes(p)))
 
-    records = reassembled(read_records(spark, path))
+    whole = read_records(spark, path, segmented=False).drop("segment", "origin", "total")
+    records = whole.unionByName(reassembled(read_records(spark, path, segmented=True)))
     response = F.col("kind") == "response"
     # framing only: a revisit's block has no body, so its payload is empty
     full = records.withColumn("payload", payload_of(F.when(response, F.col("block")).otherwise(b"")))
