@@ -12,6 +12,7 @@ WORDS = public_tokenizers.path("word_bpe_49k.json")
 LIBRARY = Tokenizer.from_file(WORDS)
 ODD = [
     "", " ", "It's don't we'll", "a\tb c　d", "é́ É ß İ ſ ﬁ", "x<|endoftext|>y", "<|startoftext|>",
+    "don't. 's. <|x|>. o'. é. é́. ß?! a_b_ a-", "x.\n.y (z) [w]. \"v\".", "İ. Σας. ΑΣ.", "a.\tb.\x85c.",
     "日本語", "🙂!?", "foo###,,,", "12a34", "ÀÖØ×÷öÿ.", "word.word", "\x1c a\x85b", "'''s",
 ]
 

@@ -9,9 +9,11 @@ the next seed. What a task has left at its end is cut into powers of two. So no
 sequence needs padding.
 
 The index covers whole documents and its statistics (document frequencies, mean
-length, number of documents) all of them. Shards hold documents with equal
-smallest hashed terms next to each other, so copies and documents of a kind meet;
-a large group is spread over several shards.
+length, number of documents) all of them. Documents lie in the order of one
+of their terms each, drawn by a weighted hash: the more telling a term, the
+likelier it is drawn, and documents that share it draw alike. So copies and
+documents of a kind meet, and words that all texts have do not decide; a large
+group is spread over several shards.
 
 A null text counts as empty: one token, the separator. Repeated rows are packed
 each. An empty table gives an empty result.
@@ -19,6 +21,7 @@ each. An empty table gives an empty result.
 
 import re
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -37,7 +40,6 @@ TOKENS_TYPE = T.StructType(
         T.StructField("rest", T.BinaryType()),
         T.StructField("terms", T.BinaryType()),
         T.StructField("counts", T.BinaryType()),
-        T.StructField("kind", T.LongType()),
     ]
 )
 
@@ -56,19 +58,24 @@ PIECE_TYPE = T.StructType(
     ]
 )
 
-#: Parts of texts whose ids are kept.
-CACHE_ENTRIES = 250_000
+#: Parts of texts whose ids a worker keeps, about 200 bytes each, and of how many
+#: letters at most.
+CACHE_ENTRIES = 600_000
+CACHE_LETTERS = 100
 
-#: Letters whose lower case needs no context, and what may follow them as one run.
-_PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
-_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Words of letters whose lower case needs no context, and the marks that end a part after one.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_PLAIN = re.compile(f"[{_LETTERS}]+")
+_MARKS = re.compile(rf"(?<=[{_LETTERS}])[!-&(-/:-@\[-`{{-~]+(?=[ \n]|$)")
 
 
 class TokenIds:
     """Ids of texts from a word-end vocabulary; known words are looked up.
 
     White space never reaches the ids of such a vocabulary, so a text's ids are
-    those of its parts between spaces and line ends.
+    those of its parts between spaces and line ends. Marks at the end of a part are
+    a part of their own where letters precede them, as no token holds both; texts
+    that may name a special token are left as they are.
     """
 
     def __init__(self, json_file):
@@ -80,74 +87,81 @@ class TokenIds:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         self.dtype = np.uint16 if len(self.ends) <= 1 << 16 else np.uint32
-        self.known, self.marks, self.words = {"": b""}, {"": b""}, {}
+        self.known = {"": b""}
 
     def encoded(self, text):
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
-
-    def learn_words(self, words):
-        """Keep the ids of plain words; many are encoded at once, as each ends with
-        an id that ends words."""
-        if len(self.words) + len(words) > CACHE_ENTRIES:
-            self.words = {}
-        words, size = sorted(words), np.dtype(self.dtype).itemsize
-        for at in range(0, len(words), 4000):
-            part = words[at : at + 4000]
-            ids = self.encoded(" ".join(part))
-            ends = (np.flatnonzero(self.ends[ids]) + 1) * size
-            if len(ends) != len(part):
-                raise ValueError("a word has more than one end")
-            raw, start = ids.tobytes(), 0
-            for word, end in zip(part, ends.tolist()):
-                self.words[word] = raw[start:end]
-                start = end
+        one = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]
+        return np.array(one.ids, self.dtype)
 
     def learn(self, parts):
-        """Keep the ids of parts of texts."""
-        plain = []
+        """Keep the ids of parts of texts; plain words are encoded many at once, as each
+        ends with an id that ends words."""
+        plain, size = [], np.dtype(self.dtype).itemsize
         for part in parts:
-            word = part.rstrip(_MARKS)
-            if (word.isascii() and word.isalpha()) or _PLAIN.fullmatch(word):
-                plain.append((part, word.lower(), part[len(word) :]))
+            if (part.isascii() and part.isalpha()) or _PLAIN.fullmatch(part):
+                plain.append(part)
             else:
                 self.known[part] = self.encoded(part).tobytes()
-        new = {word for _, word, _ in plain}
-        if not new <= self.words.keys():
-            kept = self.words
-            self.learn_words(new - kept.keys() if len(kept) + len(new) <= CACHE_ENTRIES else new)
-        words, marks, known = self.words, self.marks, self.known
-        for part, word, mark in plain:
-            if mark not in marks:
-                marks[mark] = self.encoded(mark).tobytes()
-            known[part] = words[word] + marks[mark]
+        for at in range(0, len(plain), 1000):
+            some = plain[at : at + 1000]
+            ids = self.encoded(" ".join(some))
+            ends = ((np.flatnonzero(self.ends[ids]) + 1) * size).tolist()
+            if len(ends) != len(some):
+                raise ValueError("a word has more than one end")
+            raw = ids.tobytes()
+            self.known.update(zip(some, map(raw.__getitem__, map(slice, [0, *ends], ends))))
+
+    def parts(self, text):
+        if not text:
+            return ()
+        if "<|" not in text:
+            text = _MARKS.sub(r" \g<0>", text)
+        return text.replace("\n", " ").split(" ")
 
     def of(self, texts):
         """The ids of each text, as arrays."""
-        parts = [t.replace("\n", " ").split(" ") if t else () for t in texts]
+        parts = [self.parts(t) for t in texts]
         words = set().union(*parts)
         new = words - self.known.keys()
         if len(self.known) + len(new) > CACHE_ENTRIES:
-            self.known, self.marks, new = {"": b""}, {"": b""}, words - {""}
+            self.known, new = {"": b""}, words - {""}
         self.learn(new)
         get = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, p)), self.dtype) for p in parts]
+        found = [np.frombuffer(b"".join(map(get, p)), self.dtype) for p in parts]
+        for part in new:
+            if len(part) > CACHE_LETTERS:
+                del self.known[part]
+        return found
+
+
+@lru_cache(maxsize=1)
+def token_ids(json_file):
+    """One per Python worker, which keeps what it learned from task to task."""
+    return TokenIds(json_file)
 
 
 def crc32(ids):
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def _spread(terms):
-    """Well mixed 32-bit values of term ids."""
-    x = terms.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return (x >> np.uint64(33)).astype(np.int64)
+def draw_order(frequency, idf):
+    """A number per term: a document's kind is its term with the least.
+
+    Exponential draws from a hash of the term, at a rate that grows with how much
+    the term tells; terms of a single document bring nobody together and come last.
+    """
+    x = np.arange(len(idf), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    even = ((x >> np.uint64(33)).astype(np.float64) + 0.5) / (1 << 31)
+    rate = np.where(frequency > 1, np.maximum(idf, 1e-9) ** 3, 1e-12)
+    return -np.log(even) / rate
 
 
 def tokenized(docs, json_file, doc_id, text, window, separator):
-    """One row per document: its full windows' checksums, its rest and its terms."""
+    """One row per document: its full windows' checksums, its rest, and how often it
+    has which terms."""
 
     def rows_of(batches):
-        encoder = TokenIds(json_file)
+        encoder = token_ids(json_file)
         for batch in batches:
             rows = []
             texts = batch["text"].tolist()
@@ -164,8 +178,7 @@ def tokenized(docs, json_file, doc_id, text, window, separator):
                         crcs,
                         ids[full * window :].tobytes(),
                         terms.tobytes(),
-                        np.minimum(counts, 255).astype(np.uint8).tobytes(),
-                        int(_spread(terms).min()),
+                        counts.astype("<u4").tobytes(),
                     )
                 )
             yield pd.DataFrame(rows, columns=TOKENS_TYPE.names)
@@ -345,6 +358,12 @@ def pack(
     dtype = TokenIds(json_file).dtype
     frequency, n_docs, mean, n_bytes = corpus_statistics(tokens, dtype)
     idf = np.log1p((n_docs - frequency + 0.5) / (frequency + 0.5))
+    order = draw_order(frequency, idf)
+
+    @F.pandas_udf(T.LongType())
+    def kind(terms: pd.Series) -> pd.Series:
+        each = (np.frombuffer(t, dtype) for t in terms)
+        return pd.Series([int(t[np.argmin(order[t])]) for t in each], dtype=np.int64)
 
     def packed(batches):
         packer = _Packer(window, TaskContext.get().partitionId() << 36)
@@ -357,7 +376,7 @@ def pack(
                 doc.start = len(row.window_crcs) * window
                 doc.rest = np.frombuffer(row.rest, dtype)
                 doc.terms = np.frombuffer(row.terms, dtype)
-                doc.counts = np.frombuffer(row.counts, np.uint8)
+                doc.counts = np.frombuffer(row.counts, "<u4")
                 if len(doc.rest):
                     block.append(doc)
                 if len(block) == block_docs:
@@ -370,7 +389,8 @@ def pack(
 
     shards = max(1, -(-n_bytes // shard_bytes))
     return (
-        tokens.repartitionByRange(int(shards), "kind", "key")
+        tokens.withColumn("kind", kind("terms"))
+        .repartitionByRange(int(shards), "kind", "key")
         .sortWithinPartitions("kind", "key")
         .mapInPandas(packed, PIECE_TYPE)
         .withColumn("doc_id", F.col("doc_id").cast(docs.schema[doc_id].dataType))
