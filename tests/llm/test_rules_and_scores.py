@@ -109,6 +109,12 @@ def test_toxicity_finds_the_labelled(spark):
     assert counts.get((0, True), 0) <= 0.01 * counts[0, False]
 
 
+def test_toxic_is_what_the_model_finds_likely(spark):
+    for r in queries.op8_toxicity(spark, "/root/testdata/sf0.01").collect():
+        assert r["toxic"] == (r["p_toxic"] >= 0.5) == (r["grade"] > 0)
+        assert r["grade"] - 0.5 <= r["expected_severity"] + 1e-9 or r["grade"] == 0
+
+
 def test_ordinal_fit_orders_thresholds_and_grades():
     rng = np.random.default_rng(2)
     rows = [np.flatnonzero(rng.random(6) < 0.4).tolist() for _ in range(3000)]

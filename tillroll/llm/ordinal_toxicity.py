@@ -3,7 +3,13 @@
 All grades share one weight per feature; ordered thresholds cut the line on which
 a text's weights add up: P(grade <= k) = sigmoid(threshold_k - weights). Features
 are the words of a text and their beginnings, present or not, so a text's length
-does not matter.
+does not matter. A text is toxic if grade 1 or more is as likely as not; the
+thresholds are moved together to where that makes the fewest errors on rows the
+weights were not fitted on.
+
+The labels say only whether a text is toxic. The grades above the first are not
+labelled: they split the toxic texts of the sample by how many telling features
+they hold, so they order texts by the amount of such language and no more.
 
 The model is fitted on a bounded sample of labelled rows (``fit_rows``, those
 with the lowest hashes of their key) and applied to every row. Without toxic rows to learn from
@@ -30,6 +36,9 @@ CACHE_ENTRIES = 100_000
 #: Grades of toxic texts; grade 0 is not toxic.
 GRADES = 3
 
+#: Parts of the sample, each graded by weights of the others, to place the thresholds.
+FOLDS = 3
+
 GRADED_TYPE = T.StructType(
     [
         T.StructField("toxic", T.BooleanType()),
@@ -54,11 +63,10 @@ def _sigmoid(x):
 
 
 class OrdinalModel:
-    """``weights`` by feature, increasing ``thresholds`` and the least toxic weight ``cut``."""
+    """``weights`` by feature and increasing ``thresholds``."""
 
-    def __init__(self, weights, thresholds, cut=None):
+    def __init__(self, weights, thresholds):
         self.weights, self.thresholds = weights, np.asarray(thresholds, np.float64)
-        self.cut = self.thresholds[0] if cut is None else cut
 
     def above(self, line):
         """P(grade > k) for each k, one row per text."""
@@ -114,6 +122,24 @@ def best_cut(line, toxic):
     return float(line[widest] + line[widest + 1]) / 2
 
 
+def _lines(rows, weights):
+    return np.array([weights[x].sum() for x in rows])
+
+
+def calibration(rows, grades, n_features):
+    """What to add to the thresholds so that the first tells toxic texts best.
+
+    Each fold is graded by weights fitted on the others; ``rows`` come in an order
+    that spreads the grades over the folds.
+    """
+    fold, apart = np.arange(len(rows)) % FOLDS, np.zeros(len(rows))
+    for f in range(FOLDS):
+        others, own = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
+        weights, thresholds = fit([rows[i] for i in others], grades[others], n_features)
+        apart[own] = _lines([rows[i] for i in own], weights) - thresholds[0]
+    return best_cut(apart, grades > 0)
+
+
 def featured_sample(docs, labels, label, key, text, fit_rows):
     """(y, features) of at most ``fit_rows`` labelled rows, stored."""
 
@@ -149,30 +175,27 @@ def select_features(sample, at_least=4, n=4000):
 
 
 def fit_toxicity(docs, labels, label="toxic", key="doc_id", text="text", fit_rows=15_000):
-    """Fit on binary labels; toxic texts are graded by how many features they have.
-
-    The grades 1 to ``GRADES`` split the toxic texts of the sample evenly by the
-    number of selected features they contain.
-    """
+    """Fit on binary labels, the grades 1 to ``GRADES`` by how many features a text has."""
     sample = featured_sample(docs, labels, label, key, text, fit_rows)
     chosen = select_features(sample)
     if not chosen:
         return OrdinalModel({}, [30.0 + g for g in range(GRADES)])
     number = {feature: i for i, feature in enumerate(chosen)}
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    @F.pandas_udf(T.BinaryType())
     def numbered(found: pd.Series) -> pd.Series:
-        return pd.Series([[number[f] for f in x if f in number] for x in found], dtype=object)
+        each = ([number[f] for f in x if f in number] for x in found)
+        return pd.Series([np.array(x, "<u2").tobytes() for x in each], dtype=object)
 
     sparse = sample.select("y", numbered("features").alias("x"))
-    rows = sorted((r["y"], r["x"]) for r in sparse.collect())  # the order has a say in sums
-    y, sparse = np.array([r[0] for r in rows]), [r[1] for r in rows]
+    rows = sorted((r["y"], bytes(r["x"])) for r in sparse.collect())  # the order has a say in sums
+    y, sparse = np.array([r[0] for r in rows]), [np.frombuffer(r[1], "<u2") for r in rows]
     amount = np.array([len(x) for x in sparse])
     edges = np.quantile(amount[y > 0], np.arange(1, GRADES) / GRADES)
     grades = np.where(y > 0, 1 + np.searchsorted(edges, amount, side="left"), 0)
     weights, thresholds = fit(sparse, grades, len(chosen))
-    line = np.array([weights[x].sum() for x in sparse])
-    return OrdinalModel(dict(zip(chosen, weights.tolist())), thresholds, best_cut(line, y > 0))
+    thresholds = thresholds + calibration(sparse, grades, len(chosen))
+    return OrdinalModel(dict(zip(chosen, weights.tolist())), thresholds)
 
 
 class _Lines:
@@ -197,9 +220,8 @@ class _Lines:
 def with_grades(docs, model, text="text", into="toxicity"):
     """``docs`` with a struct: toxic, grade, expected_severity, p_toxic.
 
-    ``toxic`` is true from the cut on that made the fewest errors in the sample;
-    ``grade`` is the highest one at least as likely as not, of toxic texts at
-    least 1 and of others 0.
+    ``grade`` is the highest one at least as likely as not, 0 if none is;
+    ``toxic`` is true from grade 1 on, which is where ``p_toxic`` reaches a half.
     """
 
     @F.pandas_udf(GRADED_TYPE)
@@ -207,11 +229,11 @@ def with_grades(docs, model, text="text", into="toxicity"):
         lines = _Lines(model.weights)
         for texts in batches:
             line = np.array([lines.of(t) for t in texts], np.float64)
-            above, toxic = model.above(line), line >= model.cut
-            grade = np.where(toxic, np.maximum(1, (above >= 0.5).sum(1)), 0)
+            above = model.above(line)
+            grade = (above >= 0.5).sum(1)
             yield pd.DataFrame(
                 {
-                    "toxic": toxic,
+                    "toxic": grade > 0,
                     "grade": grade.astype(np.int32),
                     "expected_severity": above.sum(1),
                     "p_toxic": above[:, 0],
