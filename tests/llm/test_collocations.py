@@ -92,6 +92,13 @@ def test_chunks_hold_every_phrase_once(corpus, monkeypatch, core):
     assert found == Counter({p: c for (_, p), c in f.items()}) and words == n["x"]
 
 
+def test_languages_named_by_each_others_words(spark):
+    rows = [("de", "en x y")] * 5 + [("en", "de x y")] * 3 + [("x", "de en")] * 4 + [("en", "x de")] * 2
+    docs = spark.createDataFrame(rows, "lang string, text string").coalesce(1)
+    found = mine.collocations(docs, least=2)
+    assert sorted(map(tuple, found.collect())) == sorted(brute(rows, 2))
+
+
 def test_copies_share_chunks(spark):
     rng = random.Random(2)
     text = " ".join(f"w{rng.randrange(500)}" for _ in range(3000))

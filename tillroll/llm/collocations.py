@@ -152,7 +152,8 @@ class Part:
         self.owned = self.place < np.repeat(rows["core"].to_numpy(np.int64), lengths)
         self.word = self.words != np.uint64(xxhash.xxh64_intdigest(_BREAK))
         of_lang, langs = pd.factorize(rows["lang"].to_numpy(object))
-        seeds = [xxhash.xxh64_intdigest(x.encode()) for x in langs]
+        # Not hashed as words are: word "en" of "de" would meet word "de" of "en".
+        seeds = [xxhash.xxh64_intdigest(x.encode(), seed=1) for x in langs]
         self.seeds = np.repeat(np.array(seeds, np.uint64)[of_lang], lengths)
         self.langs, self.of_lang = langs, np.repeat(of_lang, lengths)
         self.weight = np.repeat(rows["weight"].to_numpy(np.int64), lengths)
