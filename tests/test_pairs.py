@@ -3,6 +3,7 @@ from collections import Counter
 from itertools import combinations
 
 import pytest
+from conftest import plan_of
 
 from tillroll.operators import pairs
 from tillroll.operators.pairs import frequent_pairs
@@ -121,3 +122,11 @@ def test_rare_items_are_dropped_from_a_wide_basket(spark):
 
 def test_empty(spark):
     assert run(spark, [], 5, 20, 10) == ({}, {})
+
+
+def test_parts_of_words_are_not_broadcast(spark):
+    rows = [(w, f"i{i}", False, 1 << w) for w in range(4) for i in range(9)]
+    bitmaps = spark.createDataFrame(rows, "word long, item string, looked_up boolean, bits long")
+    met = pairs._pairs_of_words(bitmaps, 3)
+    assert "SortMergeJoin [word" in plan_of(met)
+    assert met.count() == 4 * 9 * 8 // 2
