@@ -359,3 +359,38 @@ def test_products_without_costs(spark):
     assert row.cost_price is None and row.product_name == "Thing"
     assert dict(products_from_flat(flat).dtypes)["cost_price"] == "decimal(18,2)"
     assert products_from_flat(flat).filter(F.col("cost_price").isNull()).count() == 1
+
+
+def test_tasks_are_bounded_in_any_session(spark, conf):
+    import __spark_entry__ as contract
+    from tillroll.session import TASK_SETTINGS
+
+    first = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    for name in ("market_basket", "cleaned_orders"):
+        for key in TASK_SETTINGS:
+            conf(key, "128m")
+        conf(first, "1")
+        spark.conf.unset(first)
+        contract.queries()[name](spark, SAMPLE)
+        assert {key: spark.conf.get(key) for key in TASK_SETTINGS} == TASK_SETTINGS
+        assert int(spark.conf.get(first)) == 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_compressed_file_keeps_rows_and_order(spark, tmp_path):
+    rows = [(n, f'line "{n}"\nnext, {n}' if n % 3 else f"plain {n}") for n in range(300)]
+    df = spark.createDataFrame(rows, "n long, note string").repartition(5)
+    write_csv(df, str(tmp_path / "packed"), order="n", compression="gzip")
+    assert list((tmp_path / "packed").glob("*.csv.gz"))
+    found = numbered(read_flat_csv(spark, str(tmp_path / "packed"))).orderBy("place")
+    assert [(int(r.n), r.note, r.place) for r in found.collect()] == [(n, t, n + 1) for n, t in rows]
+
+
+def test_kinds_of_numbers_in_text(spark):
+    rows = [("1", "9223372036854775808", " 7", "1.5"), ("-2", "1", "x", "inf")]
+    found = inferred_types(spark.createDataFrame(rows, "a string, b string, c string, d string"))
+    assert [t.simpleString() for t in found.values()] == ["bigint", "string", "string", "double"]
+
+
+def test_scratch_tables_are_packed(spark):
+    stored = scratch.written(spark.range(10), "packed")
+    assert all(".zstd." in name for name in stored.inputFiles())
