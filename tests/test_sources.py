@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 from decimal import Decimal
 
 import pytest
@@ -21,7 +22,7 @@ from tillroll.sources.delimited import (
     write_csv,
     write_parquet,
 )
-from tillroll.sources.star_schema import shop_from_star
+from tillroll.sources.star_schema import STAR_SCHEMAS, flat_from_star, shop_from_star
 from tillroll.sources.tables import (
     TABLES,
     load_shop,
@@ -394,3 +395,44 @@ def test_kinds_of_numbers_in_text(spark):
 def test_scratch_tables_are_packed(spark):
     stored = scratch.written(spark.range(10), "packed")
     assert all(".zstd." in name for name in stored.inputFiles())
+
+
+@pytest.fixture
+def star(spark, tmp_path):
+    """A folder of star tables: two orders of one customer, three lines, a key without a match."""
+    day = dt.datetime(1994, 5, 6)
+    tables = {
+        "customer": [(7, "c", 1, 12.5, "m")],
+        "nation": [(1, "land", 0)],
+        "orders": [(11, 7, "O", 9.0, day, "p"), (2, 7, "F", 8.0, day, "p"), (3, None, "F", 8.0, day, "p")],
+        "part": [(5, "cup", "b", "t", 1, 2.0), (6, "jug", "b", "t", 1, 2.0)],
+        "lineitem": [
+            (o, p, 1, n, 3.0, 4.0, 0.0, 0.0, "r", "l", day)
+            for o, p, n in ((11, 6, 1), (2, 6, 2), (2, 5, 1), (3, 5, 1), (2, None, 3))
+        ],
+    }
+    for name, rows in tables.items():
+        df = spark.createDataFrame(rows, STAR_SCHEMAS[name])
+        df.write.parquet(str(tmp_path / f"{name}.parquet"))
+    return str(tmp_path)
+
+
+def test_flat_rows_in_order_are_the_same_rows(spark, star):
+    rows = flat_from_star(spark, star, in_order=True).collect()
+    assert [r.source_row[:18] for r in rows] == [f"{o:015d}-{n:02d}" for o, n in ((2, 1), (2, 2), (11, 1))]
+    assert rows == sorted(flat_from_star(spark, star).collect(), key=lambda r: r.source_row)
+
+
+def test_only_narrow_rows_are_shuffled_by_customer_and_sorted(spark, star, conf):
+    conf("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = plan_of(flat_from_star(spark, star, in_order=True)).splitlines()
+    depth = [re.match(r"[\s:|+\-]*", text).end() for text in plan]
+
+    def below(at):
+        end = next((i for i in range(at + 1, len(plan)) if depth[i] <= depth[at]), len(plan))
+        return "\n".join(plan[at + 1 : end])
+
+    by_customer = [i for i, text in enumerate(plan) if "Exchange hashpartitioning(o_custkey" in text]
+    assert by_customer and not any("l_orderkey" in below(i) for i in by_customer)
+    sort = next(i for i, text in enumerate(plan) if "Exchange rangepartitioning(" in text)
+    assert "mail.example.com" in "\n".join(plan[:sort]) and "mail.example.com" not in below(sort)
