@@ -436,3 +436,12 @@ def test_only_narrow_rows_are_shuffled_by_customer_and_sorted(spark, star, conf)
     assert by_customer and not any("l_orderkey" in below(i) for i in by_customer)
     sort = next(i for i, text in enumerate(plan) if "Exchange rangepartitioning(" in text)
     assert "mail.example.com" in "\n".join(plan[:sort]) and "mail.example.com" not in below(sort)
+
+
+def test_files_read_again_are_packed(spark):
+    import __spark_entry__ as contract
+
+    df = spark.createDataFrame([("O1", "a,b"), ("O2", 'c "d"')], "order_id string, note string")
+    found = contract._reread(spark, df, "again")
+    assert found.inputFiles() and all(name.endswith(".gz") for name in found.inputFiles())
+    assert sorted((r.order_id, r.note) for r in found.collect()) == sorted(map(tuple, df.collect()))
