@@ -26,9 +26,9 @@ class PrefixBpe:
         self._ranks, self._by_pair = ranks, by_pair
         self._whole = {t: None for t in tokens if len(t) > 1}
         self._apart = {}
-        longest = {}
+        longest = {}  # by the last three characters, or both of tokens of two
         for token in self._whole:
-            longest[token[-2:]] = max(longest.get(token[-2:], 1), len(token))
+            longest[token[-3:]] = max(longest.get(token[-3:], 1), len(token))
         self._longest = longest
 
     def merged(self, symbols):
@@ -62,7 +62,9 @@ class PrefixBpe:
         last = last or [""]
         whole, apart, longest = self._whole, self._apart, self._longest
         for end in range(len(last), len(text) + 1):
-            for start in range(max(0, end - longest.get(text[max(0, end - 2) : end], 1)), end):
+            tail = text[max(0, end - 3) : end]
+            most = longest.get(tail) or longest.get(tail[-2:], 1)
+            for start in range(max(0, end - most), end):
                 piece = text[start:end]
                 if end - start > 1:
                     known = whole.get(piece, False)
@@ -78,18 +80,24 @@ class PrefixBpe:
                 break
         return last
 
-    def walk(self, texts):
-        """(text, last tokens of its prefixes) in text order, shared prefixes once.
+    def steps(self, texts):
+        """(text, last tokens of its prefixes, characters shared with the text before) in
+        text order, shared prefixes once.
 
         The list of tokens is reused: take what is needed before going on.
         """
         before, last = "", [""]
         for text in sorted(texts):
             same = next((i for i, (a, b) in enumerate(zip(before, text)) if a != b), None)
-            del last[1 + (min(len(before), len(text)) if same is None else same) :]
-            yield text, self.last_tokens(text, last)
+            same = min(len(before), len(text)) if same is None else same
+            del last[1 + same :]
+            yield text, self.last_tokens(text, last), same
             before = text
 
+    def walk(self, texts):
+        """(text, last tokens of its prefixes), as of ``steps``."""
+        return ((text, last) for text, last, _ in self.steps(texts))
+
     @staticmethod
     def split(text, last):
         """The tokens of a text, given the last tokens of its prefixes."""

@@ -33,13 +33,15 @@ class _Ledgers:
     def learn(self, words):
         if len(self.known) + len(words) > CACHE_ENTRIES:
             self.known.clear()
-        for word, last in self.encoder.walk(words):
-            counts = [0]
-            for end in range(1, len(word) + 1):
+        counts, changes = [0], bytearray()
+        for word, last, same in self.encoder.steps(words):
+            del counts[same + 1 :], changes[same:]
+            for end in range(same + 1, len(word) + 1):
                 token = last[end]
-                counts.append(counts[end - len(token)] + self.weight(token))
-            changes = zip(counts[1:], counts)
-            self.known[word] = bytes([(b - a) & 255 for b, a in changes])
+                count = counts[end - len(token)] + self.weight(token)
+                changes.append((count - counts[-1]) & 255)
+                counts.append(count)
+            self.known[word] = bytes(changes)
 
     def of(self, texts):
         """Each text's ledger; its first byte belongs to the space set before it."""
