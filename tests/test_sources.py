@@ -377,6 +377,22 @@ def test_tasks_are_bounded_in_any_session(spark, conf):
         assert int(spark.conf.get(first)) == 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def test_reduce_tasks_grow_with_the_inputs(spark, conf, monkeypatch, tmp_path):
+    from tillroll import session
+
+    first = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    spark.range(30_000).write.parquet(str(tmp_path / "in"))
+    size = scratch.stored_bytes(spark, str(tmp_path / "in"))
+    assert size > 100_000 and scratch.stored_bytes(spark, str(tmp_path / "none")) == 0
+    for given, per_task, expected in ((None, 1000, size // 1000), ("7", 1000, size // 1000), ("9", size, 9)):
+        conf(first, given or "1")
+        if given is None:
+            spark.conf.unset(first)
+        monkeypatch.setattr(session, "BYTES_PER_TASK", per_task)
+        session.bounded_tasks(spark, str(tmp_path / "in"), str(tmp_path / "none"))
+        assert int(spark.conf.get(first)) == expected
+
+
 def test_compressed_file_keeps_rows_and_order(spark, tmp_path):
     rows = [(n, f'line "{n}"\nnext, {n}' if n % 3 else f"plain {n}") for n in range(300)]
     df = spark.createDataFrame(rows, "n long, note string").repartition(5)
