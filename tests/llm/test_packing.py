@@ -1,4 +1,6 @@
+import json
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -50,6 +52,20 @@ def test_ids_are_those_of_the_library(text):
         assert encoder.of([part])[0].tolist() == expected
 
 
+def test_plain_words_skip_steps_only_where_these_do_nothing(tmp_path):
+    text = "Some WORDS, of ascii Letters\nAnd others: Éclair über naïve don't x1 <|endoftext|> end"
+    assert packing.TokenIds(WORDS).lower is not None
+    for step, kinds in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")):
+        other = json.loads(Path(WORDS).read_text())
+        other[step][kinds] = other[step][kinds][:2] if step == "normalizer" else other[step][kinds][::-1]
+        path = tmp_path / f"{step}.json"
+        path.write_text(json.dumps(other))
+        assert packing.TokenIds(str(path)).lower is None
+    for path in (WORDS, str(tmp_path / "normalizer.json")):
+        expected = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+        assert packing.TokenIds(path).of([text, None])[0].tolist() == expected
+
+
 def test_round_trip_of_the_query(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet").collect()

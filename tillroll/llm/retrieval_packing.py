@@ -19,6 +19,7 @@ A null text counts as empty: one token, the separator. Repeated rows are packed
 each. An empty table gives an empty result.
 """
 
+import json
 import re
 import zlib
 from functools import lru_cache
@@ -66,7 +67,25 @@ CACHE_LETTERS = 100
 #: Words of letters whose lower case needs no context, and the marks that end a part after one.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN = re.compile(f"[{_LETTERS}]+")
-_MARKS = re.compile(rf"(?<=[{_LETTERS}])[!-&(-/:-@\[-`{{-~]+(?=[ \n]|$)")
+_MARK = r"[!-&(-/:-@\[-`{-~]"  # looked for first, as marks are fewer than letters
+_MARKS = re.compile(rf"{_MARK}(?<=[{_LETTERS}].){_MARK}*(?=[ \n]|$)")
+
+
+#: What a tokenizer does to a text before it looks at words, if of words of ASCII
+#: letters between spaces only the lower case is left to make.
+_LOWERS = (
+    [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+    [
+        {
+            "type": "Split",
+            "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+            "behavior": "Removed",
+            "invert": True,
+        },
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+)
+_STEPS = (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))
 
 
 class TokenIds:
@@ -79,9 +98,15 @@ class TokenIds:
     """
 
     def __init__(self, json_file):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(json_file)
+        with open(json_file, encoding="utf-8") as stored:
+            steps = json.load(stored)
+        self.lower = None
+        if _LOWERS == tuple((steps[name] or {}).get(kind) for name, kind in _STEPS):
+            self.lower = Tokenizer(self.tokenizer.model)
+            self.lower.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         vocabulary = self.tokenizer.get_vocab()
         suffix = self.tokenizer.model.end_of_word_suffix
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -93,18 +118,27 @@ class TokenIds:
         one = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]
         return np.array(one.ids, self.dtype)
 
+    def encoded_words(self, words):
+        """Ids of plain words; where they are ASCII, without the steps that do nothing to it."""
+        text = " ".join(words)
+        if self.lower is None or not text.isascii():
+            return self.encoded(text)
+        one = self.lower.encode_batch_fast([text.lower()], add_special_tokens=False)[0]
+        return np.array(one.ids, self.dtype)
+
     def learn(self, parts):
         """Keep the ids of parts of texts; plain words are encoded many at once, as each
         ends with an id that ends words."""
-        plain, size = [], np.dtype(self.dtype).itemsize
+        plain, accented, size = [], [], np.dtype(self.dtype).itemsize
         for part in parts:
-            if (part.isascii() and part.isalpha()) or _PLAIN.fullmatch(part):
+            if part.isascii() and part.isalpha():
                 plain.append(part)
+            elif _PLAIN.fullmatch(part):
+                accented.append(part)
             else:
                 self.known[part] = self.encoded(part).tobytes()
-        for at in range(0, len(plain), 1000):
-            some = plain[at : at + 1000]
-            ids = self.encoded(" ".join(some))
+        for some in (w[at : at + 1000] for w in (plain, accented) for at in range(0, len(w), 1000)):
+            ids = self.encoded_words(some)
             ends = ((np.flatnonzero(self.ends[ids]) + 1) * size).tolist()
             if len(ends) != len(some):
                 raise ValueError("a word has more than one end")
@@ -121,12 +155,13 @@ class TokenIds:
     def of(self, texts):
         """The ids of each text, as arrays."""
         parts = [self.parts(t) for t in texts]
-        words = set().union(*parts)
-        new = words - self.known.keys()
+        words = [*set().union(*parts)]
+        new = [word for word in words if word not in self.known]
         if len(self.known) + len(new) > CACHE_ENTRIES:
-            self.known, new = {"": b""}, words - {""}
+            self.known, new = {"": b""}, [word for word in words if word]
         self.learn(new)
-        get = self.known.__getitem__
+        # of the many known parts, those of these texts in a small table
+        get = dict(zip(words, map(self.known.__getitem__, words))).__getitem__
         found = [np.frombuffer(b"".join(map(get, p)), self.dtype) for p in parts]
         for part in new:
             if len(part) > CACHE_LETTERS:
