@@ -66,6 +66,36 @@ def test_plain_words_skip_steps_only_where_these_do_nothing(tmp_path):
         assert packing.TokenIds(path).of([text, None])[0].tolist() == expected
 
 
+def test_texts_are_looked_up_by_their_different_parts():
+    texts = ["Éclair über plain plain", None, "plain.\nÉclair <|x|>", "", "plain!"]
+    parts, places, ends = packing.TokenIds(WORDS).parts(texts)
+    assert len(parts) == len(set(parts)) == 7
+    rows = [[parts[i] for i in row] for row in np.split(places, ends[:-1])]
+    assert rows == [
+        ["Éclair", "über", "plain", "plain"], [""], ["plain.", "Éclair", "<|x|>"], [""], ["plain", "!"],
+    ]
+
+
+def test_words_of_accented_letters_skip_the_steps_too(monkeypatch):
+    text = "".join(chr(c) for c in range(0xC0, 0x100) if chr(c).isalpha()) + " Éclair ß plain ÀÖ"
+    encoder = packing.TokenIds(WORDS)
+    monkeypatch.setattr(encoder, "encoded", None)
+    assert encoder.of([text])[0].tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("entries, ids", [(6, 1 << 23), (600_000, 20)])
+def test_known_parts_are_bounded_and_learned_again(monkeypatch, entries, ids):
+    monkeypatch.setattr(packing, "CACHE_ENTRIES", entries)
+    monkeypatch.setattr(packing, "CACHE_IDS", ids)
+    encoder, long = packing.TokenIds(WORDS), "y" * 300
+    for i in range(12):
+        texts = [f"again word{i} é{i} {long}", "again other", None]
+        for found, text in zip(encoder.of(texts), texts, strict=True):
+            assert found.tolist() == LIBRARY.encode(text or "", add_special_tokens=False).ids
+        assert long not in encoder.known and len(encoder.known) <= max(6, entries // 10_000)
+        assert len(encoder.pool) <= ids + sum(map(len, encoder.of(texts)))
+
+
 def test_round_trip_of_the_query(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet").collect()

@@ -23,26 +23,33 @@ import json
 import re
 import zlib
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillroll.sources.scratch import written
 
-TOKENS_TYPE = T.StructType(
+TOKENS_TYPE = pa.schema(
     [
-        T.StructField("key", T.LongType()),
-        T.StructField("doc_id", T.StringType()),
-        T.StructField("doc_tokens", T.LongType()),
-        T.StructField("window_crcs", T.ArrayType(T.LongType())),
-        T.StructField("rest", T.BinaryType()),
-        T.StructField("terms", T.BinaryType()),
-        T.StructField("counts", T.BinaryType()),
+        ("key", pa.int64()),
+        ("doc_id", pa.string()),
+        ("doc_tokens", pa.int64()),
+        ("window_crcs", pa.list_(pa.int64())),
+        ("rest", pa.binary()),
+        ("terms", pa.binary()),
+        ("counts", pa.binary()),
     ]
 )
+TOKENS_COLUMNS = (
+    "key long, doc_id string, doc_tokens long, window_crcs array<long>, "
+    "rest binary, terms binary, counts binary"
+)
 
 PIECE_TYPE = T.StructType(
     [T.StructField("doc_id", T.StringType())]
@@ -59,20 +66,19 @@ PIECE_TYPE = T.StructType(
     ]
 )
 
-#: Parts of texts whose ids a worker keeps, about 200 bytes each, and of how many
-#: letters at most.
+#: Parts of texts that a worker knows, about 200 bytes each, of how many letters at
+#: most, and ids it keeps.
 CACHE_ENTRIES = 600_000
 CACHE_LETTERS = 100
+CACHE_IDS = 1 << 23
 
 #: Words of letters whose lower case needs no context, and the marks that end a part after one.
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN = re.compile(f"[{_LETTERS}]+")
-_MARK = r"[!-&(-/:-@\[-`{-~]"  # looked for first, as marks are fewer than letters
-_MARKS = re.compile(rf"{_MARK}(?<=[{_LETTERS}].){_MARK}*(?=[ \n]|$)")
-
+_MARKS = rf"([{_LETTERS}])([!-&(-/:-@\[-`{{-~]+)([ \n]|$)"
 
-#: What a tokenizer does to a text before it looks at words, if of words of ASCII
-#: letters between spaces only the lower case is left to make.
+#: What a tokenizer does to a text before it looks at words, if of words of these
+#: letters between spaces only the lower case and the spelling in bytes are left to make.
 _LOWERS = (
     [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
     [
@@ -107,66 +113,97 @@ class TokenIds:
         if _LOWERS == tuple((steps[name] or {}).get(kind) for name, kind in _STEPS):
             self.lower = Tokenizer(self.tokenizer.model)
             self.lower.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            spelled = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+            self.spelling = np.arange(256, dtype="<u2")  # the letter each byte becomes
+            for letter in filter(_PLAIN.fullmatch, map(chr, range(0x80, 0x100))):
+                self.spelling[list(letter.encode())] = [*map(ord, spelled.pre_tokenize_str(letter)[0][0])]
         vocabulary = self.tokenizer.get_vocab()
         suffix = self.tokenizer.model.end_of_word_suffix
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
         self.dtype = np.uint16 if len(self.ends) <= 1 << 16 else np.uint32
-        self.known = {"": b""}
+        self.forget()
+
+    def forget(self):
+        #: The number of each known part; all ids in their order, and where each part's end.
+        self.known, self.pool, self.ends_at = {}, np.zeros(0, self.dtype), np.zeros(1, np.int64)
 
     def encoded(self, text):
         one = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0]
         return np.array(one.ids, self.dtype)
 
     def encoded_words(self, words):
-        """Ids of plain words; where they are ASCII, without the steps that do nothing to it."""
+        """Ids of plain words, without the steps that do nothing to them."""
         text = " ".join(words)
-        if self.lower is None or not text.isascii():
+        if self.lower is None:
             return self.encoded(text)
-        one = self.lower.encode_batch_fast([text.lower()], add_special_tokens=False)[0]
+        text = text.lower()
+        if not text.isascii():
+            letters = self.spelling[np.frombuffer(text.encode(), np.uint8)]
+            text = letters.tobytes().decode("utf-16-le")
+        one = self.lower.encode_batch_fast([text], add_special_tokens=False)[0]
         return np.array(one.ids, self.dtype)
 
     def learn(self, parts):
         """Keep the ids of parts of texts; plain words are encoded many at once, as each
         ends with an id that ends words."""
-        plain, accented, size = [], [], np.dtype(self.dtype).itemsize
+        plain, others = [], []
         for part in parts:
-            if part.isascii() and part.isalpha():
-                plain.append(part)
-            elif _PLAIN.fullmatch(part):
-                accented.append(part)
-            else:
-                self.known[part] = self.encoded(part).tobytes()
-        for some in (w[at : at + 1000] for w in (plain, accented) for at in range(0, len(w), 1000)):
+            kind = plain if (part.isascii() and part.isalpha()) or _PLAIN.fullmatch(part) else others
+            kind.append(part)
+        pieces, sizes = [], []
+        for some in (plain[at : at + 1000] for at in range(0, len(plain), 1000)):
             ids = self.encoded_words(some)
-            ends = ((np.flatnonzero(self.ends[ids]) + 1) * size).tolist()
+            ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) != len(some):
                 raise ValueError("a word has more than one end")
-            raw = ids.tobytes()
-            self.known.update(zip(some, map(raw.__getitem__, map(slice, [0, *ends], ends))))
-
-    def parts(self, text):
-        if not text:
-            return ()
-        if "<|" not in text:
-            text = _MARKS.sub(r" \g<0>", text)
-        return text.replace("\n", " ").split(" ")
+            pieces.append(ids)
+            sizes.append(np.diff(ends, prepend=0))
+        for part in others:
+            pieces.append(self.encoded(part))
+            sizes.append([len(pieces[-1])])
+        self.known.update(zip(plain + others, range(len(self.ends_at) - 1, len(self.ends_at) + len(parts))))
+        self.pool = np.concatenate([self.pool, *pieces])
+        ends = self.ends_at[-1] + np.cumsum(np.concatenate([[], *sizes]).astype(np.int64))
+        self.ends_at = np.concatenate([self.ends_at, ends])
+
+    def parts(self, texts):
+        """(parts, places, ends): the different parts of all texts, of each part in turn
+        its place among these, and where each text's parts end."""
+        texts = pc.fill_null(pa.array(texts, pa.large_string()), "")
+        marked = pc.replace_substring_regex(texts, _MARKS, r"\1 \2\3")
+        marked = pc.if_else(pc.match_substring(texts, "<|"), texts, marked)
+        lists = pc.split_pattern(pc.replace_substring(marked, "\n", " "), " ")
+        each = lists.flatten().dictionary_encode()
+        parts = each.dictionary.to_numpy(zero_copy_only=False).tolist()
+        return parts, each.indices.to_numpy(), np.cumsum(pc.list_value_length(lists).to_numpy())
+
+    def numbers(self, parts):
+        """The numbers of different parts of texts."""
+        found = np.fromiter(map(self.known.get, parts, repeat(-1)), np.int64, len(parts))
+        new = np.flatnonzero(found < 0)
+        if len(self.ends_at) + len(new) > CACHE_ENTRIES or len(self.pool) > CACHE_IDS:
+            self.forget()
+            new = np.arange(len(parts))
+        if len(new):
+            words = [parts[i] for i in new.tolist()]
+            self.learn(words)
+            found[new] = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+            for long in [word for word in words if len(word) > CACHE_LETTERS]:
+                del self.known[long]
+        return found
 
     def of(self, texts):
         """The ids of each text, as arrays."""
-        parts = [self.parts(t) for t in texts]
-        words = [*set().union(*parts)]
-        new = [word for word in words if word not in self.known]
-        if len(self.known) + len(new) > CACHE_ENTRIES:
-            self.known, new = {"": b""}, [word for word in words if word]
-        self.learn(new)
-        # of the many known parts, those of these texts in a small table
-        get = dict(zip(words, map(self.known.__getitem__, words))).__getitem__
-        found = [np.frombuffer(b"".join(map(get, p)), self.dtype) for p in parts]
-        for part in new:
-            if len(part) > CACHE_LETTERS:
-                del self.known[part]
-        return found
+        if not len(texts):
+            return []
+        parts, places, ends = self.parts(texts)
+        part = self.numbers(parts)[places]
+        starts = self.ends_at[part]
+        lengths = self.ends_at[part + 1] - starts
+        till = np.r_[0, np.cumsum(lengths)]
+        ids = self.pool[np.arange(till[-1]) + np.repeat(starts - till[:-1], lengths)]
+        return np.split(ids, till[ends[:-1]])
 
 
 @lru_cache(maxsize=1)
@@ -199,16 +236,13 @@ def tokenized(docs, json_file, doc_id, text, window, separator):
         encoder = token_ids(json_file)
         for batch in batches:
             rows = []
-            texts = batch["text"].tolist()
-            for key, doc, ids in zip(batch["key"], batch["doc_id"], encoder.of(texts)):
+            for ids in encoder.of(batch.column("text").cast(pa.large_string())):
                 ids = np.append(ids, encoder.dtype(separator))
                 full = len(ids) // window
                 crcs = [crc32(ids[i * window : (i + 1) * window]) for i in range(full)]
                 terms, counts = np.unique(ids, return_counts=True)
                 rows.append(
                     (
-                        key,
-                        doc,
                         len(ids),
                         crcs,
                         ids[full * window :].tobytes(),
@@ -216,14 +250,17 @@ def tokenized(docs, json_file, doc_id, text, window, separator):
                         counts.astype("<u4").tobytes(),
                     )
                 )
-            yield pd.DataFrame(rows, columns=TOKENS_TYPE.names)
+            made = [pa.array(c, f.type) for c, f in zip(zip(*rows), list(TOKENS_TYPE)[2:])]
+            if rows:
+                kept = [batch.column(c) for c in ("key", "doc_id")]
+                yield pa.RecordBatch.from_arrays([*kept, *made], schema=TOKENS_TYPE)
 
     rows = docs.select(
         F.monotonically_increasing_id().alias("key"),
         F.col(f"`{doc_id}`").cast("string").alias("doc_id"),
         F.col(f"`{text}`").cast("string").alias("text"),
     )
-    return rows.mapInPandas(rows_of, TOKENS_TYPE)
+    return rows.mapInArrow(rows_of, TOKENS_COLUMNS)
 
 
 def corpus_statistics(tokens, dtype):
